@@ -144,9 +144,12 @@ def jaccard(a: Column, b: Column) -> Column:
 
 
 def ngrams(tokens: Column, n: int) -> Column:
-    starts = F.when(F.size(tokens) >= n, F.sequence(F.lit(1), F.size(tokens) - (n - 1))).otherwise(
-        F.array().cast("array<int>"))
-    return F.transform(starts, lambda i: F.array_join(F.slice(tokens, i, n), " "))
+    """Runs of ``n`` tokens.  The shifted copies are zipped so ``tokens`` is not re-evaluated per element."""
+    length = F.greatest(F.size(tokens) - (n - 1), F.lit(0))
+    out = F.slice(tokens, 1, length)
+    for k in range(1, n):
+        out = F.zip_with(out, F.slice(tokens, k + 1, length), lambda a, b: F.concat_ws(" ", a, b))
+    return out
 
 
 # -- casing, trimming -----------------------------------------------------------

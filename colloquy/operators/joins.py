@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import values as V
+from ..session import cut
 from .blocks import block_scan, index_block, row_index
 
 
@@ -105,11 +106,12 @@ def attach_items_to_topics(items: DataFrame, spans: DataFrame, segments: DataFra
 
     Containment is an equi-join on time buckets.  The fallback merges items and
     span starts into one ordered scan per direction, so it never pairs all items
-    of a meeting with all its spans.
+    of a meeting with all its spans.  The two slim inputs are cut first because
+    every scan reads them twice.
     """
-    timed = item_source_lookup(items, segments).select("meeting_id", key, F.col("source_time").alias("at"))
+    timed = cut(item_source_lookup(items, segments).select("meeting_id", key, F.col("source_time").alias("at")))
     point = timed.filter(F.col("at").isNotNull()).withColumn("bucket", F.floor(F.col("at") / bucket_s))
-    slim = spans.select("meeting_id", "topic_id", "span_no", "span_start", "span_end")
+    slim = cut(spans.select("meeting_id", "topic_id", "span_no", "span_start", "span_end"))
     spread = slim.filter(F.col("span_start") <= F.col("span_end")).withColumn("bucket", F.explode(F.sequence(
         F.floor(F.col("span_start") / bucket_s), F.floor(F.col("span_end") / bucket_s))))
     inside = (point.join(spread, ["meeting_id", "bucket"])

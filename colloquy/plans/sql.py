@@ -155,3 +155,148 @@ cte("rollup", """SELECT p.project_id, p.name, p.company, coalesce(c.n, 0) AS mee
   FROM projects p LEFT JOIN (SELECT project_id, count(*) AS n, sum(duration) AS s, sum(decisions) AS d, sum(items) AS i,
     sum(resolved) AS r FROM counts WHERE status IN ('done', 'completed') GROUP BY project_id) c USING (project_id)""",
     "projects", "counts")
+
+
+# -- text ---------------------------------------------------------------------
+from ..functions import phrases as P  # noqa: E402
+
+
+def matches(x: str, pattern: str) -> str:
+    return f"regexp_matches({x}, {lit('(?i)' + pattern)})"
+
+
+def clean(x: str) -> str:
+    t = f"regexp_replace({strip(x)}, {lit(P.INLINE_FILLER)}, '', 'gi')"
+    t = f"regexp_replace({t}, {lit(P.LEADING_FILLER)}, '', 'i')"
+    t = rf"regexp_replace({t}, '\s+', ' ', 'g')"
+    t = rf"regexp_replace({t}, '\s+([,.!?;:])', '\1', 'g')"
+    t = rf"regexp_replace({t}, '(,\s*){{2,}}', ', ', 'g')"
+    return f"trim({t}, {lit(P.EDGE_PUNCTUATION)})"
+
+
+def _pieces(x: str) -> str:
+    return f"list_filter(list_transform(string_split({x}, '{MARK}'), lambda p: {strip('p')}), lambda p: p <> '')"
+
+
+def sentences(x: str) -> str:
+    gap = lit(r"""([.!?])\s+([A-Za-z"'(])""")
+    first = _pieces(f"regexp_replace({strip(x)}, {gap}, '\\1{MARK}\\2', 'g')")
+    clause = lit(P.CLAUSE_LEAD + "(" + P.CLAUSE_SUBJECT + r"\b)")
+    marked = f"list_transform({first}, lambda s: regexp_replace(s, {clause}, '{MARK}\\1', 'gi'))"
+    return _pieces(f"array_to_string({marked}, '{MARK}')")
+
+
+def word_count(x: str) -> str:
+    return rf"(CASE WHEN {strip(x)} = '' THEN 0 ELSE len(regexp_split_to_array({strip(x)}, '\s+')) END)"
+
+
+def keeps_in_summary(x: str) -> str:
+    return f"({word_count(x)} >= 4 AND NOT {matches(x, P.SMALL_TALK)})"
+
+
+def upper_first(x: str) -> str:
+    return f"(upper(substr({x}, 1, 1)) || substr({x}, 2))"
+
+
+def strip_terminal(x: str) -> str:
+    bare = strip(f"regexp_replace({strip(x)}, '[.!?;:, ]+$', '')")
+    return strip(f"regexp_replace({bare}, {lit(P.TRAILING_DISCOURSE)}, '', 'i')")
+
+
+def title_terms(x: str) -> str:
+    return (f"array_to_string(list_transform(string_split({x}, ' '), lambda w: CASE WHEN list_contains({words(V.KEEP_UPPER)}, w) "
+            f"THEN upper(w) ELSE {upper_first('w')} END), ' ')")
+
+
+def bigrams(toks: str) -> str:
+    return f"list_transform(range(1, len({toks})), lambda i: {toks}[i] || ' ' || {toks}[i + 1])"
+
+
+def ranked(score: str) -> str:
+    return f"round({score}, 9)"
+
+
+cte("doc_clean", f"SELECT *, {clean('text')} AS clean FROM doc", "doc")
+cte("doc_tokens", f"SELECT meeting_id, segment_index, {topic_tokens('clean')} AS tokens FROM doc_clean", "doc_clean")
+cte("doc_size", """SELECT meeting_id, count(*) AS n, CAST(greatest(2, least(8, count(*) // 10)) AS INTEGER) AS w,
+  CAST(greatest(3, least(12, greatest(count(*) // 8, 1))) AS INTEGER) AS min_block FROM doc_tokens GROUP BY 1""", "doc_tokens")
+cte("doc_terms", """SELECT t.meeting_id, segment_index AS s, n, w, min_block, unnest(tokens) AS term FROM doc_tokens t
+  JOIN doc_size z ON t.meeting_id = z.meeting_id AND n >= 6 AND n >= 2 * min_block""", "doc_tokens", "doc_size")
+cte("doc_tf", "SELECT meeting_id, s, n, w, min_block, term, count(*) AS tf FROM doc_terms GROUP BY ALL", "doc_terms")
+cte("doc_bags", """SELECT meeting_id, gap, term, n, sum(CASE WHEN gap >= s THEN tf ELSE 0 END) AS a, sum(CASE WHEN gap < s THEN tf ELSE 0 END) AS b FROM
+  (SELECT *, unnest(range(greatest(s - w, 0), least(s + w - 1, n - 2) + 1)) AS gap FROM doc_tf) GROUP BY ALL""", "doc_tf")
+cte("doc_idf", """SELECT meeting_id, term, ln((1 + n)::DOUBLE / (1 + count(*))) + 0.1 AS idf FROM doc_tf GROUP BY meeting_id, term, n""", "doc_tf")
+cte("doc_gap_sums", """SELECT meeting_id, gap, sum(a * b * idf * idf) AS ab, sum(a * a * idf * idf) AS aa, sum(b * b * idf * idf) AS bb
+  FROM doc_bags JOIN doc_idf USING (meeting_id, term) GROUP BY 1, 2""", "doc_bags", "doc_idf")
+cte("doc_sims", """SELECT t.meeting_id, t.segment_index AS gap, z.n, z.min_block,
+  round(coalesce(CASE WHEN aa > 0 AND bb > 0 THEN ab / (sqrt(aa) * sqrt(bb)) ELSE 0.0::DOUBLE END, 0), 9) AS sim FROM doc_tokens t
+  JOIN doc_size z ON t.meeting_id = z.meeting_id AND n >= 6 AND n >= 2 * min_block
+  LEFT JOIN doc_gap_sums g ON g.meeting_id = t.meeting_id AND g.gap = t.segment_index WHERE t.segment_index <= n - 2""",
+    "doc_tokens", "doc_size", "doc_gap_sums")
+cte("doc_smooth", """SELECT meeting_id, gap, n, min_block, round(CASE WHEN n - 1 >= 3 THEN 0.25::DOUBLE * coalesce(lag(sim) OVER w, sim) + 0.5::DOUBLE * sim
+  + 0.25::DOUBLE * coalesce(lead(sim) OVER w, sim) ELSE sim END, 12) AS sim FROM doc_sims WINDOW w AS (PARTITION BY meeting_id ORDER BY gap)""", "doc_sims")
+cte("doc_islands", """SELECT *, sum(CASE WHEN p >= sim THEN 0 ELSE 1 END) OVER w AS left_run, sum(CASE WHEN q >= sim THEN 0 ELSE 1 END) OVER v AS right_run FROM
+  (SELECT *, lag(sim) OVER (PARTITION BY meeting_id ORDER BY gap) AS p, lead(sim) OVER (PARTITION BY meeting_id ORDER BY gap) AS q FROM doc_smooth)
+  WINDOW w AS (PARTITION BY meeting_id ORDER BY gap), v AS (PARTITION BY meeting_id ORDER BY gap DESC)""", "doc_smooth")
+cte("doc_depth", """SELECT meeting_id, gap, n, min_block, sim, round((first_value(sim) OVER (PARTITION BY meeting_id, left_run ORDER BY gap) - sim) +
+  (first_value(sim) OVER (PARTITION BY meeting_id, right_run ORDER BY gap DESC) - sim), 12) AS depth FROM doc_islands""", "doc_islands")
+cte("doc_cands", """SELECT meeting_id, min_block, CAST(gap + 1 AS INTEGER) AS pos, CAST(ROW_NUMBER() OVER (PARTITION BY meeting_id ORDER BY depth DESC, gap) AS INTEGER) AS rn FROM
+  (SELECT *, round(avg(depth) OVER p + 0.5::DOUBLE * stddev_pop(depth) OVER p, 9) AS threshold FROM doc_depth WINDOW p AS (PARTITION BY meeting_id))
+  WHERE depth >= threshold AND depth > 0.05 AND gap + 1 >= min_block AND n - gap - 1 >= min_block""", "doc_depth")
+cte("doc_cuts", """SELECT meeting_id, list_sort(list_reduce(list_prepend([]::INTEGER[], list_transform(list(pos ORDER BY rn), lambda x: [x])),
+  lambda acc, x: CASE WHEN len(acc) < 7 AND len(list_filter(acc, lambda c: abs(c - x[1]) < any_block)) = 0 THEN list_concat(acc, x) ELSE acc END)) AS cuts
+  FROM (SELECT *, min_block AS any_block FROM doc_cands) GROUP BY meeting_id, any_block""", "doc_cands")
+cte("doc_blocks", """SELECT d.meeting_id, d.segment_index, d.text, d.clean, d.start_time, d.end_time, t.tokens,
+  CAST(len(list_filter(coalesce(c.cuts, []::INTEGER[]), lambda x: x <= d.segment_index)) AS INTEGER) AS block_no FROM doc_clean d
+  JOIN doc_tokens t ON d.meeting_id = t.meeting_id AND d.segment_index = t.segment_index LEFT JOIN doc_cuts c ON d.meeting_id = c.meeting_id""",
+    "doc_clean", "doc_tokens", "doc_cuts")
+cte("block_terms", f"""SELECT meeting_id, block_no, term, size, count(*) AS tf FROM (
+  SELECT meeting_id, block_no, unnest(tokens) AS term, 1 AS size FROM doc_blocks UNION ALL
+  SELECT meeting_id, block_no, unnest({bigrams('tokens')}), 2 FROM doc_blocks) GROUP BY ALL""", "doc_blocks")
+cte("block_scored", """SELECT meeting_id, block_no, term, round(tf * (ln((1 + nb)::DOUBLE / (1 + df)) + 0.3) * CASE WHEN size = 2 THEN 1.6::DOUBLE ELSE 1.0 END, 9) AS score FROM (
+  SELECT *, count(*) OVER (PARTITION BY meeting_id, term) AS df, sum(CASE WHEN size = 1 THEN tf END) OVER (PARTITION BY meeting_id, block_no) AS flat FROM block_terms)
+  JOIN (SELECT meeting_id, count(DISTINCT block_no) AS nb FROM doc_blocks GROUP BY 1) USING (meeting_id) WHERE size = 1 OR tf >= 2 OR nb = 1 OR flat < 25""",
+    "block_terms", "doc_blocks")
+cte("block_first", "SELECT meeting_id, block_no, max((score, term)).term AS t1 FROM (SELECT meeting_id, block_no, {'score': score, 'term': term} AS r, score, term FROM block_scored) GROUP BY 1, 2".replace(
+    "max((score, term)).term", "max(r).term"), "block_scored")
+cte("block_second", """SELECT meeting_id, block_no, max({'score': score, 'term': term}).term AS t2 FROM block_scored JOIN block_first USING (meeting_id, block_no)
+  WHERE NOT list_has_any(string_split(term, ' '), string_split(t1, ' ')) GROUP BY 1, 2""", "block_scored", "block_first")
+cte("doc_titles", f"""SELECT b.meeting_id, b.block_no, CASE WHEN t1 IS NULL THEN 'General discussion' ELSE {title_terms('t1')} || coalesce(' & ' || {title_terms('t2')}, '') END AS title
+  FROM (SELECT DISTINCT meeting_id, block_no FROM doc_blocks) b LEFT JOIN block_first USING (meeting_id, block_no) LEFT JOIN block_second USING (meeting_id, block_no)""",
+    "doc_blocks", "block_first", "block_second")
+cte("block_sents", f"""SELECT *, {topic_tokens('sentence')} AS stoks FROM (SELECT meeting_id, block_no, segment_index, unnest({sentences('clean')}) AS sentence,
+  generate_subscripts({sentences('clean')}, 1) AS sent_no FROM doc_blocks) WHERE {word_count('sentence')} >= 5 AND NOT ends_with(sentence, '?')""", "doc_blocks")
+cte("sent_tf", """SELECT meeting_id, block_no, segment_index, sent_no, term, count(*) AS tf FROM
+  (SELECT meeting_id, block_no, segment_index, sent_no, unnest(stoks) AS term FROM block_sents) GROUP BY ALL""", "block_sents")
+cte("sent_terms", """SELECT t.*, ln((1 + n)::DOUBLE / (1 + df)) + 0.1 AS idf FROM (SELECT meeting_id, block_no, term, count(*) AS df, sum(tf) AS total FROM sent_tf GROUP BY 1, 2, 3) t
+  JOIN (SELECT meeting_id, block_no, count(*) AS n FROM block_sents GROUP BY 1, 2) USING (meeting_id, block_no)""", "sent_tf", "block_sents")
+cte("sent_scores", """SELECT meeting_id, block_no, segment_index, sent_no, round(sum(tf * total * idf * idf) / (sqrt(sum(pow(tf * idf, 2))) * any_value(norm)) *
+  (0.6::DOUBLE + 0.4::DOUBLE * least(1.0::DOUBLE, sum(tf)::DOUBLE / 8)), 9) AS score FROM sent_tf JOIN sent_terms USING (meeting_id, block_no, term)
+  JOIN (SELECT meeting_id, block_no, sqrt(sum(pow(total * idf, 2))) AS norm FROM sent_terms GROUP BY 1, 2) USING (meeting_id, block_no) GROUP BY 1, 2, 3, 4""",
+    "sent_tf", "sent_terms")
+cte("doc_summaries", f"""SELECT b.meeting_id, b.block_no, coalesce(c.summary, f.plain, '') AS summary FROM (SELECT DISTINCT meeting_id, block_no FROM doc_blocks) b
+  LEFT JOIN (SELECT meeting_id, block_no, string_agg({upper_first('sentence')}, ' ' ORDER BY segment_index, sent_no) AS summary FROM (
+    SELECT *, ROW_NUMBER() OVER (PARTITION BY meeting_id, block_no ORDER BY coalesce(score, 0) DESC, segment_index DESC, sent_no DESC) AS rn
+    FROM block_sents LEFT JOIN sent_scores USING (meeting_id, block_no, segment_index, sent_no)) WHERE rn <= 2 GROUP BY 1, 2) c USING (meeting_id, block_no)
+  LEFT JOIN (SELECT meeting_id, block_no, substr({strip("string_agg(clean, ' ' ORDER BY segment_index)")}, 1, 300) AS plain FROM doc_blocks GROUP BY 1, 2) f USING (meeting_id, block_no)""",
+    "doc_blocks", "block_sents", "sent_scores")
+
+# Summary sentences and ranking over conversations and order transcripts.
+for _name, _src in (("conv", "conv"), ("ord", "segs"), ("doc", "doc")):
+    cte(f"{_name}_body", f"""SELECT meeting_id, array_to_string(list(clean ORDER BY segment_index), ' ') AS body FROM
+      (SELECT meeting_id, segment_index, {clean('text')} AS clean FROM {_src}) WHERE clean <> '' GROUP BY 1""", _src)
+    cte(f"{_name}_split", f"SELECT meeting_id, body, list_filter({strict_pieces('body')}, lambda s: {keeps_in_summary('s')}) AS kept FROM {_name}_body", f"{_name}_body")
+    cte(f"{_name}_sents", f"""SELECT meeting_id, unnest(CASE WHEN len(kept) = 0 THEN [body] ELSE kept END) AS sentence,
+      generate_subscripts(CASE WHEN len(kept) = 0 THEN [body] ELSE kept END, 1) AS i FROM {_name}_split""", f"{_name}_split")
+    cte(f"{_name}_stf", f"""SELECT meeting_id, i, term, count(*) AS tf FROM (SELECT meeting_id, i, unnest({summary_tokens('sentence')}) AS term FROM {_name}_sents) GROUP BY ALL""", f"{_name}_sents")
+    cte(f"{_name}_sidf", f"""SELECT meeting_id, term, ln((1 + any_value(n))::DOUBLE / (1 + count(*))) AS idf FROM {_name}_stf
+      JOIN (SELECT meeting_id, count(*) AS n FROM {_name}_sents GROUP BY 1) USING (meeting_id) GROUP BY 1, 2""", f"{_name}_stf", f"{_name}_sents")
+    cte(f"{_name}_tfidf", f"""SELECT s.meeting_id, s.i, s.sentence, coalesce(v.score, 0) AS score FROM {_name}_sents s LEFT JOIN (
+      SELECT meeting_id, i, round(sum(tf * tf::DOUBLE / max_tf * idf) / any_value(len), 9) AS score FROM (
+        SELECT *, max(tf) OVER (PARTITION BY meeting_id, i) AS max_tf, sum(tf) OVER (PARTITION BY meeting_id, i) AS len FROM {_name}_stf) JOIN {_name}_sidf USING (meeting_id, term) GROUP BY 1, 2) v
+      USING (meeting_id, i)""", f"{_name}_sents", f"{_name}_stf", f"{_name}_sidf")
+    cte(f"{_name}_freq", f"""SELECT meeting_id, term, n, n::DOUBLE / max(n) OVER (PARTITION BY meeting_id) AS freq, first_at FROM (SELECT meeting_id, term, count(*) AS n, min(pos) AS first_at FROM (
+      SELECT meeting_id, unnest({summary_tokens('body')}) AS term, generate_subscripts({summary_tokens('body')}, 1) AS pos FROM {_name}_body) GROUP BY 1, 2)""", f"{_name}_body")
+    cte(f"{_name}_fscore", f"""SELECT s.meeting_id, s.i, s.sentence, coalesce(v.score, 0) AS score FROM {_name}_sents s LEFT JOIN (
+      SELECT meeting_id, i, round(sum(tf * coalesce(freq, 0)) / sum(tf), 9) AS score FROM {_name}_stf LEFT JOIN {_name}_freq USING (meeting_id, term) GROUP BY 1, 2) v USING (meeting_id, i)""",
+        f"{_name}_sents", f"{_name}_stf", f"{_name}_freq")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -35,7 +36,25 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
     context.setCheckpointDir(named or tempfile.mkdtemp(prefix="spark-checkpoint-"))
 
 
-def cut(df: DataFrame, eager: bool = True) -> DataFrame:
-    """Materialise ``df`` on shared storage so later branches read it instead of recomputing it."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager)
+def cut(df: DataFrame) -> DataFrame:
+    """Write ``df`` as a table in the shared checkpoint folder and continue from there.
+
+    Later branches read the stored columns they need instead of recomputing the
+    plan, a lost executor costs only its own tasks, and the stored sizes let Spark
+    choose joins by size.
+    """
+    spark = df.sparkSession
+    ensure_checkpoint_dir(spark)
+    target = f"{spark.sparkContext.getCheckpointDir()}/cut-{uuid.uuid4().hex}"
+    df.write.parquet(target)
+    return spark.read.schema(df.schema).parquet(target)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Use all cores for row-wise work on an input that arrives in very few partitions.
+
+    Inputs with at least one partition per core, as on a cluster, are left alone.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    arriving = df._jdf.queryExecution().toRdd().getNumPartitions()
+    return df.repartition(cores) if arriving < cores else df

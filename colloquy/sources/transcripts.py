@@ -8,12 +8,18 @@ from pyspark.sql import functions as F
 from ..functions import values as V
 from ..functions.text import split_sentences_strict, strip
 from ..operators.blocks import BLOCK_ROWS, block_scan, index_block, row_index
+from ..session import spread
 
 
 def table(spark: SparkSession, path: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{path}/{name}.parquet")
 
 
+def text_table(spark: SparkSession, path: str, name: str) -> DataFrame:
+    """A table whose rows are expensive to process, spread over all cores."""
+    return spread(table(spark, path, name))
+
+
 def read_utterances(segments: DataFrame, speakers: DataFrame) -> DataFrame:
     """Segments with their speaker label; rows without a speaker get the default label.
 
@@ -51,16 +57,17 @@ def documents_as_utterances(documents: DataFrame, chars_per_second: float = V.CH
     pieces = documents.select(
         F.col("doc_id").cast("string").alias("meeting_id"), F.col("source").alias("speaker"),
         split_sentences_strict(F.col("text")).alias("__s"))
-    ends = F.aggregate(
-        "__s", F.array(F.lit(0).cast("long")),
-        lambda acc, s: F.concat(acc, F.array(F.element_at(acc, -1) + F.length(s))))
+    def add(rows: Column, text: Column) -> Column:
+        upto = F.coalesce(F.get(rows, F.size(rows) - 1)["upto"], F.lit(0).cast("long"))
+        row = F.struct(F.size(rows).alias("segment_index"), text.alias("text"), upto.alias("before"),
+                       (upto + F.length(text)).alias("upto"))
+        return F.concat(rows, F.array(row))
+
+    none = F.array().cast("array<struct<segment_index:int,text:string,before:bigint,upto:bigint>>")
     rate = F.lit(float(chars_per_second))
-    rows = pieces.withColumn("__ends", ends).select("meeting_id", "speaker", F.transform(
-        "__s", lambda s, i: F.struct(
-            i.cast("int").alias("segment_index"), s.alias("text"), (F.get("__ends", i) / rate).alias("start_time"),
-            (F.get("__ends", i + 1) / rate).alias("end_time"))).alias("__rows"))
-    return rows.select("meeting_id", "speaker", F.inline("__rows")).select(
-        "meeting_id", "segment_index", "speaker", "text", "start_time", "end_time")
+    return (pieces.select("meeting_id", "speaker", F.inline(F.aggregate("__s", none, add)))
+            .select("meeting_id", "segment_index", "speaker", "text", (F.col("before") / rate).alias("start_time"),
+                    (F.col("upto") / rate).alias("end_time")))
 
 
 # Sentences for transcripts derived from orders, one per speech act.  {k} is the order key.
