@@ -35,7 +35,13 @@ def strip_chars(col: Column, chars: str) -> Column:
 
 
 def word_array(words: list[str]) -> Column:
-    return F.array(*[F.lit(w) for w in words])
+    """A constant array, built from one literal so that plans stay small."""
+    return F.split(F.lit("\n".join(words)), "\n")
+
+
+def in_words(col: Column, words: list[str]) -> Column:
+    """Membership in a fixed list; Spark turns it into one hash lookup."""
+    return col.isin(words)
 
 
 def word_count(col: Column) -> Column:
@@ -90,8 +96,7 @@ def tokens_topic(col: Column, exclude: Column | None = None) -> Column:
     bare = F.translate(F.lower(col), "’'", "")
     found = F.transform(F.regexp_extract_all(bare, F.lit(r"[a-z][a-z0-9'+\-]{1,}"), F.lit(0)),
                         lambda w: F.btrim(w, F.lit("-")))
-    stop = word_array(V.TOPIC_STOP)
-    kept = F.filter(found, lambda w: (F.length(w) > 2) & ~F.array_contains(stop, w))
+    kept = F.filter(found, lambda w: (F.length(w) > 2) & ~in_words(w, V.TOPIC_STOP))
     if exclude is not None:
         kept = F.filter(kept, lambda w: ~F.coalesce(F.array_contains(exclude, w), F.lit(False)))
     return kept
@@ -102,9 +107,8 @@ ASCII_PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 
 def tokens_summary(col: Column) -> Column:
     bare = F.translate(F.lower(col), ASCII_PUNCTUATION, "")
-    stop = word_array(V.SUMMARY_STOP)
     return F.filter(F.split(strip(bare), CASED + r"\s+"),
-                    lambda w: (F.length(w) > 2) & ~F.array_contains(stop, w))
+                    lambda w: (F.length(w) > 2) & ~in_words(w, V.SUMMARY_STOP))
 
 
 def _accent_table() -> tuple[str, str]:
@@ -132,8 +136,7 @@ def normalize_text(col: Column) -> Column:
 def tokens_norm(col: Column, remove_stopwords: bool = True) -> Column:
     toks = F.filter(F.split(normalize_text(col), " "), lambda t: t != "")
     if remove_stopwords:
-        stop = word_array(V.NORM_STOP)
-        toks = F.filter(toks, lambda t: ~F.array_contains(stop, t))
+        toks = F.filter(toks, lambda t: ~in_words(t, V.NORM_STOP))
     return toks
 
 
@@ -163,9 +166,8 @@ def capitalize_first(col: Column) -> Column:
 
 
 def title_case_terms(col: Column) -> Column:
-    keep = word_array(V.KEEP_UPPER)
     return F.array_join(F.transform(
-        F.split(col, " "), lambda w: F.when(F.array_contains(keep, w), F.upper(w)).otherwise(upper_first(w))), " ")
+        F.split(col, " "), lambda w: F.when(in_words(w, V.KEEP_UPPER), F.upper(w)).otherwise(upper_first(w))), " ")
 
 
 def truncate_words(col: Column, max_chars: int = 200) -> Column:
@@ -197,7 +199,7 @@ def split_rationale(col: Column) -> Column:
 
 
 def looks_like_name(token: Column, known: Column | None = None) -> Column:
-    by_shape = token.rlike("^[A-Z][a-z]{1,20}$") & ~F.array_contains(word_array(V.CAP_NOT_NAME), token)
+    by_shape = token.rlike("^[A-Z][a-z]{1,20}$") & ~in_words(token, V.CAP_NOT_NAME)
     if known is None:
         return F.coalesce(by_shape, F.lit(False))
     return F.coalesce(by_shape | F.coalesce(F.array_contains(known, token), F.lit(False)), F.lit(False))
@@ -214,9 +216,8 @@ def starts_with_action_verb(col: Column) -> Column:
     helper = F.get(toks, F.lit(0)).isin("be", "being", "have", "having", "get", "getting")
     first = F.when(helper & (F.size(toks) > 1), F.get(toks, F.lit(1))).otherwise(F.get(toks, F.lit(0)))
     stem = F.regexp_replace(first, "(?:ing|es|s|ed)$", "")
-    verbs = word_array(V.ACTION_VERBS)
-    known = (F.array_contains(verbs, first) | F.array_contains(verbs, stem)
-             | F.array_contains(verbs, F.concat(first, F.lit("e"))))
+    forms = F.array(first, stem, F.concat(first, F.lit("e")))
+    known = F.exists(forms, lambda f: in_words(f, V.ACTION_VERBS))
     return F.coalesce(~matches(col, P.IN_MEETING_TALK) & (F.size(toks) > 0) & known, F.lit(False))
 
 

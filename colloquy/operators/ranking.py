@@ -84,21 +84,20 @@ def tfidf_rank(sentences: DataFrame, k: int = 5, keys: tuple[str, ...] = ("meeti
     return best_texts(tfidf_scores(sentences, keys), k, keys)
 
 
-def term_frequencies(utterances: DataFrame) -> DataFrame:
+def term_frequencies(utterances: DataFrame, keys: tuple[str, ...] = ("meeting_id",)) -> DataFrame:
     """Counts and counts relative to the most frequent term; ``first_at`` is the first appearance."""
     toks = utterances.select(
-        "meeting_id", "segment_index",
-        F.posexplode(T.tokens_summary(T.clean_text(F.col("text")))).alias("token_no", "term"))
-    counts = toks.groupBy("meeting_id", "term").agg(
+        *keys, "segment_index", F.posexplode(T.tokens_summary(T.clean_text(F.col("text")))).alias("token_no", "term"))
+    counts = toks.groupBy(*keys, "term").agg(
         F.count("*").alias("n"), F.min(F.struct("segment_index", "token_no")).alias("first_at"))
-    top = counts.groupBy("meeting_id").agg(F.max("n").alias("top"))
-    return counts.join(top, "meeting_id").select("meeting_id", "term", "n", (F.col("n") / F.col("top")).alias("freq"), "first_at")
+    top = counts.groupBy(*keys).agg(F.max("n").alias("top"))
+    return counts.join(top, list(keys)).select(*keys, "term", "n", (F.col("n") / F.col("top")).alias("freq"), "first_at")
 
 
-def freq_scores(sentences: DataFrame, frequencies: DataFrame) -> DataFrame:
+def freq_scores(sentences: DataFrame, frequencies: DataFrame, keys: tuple[str, ...] = ("meeting_id",)) -> DataFrame:
     """Mean relative term frequency of a sentence."""
-    weights = frequencies.select("meeting_id", "term", "freq")
-    return _scored(sentences, ["meeting_id"], weights, F.coalesce("freq", F.lit(0.0)))
+    weights = frequencies.select(*keys, "term", "freq")
+    return _scored(sentences, list(keys), weights, F.coalesce("freq", F.lit(0.0)))
 
 
 def freq_rank(sentences: DataFrame, frequencies: DataFrame, k: int = 5) -> DataFrame:

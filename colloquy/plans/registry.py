@@ -21,5 +21,5 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def load_all() -> tuple[dict[str, Query], dict[str, str]]:
-    from . import core_queries, stream_queries, text_queries  # noqa: F401  (registration)
+    from . import context_queries, core_queries, stream_queries, text_queries  # noqa: F401  (registration)
     return QUERIES, ORACLES
