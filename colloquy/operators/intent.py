@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from ..functions import phrases as P
 from ..functions import text as T
 from ..functions import values as V
+from ..session import cut
 from .blocks import block_scan, index_block, with_halo
 
 RULES = P.SENTENCE_RULES
@@ -273,12 +274,12 @@ def context_rows(utterances: DataFrame, names: DataFrame | None = None, min_conf
     facts = names.groupBy("meeting_id").agg(
         F.count("*").alias("n_speakers"), F.min("speaker").alias("low"), F.min_by("display", "speaker").alias("low_name"),
         F.max_by("display", "speaker").alias("high_name"), F.collect_set(F.when(odd, F.col("display"))).alias("known"))
-    rows = (sentences(utterances).join(names.select("meeting_id", "speaker", "display"), ["meeting_id", "speaker"])
-            .join(facts, "meeting_id"))
+    rows = cut(sentences(utterances).join(names.select("meeting_id", "speaker", "display"), ["meeting_id", "speaker"])
+               .join(facts, "meeting_id"), wide=True)
     rows = analyse(rows, "raw", "a", known="known")
     rows = rows.withColumn("decided", F.when((F.col("a.intent") == "decision") & (F.col("a.confidence") >= min_conf), F.col("a.description")))
     # Only an assignment inside a decision matters here, so the continuation rule is not needed.
-    rows = analyse(rows, "decided", "nested", known="known", nested=False)
+    rows = cut(analyse(rows, "decided", "nested", known="known", nested=False))
     concrete = (F.col("a.description") != "") & (F.col("a.intent").isin(*ACTIONABLE) | (
         (F.col("a.intent") == "decision") & (F.col("a.confidence") < min_conf)))
     halo = with_halo(rows.withColumn("task", F.when(concrete, F.struct(

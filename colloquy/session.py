@@ -36,25 +36,39 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
     context.setCheckpointDir(named or tempfile.mkdtemp(prefix="spark-checkpoint-"))
 
 
-def cut(df: DataFrame) -> DataFrame:
+def cut(df: DataFrame, wide: bool = False) -> DataFrame:
     """Write ``df`` as a table in the shared checkpoint folder and continue from there.
 
     Later branches read the stored columns they need instead of recomputing the
     plan, a lost executor costs only its own tasks, and the stored sizes let Spark
-    choose joins by size.
+    choose joins by size.  ``wide`` prepares the table for heavy row-wise work: a
+    small table that landed in fewer files than there are cores is stored once more
+    with one file per core.
     """
     spark = df.sparkSession
     ensure_checkpoint_dir(spark)
-    target = f"{spark.sparkContext.getCheckpointDir()}/cut-{uuid.uuid4().hex}"
-    df.write.parquet(target)
-    return spark.read.schema(df.schema).parquet(target)
 
+    def stored(rows: DataFrame) -> DataFrame:
+        target = f"{spark.sparkContext.getCheckpointDir()}/cut-{uuid.uuid4().hex}"
+        rows.write.parquet(target)
+        return spark.read.schema(df.schema).parquet(target)
 
-def spread(df: DataFrame) -> DataFrame:
-    """Use all cores for row-wise work on an input that arrives in very few partitions.
+    out = stored(df)
+    if wide:
+        again = spread(out)
+        out = out if again is out else stored(again)
+    return out
 
-    Inputs with at least one partition per core, as on a cluster, are left alone.
+
+def spread(stored: DataFrame, worth_bytes: int = 20_000) -> DataFrame:
+    """Use all cores for row-wise work on a stored table that arrives in very few partitions.
+
+    ``stored`` must be a plain scan: its partitions and size are known without
+    running anything.  Tables with at least one partition per core, as on a cluster,
+    and tiny ones are left alone.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    arriving = df._jdf.queryExecution().toRdd().getNumPartitions()
-    return df.repartition(cores) if arriving < cores else df
+    cores = stored.sparkSession.sparkContext.defaultParallelism
+    execution = stored._jdf.queryExecution()
+    if int(str(execution.optimizedPlan().stats().sizeInBytes())) < worth_bytes:
+        return stored
+    return stored.repartition(cores) if execution.toRdd().getNumPartitions() < cores else stored

@@ -23,11 +23,11 @@ def decode_json(df: DataFrame, schemas: Mapping[str, str]) -> DataFrame:
         c: F.coalesce(F.from_json(c, ddl), F.array().cast(ddl)) for c, ddl in schemas.items()})
 
 
-def align_schema(df: DataFrame, schema: T.StructType, defaults: Mapping[str, object] = ALIGN_DEFAULTS) -> DataFrame:
+def align_schema(df: DataFrame, schema: str, defaults: Mapping[str, object] = ALIGN_DEFAULTS) -> DataFrame:
     """Columns of ``schema`` in order; a column the data lacks gets its default or null."""
     return df.select(*[
         (F.col(f.name) if f.name in df.columns else F.lit(defaults.get(f.name))).cast(f.dataType).alias(f.name)
-        for f in schema.fields])
+        for f in T.StructType.fromDDL(schema).fields])
 
 
 def extension_of(path: Column) -> Column:
