@@ -21,7 +21,7 @@ from . import summaries as SU
 from .core_queries import r6
 from .registry import query
 from .sql import with_
-from .text_queries import orders
+from .text_queries import order_texts, orders
 
 # Expected reading of every order sentence, by key % 20: intent, confidence, description, owner, due, rationale.
 READING = {
@@ -63,19 +63,19 @@ def reading(field: int, key: str = "k") -> str:
 @query("classify_intent", with_("ord", f"""SELECT k, {reading(0)} AS intent, {reading(1)} AS confidence, {reading(2)} AS description, {reading(3)} AS owner,
   {reading(4)} AS due, {reading(5)} AS rationale FROM ord"""))
 def _(spark, path):
-    seen = I.analyse(orders(spark, path).select(F.col("order_key").alias("k"), "text"), "text", "a")
+    seen = I.analyse(order_texts(spark, path).select(F.col("order_key").alias("k"), "text"), "text", "a")
     return seen.select("k", "a.intent", "a.confidence", "a.description", "a.owner", "a.due", "a.rationale")
 
 
 @query("classify_segment", with_("ord", """SELECT k, CASE WHEN k % 20 IN (0, 1, 2, 3, 4, 5, 16, 17, 19) THEN 'action_item' WHEN k % 20 IN (6, 7, 18) THEN 'decision' ELSE 'general' END AS label FROM ord"""))
 def _(spark, path):
-    return I.classify_segment(orders(spark, path).select(F.col("order_key").alias("k"), "text")).select("k", "label")
+    return I.classify_segment(order_texts(spark, path).select(F.col("order_key").alias("k"), "text")).select("k", "label")
 
 
 @query("score_urgency", with_("ord", f"""SELECT k, CASE WHEN critical >= 4 THEN 'critical' WHEN high >= 3 OR (critical >= 2 AND high >= 1) THEN 'high' WHEN medium >= 2 OR high >= 1 THEN 'medium' ELSE 'low' END AS urgency FROM (SELECT k,
   {", ".join("(" + " + ".join(f"CASE WHEN {Q.matches('text', p)} THEN {w} ELSE 0 END" for p, w in P.URGENCY_SIGNALS[level]) + f") AS {level}" for level in ("critical", "high", "medium"))} FROM ord)"""))
 def _(spark, path):
-    return orders(spark, path).select(F.col("order_key").alias("k"), L.score_urgency(F.col("text")).alias("urgency"))
+    return order_texts(spark, path).select(F.col("order_key").alias("k"), L.score_urgency(F.col("text")).alias("urgency"))
 
 
 @query("extract_owner", with_("ord", """, p AS (SELECT *, CASE WHEN k % 20 = 2 THEN 'Maria' END AS own FROM ord)
@@ -145,7 +145,7 @@ def _(spark, path):
 
 @query("second_opinion")
 def _(spark, path):
-    seen = cut(I.classify_segment(orders(spark, path).select(F.col("order_key").alias("k"), "text")))
+    seen = cut(I.classify_segment(order_texts(spark, path).select(F.col("order_key").alias("k"), "text")))
     model = ML.train_classifier(seen.filter("label_confidence >= 0.5"), iterations=50)
     return ML.second_opinion(seen, model).select("k", "label")
 

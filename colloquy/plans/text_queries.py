@@ -30,6 +30,12 @@ def orders(spark, path):
     return X.orders_as_utterances(X.table(spark, path, "orders"))
 
 
+def order_texts(spark, path):
+    """Order sentences without positions, for row-wise functions."""
+    o = X.text_table(spark, path, "orders")
+    return o.select(F.col("o_orderkey").alias("order_key"), X.order_sentence(F.col("o_orderkey")).alias("text"))
+
+
 # -- functions over documents and conversations ---------------------------------
 
 @query("clean_text", f"SELECT doc_id, {Q.clean('text')} AS clean FROM documents")
@@ -139,24 +145,24 @@ FLAGS = {"question": P.QUESTION, "wh_question": P.WH_QUESTION, "conditional": P.
 
 @query("sentence_flags", with_("ord", "SELECT k, " + ", ".join(f"{Q.matches(Q.clean('text'), p)} AS {n}" for n, p in FLAGS.items()) + " FROM ord"))
 def _(spark, path):
-    clean = orders(spark, path).withColumn("clean", T.clean_text(F.col("text")))
+    clean = order_texts(spark, path).withColumn("clean", T.clean_text(F.col("text")))
     return clean.select(F.col("order_key").alias("k"), *[T.matches(F.col("clean"), p).alias(n) for n, p in FLAGS.items()])
 
 
 @query("find_due", with_("ord", f"""SELECT k, coalesce(nullif(regexp_extract(text, {Q.lit('(?i)' + P.DUE_PHRASE)}, 1), ''), nullif(regexp_extract(text, {Q.lit('(?i)' + P.DUE_WORD)}, 1), '')) AS due FROM ord"""))
 def _(spark, path):
-    return orders(spark, path).select(F.col("order_key").alias("k"), T.find_due(F.col("text")).alias("due"))
+    return order_texts(spark, path).select(F.col("order_key").alias("k"), T.find_due(F.col("text")).alias("due"))
 
 
 @query("split_rationale", with_("ord", """SELECT k, CASE k % 20 WHEN 6 THEN 'We decided to cancel order ' || CAST(k AS VARCHAR) ELSE text END AS head, CASE k % 20 WHEN 6 THEN 'The stock is gone' END AS rationale FROM ord"""))
 def _(spark, path):
-    parts = orders(spark, path).select(F.col("order_key").alias("k"), T.split_rationale(F.col("text")).alias("r"))
+    parts = order_texts(spark, path).select(F.col("order_key").alias("k"), T.split_rationale(F.col("text")).alias("r"))
     return parts.select("k", "r.head", "r.rationale")
 
 
 @query("addressee", with_("ord", "SELECT k, CASE WHEN k % 20 = 3 THEN 'Tomas' END AS name FROM ord"))
 def _(spark, path):
-    return orders(spark, path).select(F.col("order_key").alias("k"), T.addressee(F.col("text")).alias("name"))
+    return order_texts(spark, path).select(F.col("order_key").alias("k"), T.addressee(F.col("text")).alias("name"))
 
 
 @query("starts_with_action_verb", with_("items", "SELECT item_id, true AS verb_first FROM items"))
