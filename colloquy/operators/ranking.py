@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..session import cut
 from .blocks import block_scan, index_block
 from .filters import top_k
 
@@ -24,9 +25,10 @@ def summary_sentences(utterances: DataFrame) -> DataFrame:
     """
     clean = utterances.select("meeting_id", "segment_index", T.clean_text(F.col("text")).alias("clean")).filter("clean <> ''")
     shaped = clean.withColumn("pieces", T.split_sentences_strict(F.col("clean")))
-    edges = shaped.withColumn("opens", F.col("clean").rlike("^[A-Z]")).withColumn("ends", F.col("clean").rlike("[.!?]$"))
+    # Cleaning and splitting happen once; both scans and the fallback read the stored rows.
+    edges = cut(shaped.withColumn("opens", F.col("clean").rlike("^[A-Z]")).withColumn("ends", F.col("clean").rlike("[.!?]$")))
     block = index_block("segment_index")
-    linked = block_scan(edges, ["meeting_id"], block, ["segment_index"], lags={"prev_ends": F.col("ends")})
+    linked = block_scan(edges.drop("clean"), ["meeting_id"], block, ["segment_index"], lags={"prev_ends": F.col("ends")})
     joined = linked.withColumn("continues", F.col("prev_ends").isNotNull() & ~(F.col("prev_ends") & F.col("opens")))
     # A segment holds size(pieces) pieces; the first one may belong to the sentence before.
     own = F.size("pieces") - F.col("continues").cast("int")
@@ -41,8 +43,9 @@ def summary_sentences(utterances: DataFrame) -> DataFrame:
                                  lambda p: p["piece"]), " ").alias("sentence"),
         F.min(F.struct("segment_index", "piece_no")).alias("at"))
     placed = whole.select("meeting_id", F.col("at.segment_index"), F.col("at.piece_no"), "sentence")
-    kept = placed.filter(T.keeps_in_summary(F.col("sentence")))
-    empty = clean.join(kept.select("meeting_id").distinct(), "meeting_id", "left_anti")
+    kept = cut(placed.filter(T.keeps_in_summary(F.col("sentence"))))
+    empty = edges.select("meeting_id", "segment_index", "clean").join(
+        kept.select("meeting_id").distinct(), "meeting_id", "left_anti")
     fallback = empty.groupBy("meeting_id").agg(
         F.min("segment_index").alias("segment_index"), F.lit(0).alias("piece_no"),
         F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("segment_index", "clean"))), lambda s: s["clean"]),
