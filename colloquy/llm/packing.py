@@ -95,10 +95,15 @@ def configurations(sizes: list[int], demand: list[int], capacity: int) -> list[t
     return [([int(x) for x in basis[:, k]], int(level[k] + 1e-6)) for k in range(m)]
 
 
-def plan(counts: dict[int, int], capacity: int, groups: int = 24) -> list[Run]:
-    """Kinds of sequences that hold ``counts`` pieces of each length."""
+def plan(counts: dict[int, int], capacity: int, groups: int = 32) -> list[Run]:
+    """Kinds of sequences that hold ``counts`` pieces of each length: the best of a few bounds between large and small."""
+    made = (plan_with(counts, capacity, groups, capacity * n // 32) for n in (8, 12, 15, 16))
+    return min(made, key=lambda runs: sum(times for times, _ in runs))
+
+
+def plan_with(counts: dict[int, int], capacity: int, groups: int, small: int) -> list[Run]:
+    """Lengths above ``small`` by grouping and configurations, the rest best-fit."""
     runs: list[Run] = [(counts[capacity], ((capacity, 1),))] if counts.get(capacity) else []
-    small = capacity // 8
     left = {k: v for k, v in counts.items() if v and k != capacity}
     grouped = group_sizes({k: v for k, v in left.items() if k > small}, groups)
     open_runs: list[list[Run]] = [[] for _ in range(capacity + 1)]  # by free room
@@ -153,7 +158,7 @@ def slots(runs: list[Run]) -> dict[str, np.ndarray]:
     return dict(zip(("length", "first", "sequence", "offset"), np.array(rows or np.zeros((0, 4)), np.int64).T))
 
 
-def pack(docs: DataFrame, capacity: int = 1024, vocab: str | None = None, end: int = 2, groups: int = 24) -> DataFrame:
+def pack(docs: DataFrame, capacity: int = 1024, vocab: str | None = None, end: int = 2, groups: int = 32) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32, sequence_id, offset: every piece and its place."""
     cut = store(pieces(docs, vocab or vocabulary(), capacity, end), "pieces")
     blocks = store(cut.groupBy("length", "block").agg(F.count("*").alias("n")), "blocks")
