@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window, functions as F
 
-from .common import slices, store
+from .common import ship, slices, store
 from .tokens import encoder, vocabulary
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, block int"
@@ -160,6 +160,7 @@ def slots(runs: list[Run]) -> dict[str, np.ndarray]:
 
 def pack(docs: DataFrame, capacity: int = 1024, vocab: str | None = None, end: int = 2, groups: int = 32) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32, sequence_id, offset: every piece and its place."""
+    ship(docs.sparkSession)
     cut = store(pieces(docs, vocab or vocabulary(), capacity, end), "pieces")
     blocks = store(cut.groupBy("length", "block").agg(F.count("*").alias("n")), "blocks")
     counts = {r["length"]: r["n"] for r in blocks.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # at most ``capacity`` rows

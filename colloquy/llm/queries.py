@@ -27,3 +27,9 @@ def op1_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .packing import pack
     return pack(table(spark, sf_dir, "documents"), capacity=1024)
+
+
+@query
+def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .jaccard_join import similar_classes
+    return similar_classes(table(spark, sf_dir, "documents"), words=4, num=85, den=100)

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from .common import shared_path, slices, store
+from .common import shared_path, ship, slices, store
 from .tokens import encoder, vocabulary
 
 SEGMENT = 1 << 20
@@ -151,7 +151,7 @@ def write_store(docs: DataFrame, path: str, vocab: str, end: int = 2) -> DataFra
     The rows are range-partitioned by doc_id, each task writes one file under a name of
     its attempt and moves it in place when it is whole, so a task that runs again does no harm.
     """
-    spark = docs.sparkSession
+    ship(docs.sparkSession)
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyarrow import fs
