@@ -33,3 +33,9 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .jaccard_join import similar_classes
     return similar_classes(table(spark, sf_dir, "documents"), words=4, num=85, den=100)
+
+
+@query
+def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .suffix_dedup import remove_repeats
+    return remove_repeats(table(spark, sf_dir, "documents"), length=200).drop("starts", "ends")
