@@ -39,3 +39,9 @@ def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .suffix_dedup import remove_repeats
     return remove_repeats(table(spark, sf_dir, "documents"), length=200).drop("starts", "ends")
+
+
+@query
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .language import identify
+    return identify(table(spark, sf_dir, "documents"))
