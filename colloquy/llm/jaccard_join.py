@@ -67,10 +67,10 @@ def shingle_sets(docs: DataFrame, words: int, num: int, den: int, whole: bool) -
 
 def _screened(nodes: DataFrame) -> DataFrame:
     """Nodes that may be similar to another one (2)."""
-    entries = nodes.select("node", "need", F.explode("shingles").alias("s"))
+    entries = nodes.select("node", F.explode("shingles").alias("s"))
     shared = entries.groupBy("s").agg(F.count("*").alias("df")).where("df > 1").select("s")
-    hits = entries.join(shared, "s").groupBy("node", "need").agg(F.count("*").alias("hits"))
-    return hits.where("hits >= need").select("node")
+    hits = entries.join(shared, "s").groupBy("node").agg(F.count("*").alias("hits"))
+    return nodes.select("node", "n", "hi", "lo", "need").join(hits, "node").where("hits >= need").select("node", "n", "hi", "lo")
 
 
 def _entries(whole: DataFrame, num: int, den: int) -> DataFrame:
@@ -144,7 +144,9 @@ def similar_classes(docs: DataFrame, words: int = 5, num: int = 80, den: int = 1
     node = F.coalesce("doc", F.col("hi").bitwiseOR(F.lit(-1 << 63)))
     nodes = store(signed.where("n > 0").groupBy("n", "hi", "lo").agg(F.min("doc_id").alias("doc"), F.first("need").alias("need"), F.first("shingles").alias("shingles"))
                   .select(node.alias("node"), "n", "hi", "lo", "need", "shingles"), "nodes")
-    kept = store(_screened(nodes).join(nodes.select("node", "n", "hi", "lo"), "node"), "screened")
+    ids = store(signed.select("doc_id", "n", "hi", "lo"), "ids")
+    drop(signed)
+    kept = store(_screened(nodes), "screened")
     texts = docs.select(F.col("doc_id").cast("long"), "text")
     wanted = texts.join(kept.select(F.col("node").alias("doc_id")), "doc_id", "left_semi").unionByName(texts.where("doc_id is null"))
     sets = shingle_sets(wanted, words, num, den, whole=True).select("n", "hi", "lo", "shingles")
@@ -163,5 +165,5 @@ def similar_classes(docs: DataFrame, words: int = 5, num: int = 80, den: int = 1
     named = found.groupBy("component").agg(F.min(F.when(F.col("node") >= 0, F.col("node"))).alias("component_id"))
     of_node = nodes.select("node", "n", "hi", "lo").join(found.join(named, "component"), "node", "left").select(
         "n", "hi", "lo", F.coalesce("component_id", F.when(F.col("node") >= 0, F.col("node"))).alias("component_id"))
-    out = signed.select("doc_id", "n", "hi", "lo").join(of_node, ["n", "hi", "lo"], "left")
+    out = ids.join(of_node, ["n", "hi", "lo"], "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
