@@ -25,13 +25,14 @@ def shared_path(spark: SparkSession, what: str) -> str:
 
 
 def ship(spark: SparkSession) -> None:
-    """Send this package to the Python workers once, as ``--py-files`` would."""
+    """Send this package to the Python workers once, as ``--py-files`` would, and keep the batches of texts they get small."""
     import shutil
     import tempfile
     from pathlib import Path
     context = spark.sparkContext
     if getattr(context, "_colloquy_shipped", False):
         return
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
     root = Path(__file__).resolve().parents[2]
     archive = shutil.make_archive(f"{tempfile.mkdtemp()}/colloquy", "zip", root, "colloquy")
     context.addPyFile(archive)
