@@ -147,6 +147,7 @@ def span_hashes(sums: np.ndarray, inverse: np.ndarray, starts: np.ndarray, ends:
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, 9, 10, 11, 12, 13]] = True
+_SIGN = np.array([33 <= b < 127 and not chr(b).isalnum() for b in range(256)])
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 
@@ -154,14 +155,20 @@ _LOWER[65:91] += 32
 class Words:
     """The words ``[^\\x20\\x09-\\x0D]+`` of a batch of texts: spans in the joined bytes, A-Z lower-cased, and their hashes.
 
-    ``first`` has n+1 entries: text i has the words first[i] to first[i + 1].
+    ``first`` has n+1 entries: text i has the words first[i] to first[i + 1].  With
+    ``plain`` ASCII signs part words like white space, and Latin-1 letters are lower-cased too.
     """
 
-    def __init__(self, column: pa.Array):
+    def __init__(self, column: pa.Array, plain: bool = False):
         data, self.offsets = text_bytes(column)
         self.raw = data
         data = _LOWER[data]
         word = ~_SPACE[data]
+        if plain:
+            word &= ~_SIGN[data]
+            high = np.flatnonzero(data[:-1] == 0xC3) + 1
+            high = high[(data[high] >= 0x80) & (data[high] <= 0x9E) & (data[high] != 0x97)]
+            data[high] += 0x20
         begins = word.copy()
         begins[1:] &= ~word[:-1]
         inner = self.offsets[:-1][(np.diff(self.offsets) > 0)]
