@@ -42,15 +42,15 @@ def ship(spark: SparkSession) -> None:
 def store(df: DataFrame, what: str = "stage") -> DataFrame:
     """Write ``df`` in the shared folder and continue from there, so that lost executors cost only their own tasks."""
     path = shared_path(df.sparkSession, what)
-    df.write.parquet(path)
     _free_shuffles(df.sparkSession)
+    df.write.parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._stored_at = path
     return out
 
 
 def _free_shuffles(spark: SparkSession) -> None:
-    """Let Spark delete the shuffle files of finished jobs now; it does so when the driver collects garbage."""
+    """Let Spark delete the shuffle files of earlier stages now; it does so when the driver collects garbage."""
     gc.collect()
     spark._jvm.System.gc()
 
