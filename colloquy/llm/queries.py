@@ -71,3 +71,9 @@ def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op6_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return preference.preference_rows(preference.consecutive_pairs(table(spark, sf_dir, "conversations")))
+
+
+@query
+def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .passages import repeated_passages
+    return repeated_passages(table(spark, sf_dir, "documents"), passage=50, least=0.8)
