@@ -57,16 +57,21 @@ def _free_shuffles(spark: SparkSession) -> None:
 
 def drop(df: DataFrame) -> None:
     """Delete a table made by :func:`store` that no later plan reads."""
-    _delete(df.sparkSession, df._stored_at)
+    delete(df.sparkSession, df._stored_at)
 
 
 def drop_stored(spark: SparkSession) -> None:
     """Delete every stage stored so far; call it only when the results made from them have been written."""
     while _STORED:
-        _delete(spark, _STORED[-1])
+        delete(spark, _STORED[-1])
 
 
-def _delete(spark: SparkSession, path: str) -> None:
+def stored_paths() -> set[str]:
+    return set(_STORED)
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    """Delete one path made by :func:`shared_path`."""
     target = spark._jvm.org.apache.hadoop.fs.Path(path)
     target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
     if path in _STORED:

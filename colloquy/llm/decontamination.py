@@ -263,5 +263,5 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 def without_benchmark(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of ``docs``, all columns, whose text holds no benchmark item."""
-    keys = contaminated(docs, benchmark).select(F.col("text_key").alias("_found")).distinct()
+    keys = store(contaminated(docs, benchmark).select(F.col("text_key").alias("_found")).distinct(), "found")
     return docs.join(keys, F.xxhash64(docs["text"]) == F.col("_found"), "left_anti")

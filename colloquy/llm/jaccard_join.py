@@ -59,10 +59,11 @@ def shingle_sets(docs: DataFrame, words: int, num: int, den: int, whole: bool) -
             sizes = np.zeros(rows, np.int64)
             sizes[n > 0] = [len(k) for k in kept]
             values = np.concatenate(kept) if kept else np.zeros(0, np.uint64)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *map(pa.array, (n, hi, lo, need)), binary_list(values, np.concatenate([[0], np.cumsum(sizes)]))],
-                                             ["doc_id", "n", "hi", "lo", "need", "shingles"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_key"), *map(pa.array, (n, hi, lo, need)),
+                                              binary_list(values, np.concatenate([[0], np.cumsum(sizes)]))], ["doc_id", "text_key", "n", "hi", "lo", "need", "shingles"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(make, "doc_id long, n long, hi long, lo long, need long, shingles array<long>")
+    rows = docs.select(F.col("doc_id").cast("long"), "text", F.xxhash64("text").alias("text_key"))
+    return rows.mapInArrow(make, "doc_id long, text_key long, n long, hi long, lo long, need long, shingles array<long>")
 
 
 def _screened(nodes: DataFrame) -> DataFrame:
@@ -138,13 +139,13 @@ def _candidates(entries: DataFrame, num: int, den: int) -> DataFrame:
 
 
 def similar_classes(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100) -> DataFrame:
-    """doc_id, n_shingles, component_id: documents linked by ``den * intersection >= num * union`` share a component."""
+    """doc_id, text_key, n_shingles, component_id: documents linked by ``den * intersection >= num * union`` share a component."""
     ship(docs.sparkSession)
     signed = store(shingle_sets(docs, words, num, den, whole=False), "signed")
     node = F.coalesce("doc", F.col("hi").bitwiseOR(F.lit(-1 << 63)))
     nodes = store(signed.where("n > 0").groupBy("n", "hi", "lo").agg(F.min("doc_id").alias("doc"), F.first("need").alias("need"), F.first("shingles").alias("shingles"))
                   .select(node.alias("node"), "n", "hi", "lo", "need", "shingles"), "nodes")
-    ids = store(signed.select("doc_id", "n", "hi", "lo"), "ids")
+    ids = store(signed.select("doc_id", "text_key", "n", "hi", "lo"), "ids")
     drop(signed)
     kept = store(_screened(nodes), "screened")
     texts = docs.select(F.col("doc_id").cast("long"), "text")
@@ -166,4 +167,19 @@ def similar_classes(docs: DataFrame, words: int = 5, num: int = 80, den: int = 1
     of_node = nodes.select("node", "n", "hi", "lo").join(found.join(named, "component"), "node", "left").select(
         "n", "hi", "lo", F.coalesce("component_id", F.when(F.col("node") >= 0, F.col("node"))).alias("component_id"))
     out = ids.join(of_node, ["n", "hi", "lo"], "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+    return out.select("doc_id", "text_key", F.col("n").alias("n_shingles"), F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+
+
+def one_of_each(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100) -> DataFrame:
+    """The rows of ``docs``, all columns, without near copies: of each component the text with the least doc_id stays, in one row.
+
+    Rows without words stay.  Components of rows that all lack a doc_id keep one text each.
+    """
+    classes = similar_classes(docs, words, num, den).where("n_shingles > 0")
+    group = F.coalesce("component_id", "text_key")
+    kept = classes.groupBy(group.alias("g")).agg(F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "text_key")).alias("k"))
+    kept = store(kept.select(F.col("k.text_key").alias("_key"), F.col("k.doc_id").alias("_id")), "kept")
+    keyed = docs.withColumn("_text_key", F.xxhash64("text"))
+    stay = keyed.join(kept, keyed["_text_key"] == kept["_key"]).where(F.col("_id").eqNullSafe(F.col("doc_id"))).dropDuplicates(["_text_key"]).select(*docs.columns)
+    wordless = F.col("text").isNull() | ~F.col("text").rlike(r"[^\x20\x09-\x0D]")
+    return stay.unionByName(docs.where(wordless))

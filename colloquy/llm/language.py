@@ -20,6 +20,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
 from .common import ship, slices, text_bytes
 
@@ -193,21 +194,33 @@ def held_out_rows(divisor: int, remainder: int) -> Column:
     return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % divisor == remainder, F.lit(True))
 
 
+def tagged(docs: DataFrame, net: Network | None) -> DataFrame:
+    """All rows and columns of ``docs`` with ``_lang_pred`` and ``_lang_score``."""
+    lettered = docs.withColumn("_lettered", F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)))
+    schema = StructType([*docs.schema.fields, StructField("_lang_pred", StringType()), StructField("_lang_score", DoubleType())])
+
+    def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, most=2 << 20):
+            ok = batch.column("_lettered").to_numpy(zero_copy_only=False)
+            found = pooled(net, *text_bytes(batch.column("text"))) if net else np.zeros((batch.num_rows, 1))
+            best = found.argmax(axis=1)
+            names = [net.langs[k] if known and net else "und" for k, known in zip(best, ok)]
+            score = np.where(ok, np.clip(found[np.arange(len(best)), best], 0, 1), 0.0)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(names, pa.string()), pa.array(score)], schema.fieldNames())
+
+    return lettered.mapInArrow(predict, schema)
+
+
 def identify(docs: DataFrame, docs_per_lang: int = 1000, windows: int = 6) -> DataFrame:
     """doc_id, held_out, lang_pred, score for every row of ``docs`` (doc_id, text, lang)."""
     ship(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long"), "text", "lang").withColumn("held_out", held_out_rows(4, 2))
     net = train(rows.where("not held_out"), docs_per_lang, windows)
+    return tagged(rows.select("doc_id", "held_out", "text"), net).select("doc_id", "held_out", F.col("_lang_pred").alias("lang_pred"), F.col("_lang_score").alias("score"))
 
-    def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, most=2 << 20):
-            lettered = batch.column("lettered").to_numpy(zero_copy_only=False)
-            found = pooled(net, *text_bytes(batch.column("text"))) if net else np.zeros((batch.num_rows, 1))
-            best = found.argmax(axis=1)
-            names = [net.langs[k] if ok and net else "und" for k, ok in zip(best, lettered)]
-            score = np.where(lettered, np.clip(found[np.arange(len(best)), best], 0, 1), 0.0)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), pa.array(names, pa.string()), pa.array(score)],
-                                             ["doc_id", "held_out", "lang_pred", "score"])
 
-    lettered = F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)).alias("lettered")
-    return rows.select("doc_id", "text", "held_out", lettered).mapInArrow(predict, "doc_id long, held_out boolean, lang_pred string, score double")
+def in_a_language(docs: DataFrame, least: float = 0.3, docs_per_lang: int = 1000, windows: int = 6) -> DataFrame:
+    """The rows of ``docs``, all columns, whose text is in a learned language with at least this score."""
+    ship(docs.sparkSession)
+    net = train(docs.where(~held_out_rows(4, 2)), docs_per_lang, windows)
+    return tagged(docs, net).where((F.col("_lang_pred") != "und") & (F.col("_lang_score") >= least)).drop("_lang_pred", "_lang_score")

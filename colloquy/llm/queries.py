@@ -33,7 +33,7 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .jaccard_join import similar_classes
-    return similar_classes(table(spark, sf_dir, "documents"), words=4, num=85, den=100)
+    return similar_classes(table(spark, sf_dir, "documents"), words=4, num=85, den=100).drop("text_key")
 
 
 @query
