@@ -147,7 +147,8 @@ def _sketch(codes: DataFrame, items: Items, idf: np.ndarray, other: float) -> np
             n += sum(batch.column("n").to_pylist())
             for raw in batch.column("sums"):
                 total += np.frombuffer(raw.as_buffer(), np.float32)
-        yield pa.RecordBatch.from_pydict({"n": pa.array([n], pa.int64()), "sums": [total.astype(np.float32).tobytes()]})
+        if n:
+            yield pa.RecordBatch.from_pydict({"n": pa.array([n], pa.int64()), "sums": [total.astype(np.float32).tobytes()]})
 
     parts = codes.select("words").mapInArrow(accumulate, "part long, n long, sums binary").repartition(_GROUPS, "part").mapInArrow(add, "n long, sums binary").collect()  # _GROUPS rows of fixed size
     y = sum((np.frombuffer(bytes(r["sums"]), np.float32).astype(float) for r in parts), np.zeros(size * RANK)).reshape(size, RANK)

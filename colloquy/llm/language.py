@@ -163,8 +163,12 @@ def pooled(net: Network, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 
 def training_windows(docs: DataFrame, docs_per_lang: int, windows: int) -> DataFrame:
     """lang and windows of the bounded sample."""
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    sample = docs.where("lang is not null and text is not null").where(F.col("text").rlike(r"\p{L}")).withColumn("place", F.row_number().over(order)).where(F.col("place") <= docs_per_lang)
+    order = Window.partitionBy("lang").orderBy("u", "doc_id")
+    usable = docs.where("lang is not null and text is not null").where(F.col("text").rlike(r"\p{L}")).withColumn("u", F.xxhash64("doc_id") / 2.0 ** 64 + 0.5)
+    counts = usable.groupBy("lang").count().collect()  # one row a language
+    # Rows whose hash is surely too great for the sample never leave their task.
+    bound = F.coalesce(*[F.when(F.col("lang") == r["lang"], F.lit(3.0 * docs_per_lang / r["count"])) for r in counts], F.lit(0.0))
+    sample = usable.where(F.col("u") <= bound).withColumn("place", F.row_number().over(order)).where(F.col("place") <= docs_per_lang)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):

@@ -127,7 +127,8 @@ def _summed(rows: DataFrame, features: Features) -> tuple[np.ndarray, np.ndarray
         for batch in batches:
             for raw in batch.column("sums"):
                 total += np.frombuffer(raw.as_buffer(), float)
-        yield pa.RecordBatch.from_pydict({"sums": [total.tobytes()]})
+        if total.any():
+            yield pa.RecordBatch.from_pydict({"sums": [total.tobytes()]})
 
     parts = rows.mapInArrow(accumulate, "part long, sums binary").repartition(_GROUPS, "part").mapInArrow(add, "sums binary").collect()  # at most _GROUPS rows
     total = sum((np.frombuffer(bytes(r["sums"]), float) for r in parts), np.zeros(size * (size + 1))).reshape(size, size + 1)
