@@ -86,7 +86,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def slices(batches: Iterator[pa.RecordBatch], text: str = "text", most: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+def slices(batches: Iterator[pa.RecordBatch], text: str = "text", most: int = 2 << 20) -> Iterator[pa.RecordBatch]:
     """The rows of ``batches`` in pieces of at most ``most`` text bytes (always one row at least)."""
     for batch in batches:
         if not batch.num_rows:
@@ -124,11 +124,18 @@ _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 _INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
 
 
+_POWERS: dict[int, np.ndarray] = {}
+
+
 def powers(n: int, base: np.uint64 = _BASE) -> np.ndarray:
-    out = np.full(n, base, np.uint64)
-    if n:
-        out[0] = 1
-    return np.multiply.accumulate(out)
+    """The first n powers of ``base``; the longest table made so far is kept in the worker."""
+    known = _POWERS.get(int(base))
+    if known is None or len(known) < n:
+        known = np.full(max(n, 1), base, np.uint64)
+        known[0] = 1
+        np.multiply.accumulate(known, out=known)
+        _POWERS[int(base)] = known
+    return known[:n]
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -145,7 +152,10 @@ def mix(x: np.ndarray) -> np.ndarray:
 def prefix_sums(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Sums of ``(byte + 1) * base**position`` before each position, and the powers of the inverse base."""
     sums = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * powers(len(data)), out=sums[1:])
+    terms = data.astype(np.uint64)
+    terms += np.uint64(1)
+    terms *= powers(len(data))
+    np.cumsum(terms, out=sums[1:])
     return sums, powers(len(data) + 1, _INVERSE)
 
 
