@@ -174,7 +174,7 @@ def _(spark, path):
 def _(spark, path):
     topics, _ = doc_topics(spark, path)
     sig = SM.minhash_signature(SM.topic_token_set(F.col("title"), F.col("summary")))
-    return topics.select("topic_id", F.size(sig).alias("size"), F.array_min(sig).alias("smallest"))
+    return topics.select("topic_id", sig.alias("signature"))
 
 
 # -- summaries and minutes ---------------------------------------------------------------

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -28,14 +31,23 @@ def build_session(master: str | None = None, app: str = "colloquy", **conf: str)
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the shared folder named by ``spark.checkpoint.dir``; make one only where it is unset."""
+    """Use the shared folder named by ``spark.checkpoint.dir``; make one only where it is unset and all runs on this machine.
+
+    On a cluster a folder of one machine would give incomplete tables, so there an unset
+    folder is an error.
+    """
     context = spark.sparkContext
     if context.getCheckpointDir() is not None:
         return
     named = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
+    if not named and not re.fullmatch(r"local(\[[^\]]*\])?", context.master):
+        raise ValueError(f"set spark.checkpoint.dir to a folder that all machines of {context.master} share")
     context.setCheckpointDir(named or tempfile.mkdtemp(prefix="spark-checkpoint-"))
 
 
+_CUTS: list[str] = []
+
+
 def cut(df: DataFrame, wide: bool = False) -> DataFrame:
     """Write ``df`` as a table in the shared checkpoint folder and continue from there.
 
@@ -43,13 +55,14 @@ def cut(df: DataFrame, wide: bool = False) -> DataFrame:
     plan, a lost executor costs only its own tasks, and the stored sizes let Spark
     choose joins by size.  ``wide`` prepares the table for heavy row-wise work: a
     small table that landed in fewer files than there are cores is stored once more
-    with one file per core.
+    with one file per core.  :func:`stages` deletes the tables of a block.
     """
     spark = df.sparkSession
     ensure_checkpoint_dir(spark)
 
     def stored(rows: DataFrame) -> DataFrame:
         target = f"{spark.sparkContext.getCheckpointDir()}/cut-{uuid.uuid4().hex}"
+        _CUTS.append(target)
         rows.write.parquet(target)
         return spark.read.schema(df.schema).parquet(target)
 
@@ -60,6 +73,19 @@ def cut(df: DataFrame, wide: bool = False) -> DataFrame:
     return out
 
 
+@contextmanager
+def stages(spark: SparkSession) -> Iterator[None]:
+    """Delete the tables that :func:`cut` makes inside the block at its end; write or collect results inside it."""
+    before = len(_CUTS)
+    try:
+        yield
+    finally:
+        for path in _CUTS[before:]:
+            target = spark._jvm.org.apache.hadoop.fs.Path(path)
+            target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+        del _CUTS[before:]
+
+
 def spread(stored: DataFrame, worth_bytes: int = 20_000) -> DataFrame:
     """Use all cores for row-wise work on a stored table that arrives in very few partitions.
 
