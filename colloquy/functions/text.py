@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -111,24 +113,32 @@ def tokens_summary(col: Column) -> Column:
                     lambda w: (F.length(w) > 2) & ~in_words(w, V.SUMMARY_STOP))
 
 
-def _accent_table() -> tuple[str, str]:
-    """Latin letters whose decomposition is one base letter plus combining marks."""
+@lru_cache(maxsize=1)
+def _decompositions() -> tuple[str, str, dict[str, str]]:
+    """Characters whose compatibility decomposition, without marks, is another character, and those where it is several or none.
+
+    Hangul syllables are left whole: their decomposition maps different words to different words.
+    """
     import unicodedata
-    source, target = [], []
-    for code in range(0xC0, 0x250):
+    single, many = {}, {}
+    for code in [*range(0xA0, 0xAC00), *range(0xF900, 0x10000), *range(0x1D400, 0x1F200)]:
         base = "".join(c for c in unicodedata.normalize("NFKD", chr(code)) if not unicodedata.combining(c))
-        if len(base) == 1 and base != chr(code):
-            source.append(chr(code))
-            target.append(base)
-    return "".join(source), "".join(target)
+        if base != chr(code):
+            (single if len(base) == 1 and max(base + chr(code)) < "\U00010000" else many)[chr(code)] = base
+    return "".join(single), "".join(single.values()), many
 
 
-ACCENTS_FROM, ACCENTS_TO = _accent_table()
-COMBINING = "[\\u0300-\\u036f]"
+def fold_accents(col: Column) -> Column:
+    """Text in compatibility decomposition without combining marks."""
+    source, target, many = _decompositions()
+    table = F.create_map(*[F.lit(x) for pair in many.items() for x in pair])
+    letters = F.transform(F.split(col, "(?!^)"), lambda c: F.coalesce(F.element_at(table, c), c))
+    wide = F.when(col.rlike("[" + "".join(f"\\x{{{ord(c):x}}}" for c in many) + "]"), F.array_join(letters, "")).otherwise(col)
+    return F.when(col.rlike("[^\\x00-\\x7f]"), F.translate(wide, source, target)).otherwise(col)
 
 
 def normalize_text(col: Column) -> Column:
-    plain = F.regexp_replace(F.translate(F.lower(col), ACCENTS_FROM, ACCENTS_TO), COMBINING, "")
+    plain = fold_accents(F.lower(col))
     spaced = replace(plain, r"[^\w\s]", " ", CASED)
     return strip(replace(spaced, r"\s+", " ", CASED))
 

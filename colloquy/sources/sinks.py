@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -45,26 +46,41 @@ def media_manifest(spark: SparkSession, path: str, allowed: Sequence[str] = tupl
     return accepted, rejected
 
 
-def write_context(tables: Mapping[str, DataFrame], path: str, buckets: int = 64) -> None:
+def write_context(tables: Mapping[str, DataFrame], path: str, buckets: int = 64, recomputed: DataFrame | None = None) -> None:
     """Store context tables, replacing only the meetings that were recomputed.
 
-    Rows live in ``buckets`` directories by a hash of the meeting.  A run reads the
-    buckets it touches, drops the recomputed meetings from them and overwrites just
-    those buckets, so repeating a run gives the same files' contents.  The rebalance
-    hint lets one large bucket be written by many tasks.
+    ``recomputed`` (meeting_id) names these meetings; without it they are the meetings
+    with a row in any of the tables.  Their old rows go from every table, also where no
+    new row takes their place.  Rows live in ``buckets`` directories by a hash of the
+    meeting.  A run reads the buckets it touches, drops the recomputed meetings from them
+    and overwrites just those buckets, so repeating a run gives the same files' contents.
+    The rebalance hint lets one large bucket be written by many tasks.
     """
+    if recomputed is None:
+        recomputed = reduce(DataFrame.union, [t.select("meeting_id") for t in tables.values()])
+    bucket = F.pmod(F.xxhash64("meeting_id"), F.lit(buckets)).cast("int")
+    ids = recomputed.select("meeting_id").distinct()
+    touched = {r[0] for r in ids.select(bucket).distinct().collect()}  # at most ``buckets``
     for name, fresh in tables.items():
         spark = fresh.sparkSession
         target = f"{path}/{name}"
-        tagged = fresh.withColumn("bucket", F.pmod(F.xxhash64("meeting_id"), F.lit(buckets)).cast("int"))
-        out = tagged
-        if _exists(spark, target):
-            stored = spark.read.parquet(target)
-            kept = (stored.join(tagged.select("bucket").distinct(), "bucket", "left_semi")
-                    .join(tagged.select("meeting_id").distinct(), "meeting_id", "left_anti"))
-            out = tagged.unionByName(kept, allowMissingColumns=True)
+        out = fresh.withColumn("bucket", bucket)
+        stored = _exists(spark, target)
+        if stored:
+            kept = spark.read.schema(out.schema).parquet(target).where(F.col("bucket").isin(*touched)).join(ids, "meeting_id", "left_anti")
+            out = out.unionByName(kept)
         (out.hint("rebalance", "bucket").write.mode("overwrite")
          .option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(target))
+        if stored:  # a bucket without any row left is not written, so its old files go by themselves
+            left = {r[0] for r in spark.read.schema(fresh.withColumn("bucket", bucket).schema).parquet(target)
+                    .join(ids, "meeting_id", "left_anti").unionByName(fresh.withColumn("bucket", bucket)).select("bucket").distinct().collect()}
+            for number in touched - left:
+                _delete(spark, f"{target}/bucket={number}")
+
+
+def _delete(spark: SparkSession, target: str) -> None:
+    location = spark._jvm.org.apache.hadoop.fs.Path(target)
+    location.getFileSystem(spark._jsc.hadoopConfiguration()).delete(location, True)
 
 
 def _exists(spark: SparkSession, target: str) -> bool:
@@ -75,10 +91,14 @@ def _exists(spark: SparkSession, target: str) -> bool:
 def write_minutes_text(lines: DataFrame, path: str, order: Sequence[str]) -> None:
     """One directory of text per document.
 
-    ``lines``: doc_stem, line and the columns that order the lines.  Range
-    partitioning keeps file order equal to line order even when one document is
-    split over several tasks.
+    ``lines``: doc_stem, line, the columns that order the lines and, where several
+    meetings may share a title, meeting_id, which then ends the name.  Range partitioning
+    keeps file order equal to line order even when one document is split over several
+    tasks.
     """
+    if "meeting_id" in lines.columns:
+        key = F.regexp_replace(F.col("meeting_id").cast("string"), "[^A-Za-z0-9._-]", "_")
+        lines = lines.withColumn("doc_stem", F.concat_ws("-", "doc_stem", key))
     (lines.repartitionByRange("doc_stem", *order).sortWithinPartitions("doc_stem", *order)
      .select("doc_stem", F.col("line").alias("value"))
      .write.mode("overwrite").partitionBy("doc_stem").text(path))

@@ -59,3 +59,19 @@ def test_whole_flow_from_talk_to_minutes(spark, talk):
     assert "## Appendix — Transcript" in text and text[-1].startswith("_Generated by")
     again = ST.structure_meetings(u, meetings)
     assert {r.item_id for r in again.action_items.collect()} == {r.item_id for r in c.action_items.collect()}
+
+
+def test_recomputed_meetings_without_rows_leave_none_behind(spark, tmp_path):
+    path, schema = str(tmp_path), "meeting_id string, n int"
+    S.write_context({"items": spark.createDataFrame([("a", 1), ("b", 2), ("c", 3)], schema), "notes": spark.createDataFrame([("a", 1), ("b", 2)], schema)}, path, buckets=3)
+    ids = spark.createDataFrame([("a",), ("c",)], "meeting_id string")
+    for _ in range(2):
+        S.write_context({"items": spark.createDataFrame([("c", 9)], schema), "notes": spark.createDataFrame([], schema)}, path, buckets=3, recomputed=ids)
+    rows = {n: sorted(tuple(r) for r in spark.read.parquet(f"{path}/{n}").select("meeting_id", "n").collect()) for n in ("items", "notes")}
+    assert rows == {"items": [("b", 2), ("c", 9)], "notes": [("b", 2)]}
+
+
+def test_equal_titles_are_different_documents(spark, tmp_path):
+    lines = spark.createDataFrame([("x", "Plan", 0, "one"), ("y/1", "Plan", 0, "two")], "meeting_id string, doc_stem string, n int, line string")
+    S.write_minutes_text(lines, str(tmp_path / "out"), ["n"])
+    assert sorted(p.name for p in (tmp_path / "out").glob("doc_stem=*")) == ["doc_stem=Plan-x", "doc_stem=Plan-y_1"]

@@ -58,3 +58,12 @@ def test_formats(spark):
 ])
 def test_urgency(spark, text, level):
     assert one(spark, L.score_urgency, text) == level
+
+
+def test_accents_of_all_scripts(spark):
+    import unicodedata
+    texts = ["Tiếng Việt ﬁle ＡＢ", "ÅNGSTRÖM ½ ™", "plain", "ẞ ǆ ﷺ", "한국 é"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    got = [r.x for r in df.select(T.fold_accents(F.lower("t")).alias("x")).collect()]
+    fold = lambda t: "".join(c for c in unicodedata.normalize("NFKD", t) if not unicodedata.combining(c))
+    assert got[:4] == [fold(t.lower()) for t in texts[:4]] and got[4] == "한국 e"
