@@ -10,7 +10,8 @@ n - ceil(t n) + l elements of each, in any common order of elements, for every l
 3. The nodes left are ordered by frequency.  Each lengthens its prefix as long as the
    estimated cost of its candidates falls, and asks for as many shared shingles.
 4. Groups of near copies are joined to pivots first: each node meets the one pivot with
-   which it shares most prefix shingles, not all others.  Candidates are then formed
+   which it shares most prefix shingles, not all others; nodes with the fewest shingles
+   of their own are the first pivots.  Candidates are then formed
    between different components only; two nodes of one component need no comparison.
 5. Every link is decided on whole sets.  Nothing is capped or sampled.
 
@@ -27,7 +28,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from .common import Words, binary_list, drop, mix, ship, slices, store
 from .components import components
@@ -75,7 +76,10 @@ def _screened(nodes: DataFrame) -> DataFrame:
 
 
 def _entries(whole: DataFrame, num: int, den: int) -> DataFrame:
-    """Prefix entries in order of frequency: s, node, n, level (the least l whose prefix holds it) and the node's chosen l (3)."""
+    """Prefix entries in order of frequency: s, node, n, level (the least l whose prefix holds it), the node's chosen l (3) and ``most``.
+
+    ``most`` is the number of its shingles that any other node has: no overlap is larger.
+    """
     entries = whole.select("node", "n", F.explode("shingles").alias("s"))
     df = entries.groupBy("s").agg(F.count("*").alias("df")).where("df > 1")
     shared = entries.join(df, "s").groupBy("node", "n").agg(F.sort_array(F.collect_list(F.struct("df", "s"))).alias("order"))  # a part of one document
@@ -100,11 +104,12 @@ def _entries(whole: DataFrame, num: int, den: int) -> DataFrame:
                 for l in range(1, most + 1):
                     read = float(work[level <= l].sum())
                     costs.append(read * POSTING + (read / l * size if (level <= l).sum() >= l else 0.0))
-                rows.append((np.full(len(level), node[i]), np.full(len(level), size), keys[a:b][keep], level, np.full(len(level), 1 + int(np.argmin(costs)))))
+                rows.append((np.full(len(level), node[i]), np.full(len(level), size), keys[a:b][keep], level, np.full(len(level), 1 + int(np.argmin(costs))),
+                             np.full(len(level), b - a)))
             if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c).astype(np.int64)) for c in zip(*rows)], ["node", "n", "s", "level", "l"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c).astype(np.int64)) for c in zip(*rows)], ["node", "n", "s", "level", "l", "most"])
 
-    return shared.mapInArrow(choose, "node long, n long, s long, level long, l long")
+    return shared.mapInArrow(choose, "node long, n long, s long, level long, l long, most long")
 
 
 def _verify(pairs: DataFrame, whole: DataFrame, num: int, den: int) -> DataFrame:
@@ -119,22 +124,28 @@ def _labelled(entries: DataFrame, links: DataFrame) -> DataFrame:
     return entries.join(components(links), "node", "left").withColumn("component", F.coalesce("component", "node"))
 
 
-def _to_pivots(entries: DataFrame, seed: int, num: int, den: int) -> DataFrame:
-    """For each node the pivot of another component with which it shares most prefix shingles (4)."""
+def _may_link(a: str, b: str, num: int, den: int) -> Column:
+    """Whether the sizes of two nodes, and the shingles that either shares with anyone, let them be similar."""
+    overlap = F.least(f"most{a}", f"most{b}")
+    return den * overlap >= num * (F.col(f"n{a}") + F.col(f"n{b}") - overlap)
+
+
+def _to_pivots(entries: DataFrame, order: Column, num: int, den: int) -> DataFrame:
+    """For each node the pivot (the first in ``order`` of those with a shingle) of another component with which it shares most prefix shingles (4)."""
     entries = entries.where("level = 1")
-    pivot = entries.groupBy("s").agg(F.min(F.struct(F.xxhash64("node", F.lit(seed)).alias("h"), "node", "n", "component")).alias("p"), F.count("*").alias("df"))
-    met = entries.join(pivot.where("df > 1"), "s").where((F.col("p.component") != F.col("component"))
-        & (den * F.least("n", "p.n") >= num * F.greatest("n", "p.n")))
-    counted = met.groupBy("node", F.col("p.node").alias("pivot")).agg(F.count("*").alias("c"))
+    pivot = entries.groupBy("s").agg(F.min(F.struct(order.alias("order"), "node", "n", "most", "component")).alias("p"), F.count("*").alias("df"))
+    pivot = pivot.where("df > 1").select("s", F.col("p.node").alias("pivot"), F.col("p.n").alias("n_p"), F.col("p.most").alias("most_p"), F.col("p.component").alias("other"))
+    met = entries.join(pivot, "s").where((F.col("other") != F.col("component")) & _may_link("", "_p", num, den))
+    counted = met.groupBy("node", "pivot").agg(F.count("*").alias("c"))
     best = counted.groupBy("node").agg(F.max(F.struct("c", "pivot")).alias("best"))
     return best.select(F.col("node").alias("a"), F.col("best.pivot").alias("b"))
 
 
 def _candidates(entries: DataFrame, num: int, den: int) -> DataFrame:
     """Pairs of different components that share as many prefix shingles as the larger node asks for."""
-    probe = entries.where("level <= l").select("s", F.col("node").alias("a"), F.col("n").alias("na"), "l", F.col("component").alias("ca"))
-    index = entries.select("s", F.col("node").alias("b"), F.col("n").alias("nb"), "level", F.col("component").alias("cb"))
-    met = probe.join(index, "s").where("level <= l and ca <> cb and (nb < na or nb = na and b < a)").where(den * F.col("nb") >= num * F.col("na"))
+    probe = entries.where("level <= l").select("s", F.col("node").alias("a"), F.col("n").alias("na"), F.col("most").alias("mosta"), "l", F.col("component").alias("ca"))
+    index = entries.select("s", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("most").alias("mostb"), "level", F.col("component").alias("cb"))
+    met = probe.join(index, "s").where("level <= l and ca <> cb and (nb < na or nb = na and b < a)").where(_may_link("a", "b", num, den))
     return met.groupBy("a", "b", "l").agg(F.count("*").alias("c")).where("c >= l").select("a", "b")
 
 
@@ -155,8 +166,9 @@ def similar_classes(docs: DataFrame, words: int = 5, num: int = 80, den: int = 1
     entries = store(_entries(whole, num, den), "entries")
 
     links = entries.sparkSession.createDataFrame([], "a long, b long")
-    for seed in (1, 2):
-        pairs = _to_pivots(_labelled(entries, links), seed, num, den)
+    # The original of a group of copies has no shingle of its own, so it is the first pivot.
+    for order in (F.struct(F.col("n") - F.col("most"), F.xxhash64("node")), F.struct(F.xxhash64("node", F.lit(1)))):
+        pairs = _to_pivots(_labelled(entries, links), order, num, den)
         links = store(links.unionByName(_verify(pairs, whole, num, den)), "found")
     links = store(links.unionByName(_verify(store(_candidates(_labelled(entries, links), num, den), "pairs"), whole, num, den)), "found")
     for used in (whole, entries, kept):
