@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import lru_cache
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import phrases as P
@@ -276,3 +276,24 @@ def summary_line_text(line: Column) -> Column:
             .when(line.startswith(">"), strip(F.regexp_replace(line, "^[> ]+", "")))
             .otherwise(strip(line)))
     return strip_markdown(F.regexp_replace(body, r"\s+$", ""))
+
+
+def summary_points(lines: DataFrame, fallback: DataFrame, limit: int = 6) -> DataFrame:
+    """meeting_id, place, point: the first paragraphs and bullets over 20 characters of each summary.
+
+    ``lines``: meeting_id, n, line.  A meeting without any gets the first rows of
+    ``fallback`` (meeting_id, n, point), its decisions and then its tasks.
+    """
+    kind, text = summary_line_kind(F.col("line")), summary_line_text(F.col("line"))
+    own = lines.select("meeting_id", "n", text.alias("point"), kind.alias("kind")).where("kind in ('para', 'bullet') and length(point) > 20")
+    rest = fallback.select("meeting_id", "n", "point").join(own.select("meeting_id").distinct(), "meeting_id", "left_anti")
+    place = F.row_number().over(Window.partitionBy("meeting_id").orderBy("n", "point"))
+    return own.select("meeting_id", "n", "point").unionByName(rest).select("meeting_id", place.alias("place"), "point").where(F.col("place") <= limit)
+
+
+def summary_blocks(lines: DataFrame) -> DataFrame:
+    """meeting_id, n, kind, text of the blocks of each summary (meeting_id, n, line), without a heading that begins it."""
+    kind = summary_line_kind(F.col("line"))
+    blocks = lines.select("meeting_id", "n", kind.alias("kind"), summary_line_text(F.col("line")).alias("text")).where("kind is not null")
+    first = blocks.groupBy("meeting_id").agg(F.min("n").alias("first"))
+    return blocks.join(first, "meeting_id").where("kind <> 'heading' or n <> first").drop("first")

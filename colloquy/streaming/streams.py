@@ -154,19 +154,23 @@ def start_chunks(chunks: DataFrame, checkpoint: str, target: str, once: bool = F
     return _files(chunks, checkpoint, target, once)
 
 
-def start_tail(stored: DataFrame, stream: DataFrame, checkpoint: str, target: str, key: str = "segment_id",
-               once: bool = False) -> StreamingQuery:
-    """A late subscriber's view: the stored rows first, then every live row not among them."""
+def start_tail(stored: DataFrame, stream: DataFrame, checkpoint: str, target: str, key: str = "segment_id", ts: str = "event_time",
+               watermark: str = WATERMARK, once: bool = False) -> StreamingQuery:
+    """A late subscriber's view: the stored rows first, then every live row not among them, once.
+
+    Rows delivered again, in the same batch or a later one, are dropped by id as in
+    :func:`deduplicated`.
+    """
     columns = stored.columns
 
     def follow(batch: DataFrame, number: int) -> None:
-        fresh = batch.dropDuplicates([key]).join(stored.select(key), key, "left_anti").select(*columns)
+        fresh = batch.join(stored.select(key), key, "left_anti").select(*columns)
         rows = fresh.withColumn("live", F.lit(True))
         if number == 0:
             rows = stored.select(*columns).withColumn("live", F.lit(False)).unionByName(rows)
         rows.write.mode("overwrite").parquet(f"{target}/batch={number}")
 
-    writer = stream.writeStream.foreachBatch(follow).option("checkpointLocation", checkpoint)
+    writer = deduplicated(stream, key, ts, watermark).writeStream.foreachBatch(follow).option("checkpointLocation", checkpoint)
     return _start(writer, once)
 
 

@@ -66,3 +66,15 @@ def test_status_keeps_progress_only_within_a_stage(spark):
                                "meeting_id string, event_id long, event_time timestamp, status string, progress double")
     got = {r.meeting_id: (r.status, r.progress, r.finished) for r in J.latest_status(df).collect()}
     assert got == {"m": ("transcribing", 0.4, False), "n": ("done", None, True)}
+
+
+def test_tail_shows_every_row_once_over_two_deliveries(spark, tmp_path):
+    schema = "segment_id string, event_time timestamp"
+    rows = lambda *ids: spark.createDataFrame([(i,) for i in ids], "segment_id string").withColumn("event_time", F.timestamp_seconds(F.lit(1704067200)))
+    source, stored = tmp_path / "in", rows("s0").select("segment_id")
+    for ids in (("s0", "s1", "s2"), ("s1", "s2", "s3", "s3")):
+        rows(*ids).coalesce(1).write.mode("append").parquet(str(source))
+        stream = spark.readStream.schema(schema).parquet(str(source))
+        J.start_tail(stored, stream, str(tmp_path / "check"), str(tmp_path / "out"), once=True).awaitTermination()
+    got = sorted((r.segment_id, r.live) for r in spark.read.parquet(str(tmp_path / "out")).collect())
+    assert got == [("s0", False), ("s1", True), ("s2", True), ("s3", True)]

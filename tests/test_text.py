@@ -67,3 +67,14 @@ def test_accents_of_all_scripts(spark):
     got = [r.x for r in df.select(T.fold_accents(F.lower("t")).alias("x")).collect()]
     fold = lambda t: "".join(c for c in unicodedata.normalize("NFKD", t) if not unicodedata.combining(c))
     assert got[:4] == [fold(t.lower()) for t in texts[:4]] and got[4] == "한국 e"
+
+
+def test_summary_blocks_and_points(spark):
+    long = "a point that is long enough"
+    rows = [("m", 0, "## Meeting Overview"), ("m", 1, ""), ("m", 2, f"- **{long}**"), ("m", 3, "short"), ("m", 4, "> quoted words, not a point at all"), ("m", 5, "### Part"),
+            ("m", 6, f"1. {long} too"), ("m", 7, "| a | b |"), ("x", 0, "tiny"), ("x", 1, "---")]
+    lines = spark.createDataFrame(rows, "meeting_id string, n int, line string")
+    more = spark.createDataFrame([("m", 0, "unused"), ("x", 0, "decided"), ("x", 1, "to do")], "meeting_id string, n int, point string")
+    assert [tuple(r)[2:] for r in T.summary_blocks(lines).where("meeting_id = 'm'").orderBy("n").collect()] == [
+        ("bullet", long), ("para", "short"), ("quote", "quoted words, not a point at all"), ("heading", "Part"), ("bullet", f"{long} too")]
+    assert sorted(map(tuple, T.summary_points(lines, more).collect())) == [("m", 1, long), ("m", 2, f"{long} too"), ("x", 1, "decided"), ("x", 2, "to do")]
