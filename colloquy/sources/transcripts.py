@@ -49,25 +49,13 @@ def _with_times(df: DataFrame, chars_per_second: float = V.CHARS_PER_SECOND) ->
 
 
 def documents_as_utterances(documents: DataFrame, chars_per_second: float = V.CHARS_PER_SECOND) -> DataFrame:
-    """One utterance per sentence of a document.
-
-    A document is one row, so positions and running times are built inside the row
-    and no shuffle is needed.
-    """
+    """One utterance per sentence of a document; times follow from the characters before it."""
     pieces = documents.select(
         F.col("doc_id").cast("string").alias("meeting_id"), F.col("source").alias("speaker"),
-        split_sentences_strict(F.col("text")).alias("__s"))
-    def add(rows: Column, text: Column) -> Column:
-        upto = F.coalesce(F.get(rows, F.size(rows) - 1)["upto"], F.lit(0).cast("long"))
-        row = F.struct(F.size(rows).alias("segment_index"), text.alias("text"), upto.alias("before"),
-                       (upto + F.length(text)).alias("upto"))
-        return F.concat(rows, F.array(row))
-
-    none = F.array().cast("array<struct<segment_index:int,text:string,before:bigint,upto:bigint>>")
-    rate = F.lit(float(chars_per_second))
-    return (pieces.select("meeting_id", "speaker", F.inline(F.aggregate("__s", none, add)))
-            .select("meeting_id", "segment_index", "speaker", "text", (F.col("before") / rate).alias("start_time"),
-                    (F.col("upto") / rate).alias("end_time")))
+        F.posexplode(split_sentences_strict(F.col("text"))).alias("segment_index", "text"))
+    counted = pieces.withColumn("__chars", F.length("text").cast("long"))
+    timed = block_scan(counted, ["meeting_id"], index_block("segment_index"), ["segment_index"], sums={"__upto": F.col("__chars")})
+    return _with_times(timed, chars_per_second).select("meeting_id", "segment_index", "speaker", "text", "start_time", "end_time")
 
 
 # Sentences for transcripts derived from orders, one per speech act.  {k} is the order key.
