@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..functions import labels as L
@@ -11,6 +13,7 @@ from ..operators import joins as C
 from ..operators import maintenance as M
 from ..operators import rollups as D
 from ..operators import sequences as E
+from ..session import ensure_checkpoint_dir
 from ..sources import orders_world as O
 from ..sources import sinks as S
 from ..sources import transcripts as X
@@ -120,6 +123,26 @@ def _(spark, path):
     return X.table(spark, path, "pages").select("page_id", L.doc_stem(F.col("url")).alias("stem"))
 
 
+@query("rewrite_context", """SELECT 'items' AS name, CAST(o_custkey AS VARCHAR) AS meeting_id, o_orderkey AS k, o_custkey % 3 = 1 AS again FROM orders WHERE o_custkey % 3 <> 0
+UNION ALL SELECT 'notes', CAST(o_custkey AS VARCHAR), max(o_orderkey), o_custkey % 3 = 1 FROM orders WHERE o_custkey % 3 <> 0 GROUP BY o_custkey""")
+def _(spark, path):
+    """Written, then recomputed: a third of the meetings to nothing, a third to new rows, the rest left alone."""
+    ensure_checkpoint_dir(spark)
+    target = f"{spark.sparkContext.getCheckpointDir()}/context-{uuid.uuid4().hex}"
+    key = F.col("o_custkey") % 3
+    items = X.table(spark, path, "orders").select("o_custkey", F.col("o_custkey").cast("string").alias("meeting_id"), F.col("o_orderkey").alias("k"))
+
+    def tables(rows, again):
+        rows = rows.withColumn("again", F.lit(again))
+        return {"items": rows.drop("o_custkey"), "notes": rows.groupBy("meeting_id", "again").agg(F.max("k").alias("k"))}
+
+    S.write_context(tables(items, False), target, buckets=16)
+    S.write_context(tables(items.where(key == 1), True), target, buckets=16, recomputed=items.where(key < 2).select("meeting_id"))
+    columns = ["name", "meeting_id", "k", "again"]
+    back = [spark.read.parquet(f"{target}/{name}").withColumn("name", F.lit(name)).select(*columns) for name in ("items", "notes")]
+    return back[0].unionByName(back[1])
+
+
 # -- visibility, search and views ----------------------------------------------
 
 def _world(spark, path):
