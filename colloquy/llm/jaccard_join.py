@@ -13,7 +13,10 @@ n - ceil(t n) + l elements of each, in any common order of elements, for every l
    which it shares most prefix shingles, not all others; nodes with the fewest shingles
    of their own are the first pivots.  Candidates are then formed
    between different components only; two nodes of one component need no comparison.
-5. Every link is decided on whole sets.  Nothing is capped or sampled.
+5. Two nodes close to one pivot differ where exactly one of them differs from it.  Such
+   pairs come from the differences, which are few and rare, not from the shingles that the
+   whole group has.
+6. Every link is decided on whole sets.  Nothing is capped or sampled.
 
 Edge cases: null or empty texts and texts of white space have an empty set and are
 linked with nothing; shorter texts have their whole sequence as one shingle; repeated
@@ -116,7 +119,7 @@ def _verify(pairs: DataFrame, whole: DataFrame, num: int, den: int) -> DataFrame
     """The links (a, b) among candidate pairs (a, b), decided on whole sets."""
     left = whole.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("shingles").alias("sa"))
     right = whole.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("shingles").alias("sb"))
-    both = pairs.join(left, "a").join(right, "b").withColumn("i", F.size(F.array_intersect("sa", "sb")))
+    both = pairs.hint("merge").join(left, "a").join(right.hint("merge"), "b").withColumn("i", F.size(F.array_intersect("sa", "sb")))
     return both.where(den * F.col("i") >= num * (F.col("na") + F.col("nb") - F.col("i"))).select("a", "b")
 
 
@@ -141,11 +144,50 @@ def _to_pivots(entries: DataFrame, order: Column, num: int, den: int) -> DataFra
     return best.select(F.col("node").alias("a"), F.col("best.pivot").alias("b"))
 
 
-def _candidates(entries: DataFrame, num: int, den: int) -> DataFrame:
-    """Pairs of different components that share as many prefix shingles as the larger node asks for."""
-    probe = entries.where("level <= l").select("s", F.col("node").alias("a"), F.col("n").alias("na"), F.col("most").alias("mosta"), "l", F.col("component").alias("ca"))
-    index = entries.select("s", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("most").alias("mostb"), "level", F.col("component").alias("cb"))
-    met = probe.join(index, "s").where("level <= l and ca <> cb and (nb < na or nb = na and b < a)").where(_may_link("a", "b", num, den))
+def _differences(pairs: DataFrame, whole: DataFrame) -> DataFrame:
+    """node, pivot, n, n_p, and in what shingles the node differs from its pivot, of the nodes close to it."""
+    left = whole.select(F.col("node").alias("a"), "n", F.col("shingles").alias("sa"))
+    right = whole.select(F.col("node").alias("b"), F.col("n").alias("n_p"), F.col("shingles").alias("sb"))
+    both = pairs.hint("merge").join(left, "a").join(right.hint("merge"), "b")
+    diff = F.concat(F.array_except("sa", "sb"), F.array_except("sb", "sa"))
+    return both.select(F.col("a").alias("node"), F.col("b").alias("pivot"), "n", "n_p", diff.alias("diff")).where("2 * size(diff) <= n + n_p")
+
+
+def _near_pivots(near: DataFrame, links: DataFrame, num: int, den: int) -> DataFrame:
+    """Candidate pairs (a, b) of nodes close to one pivot, from their differences (5).
+
+    With D the differences of two nodes to the pivot, the nodes differ in D_a ^ D_b, so to
+    be similar they share at least (|D_a| + |D_b| - r (n_a + n_b)) / 2 differences, where
+    r = (den - num) / (den + num).  If that asks for none, both are linked to the pivot.
+    """
+    r = (den - num) / (den + num)
+    names = components(links)
+    near = near.withColumn("size", F.size("diff")).join(names, "node", "left").join(names.select(F.col("node").alias("pivot"), F.col("component").alias("home")), "pivot", "left")
+    near = near.withColumn("component", F.coalesce("component", "node")).withColumn("home", F.coalesce("home", "pivot"))
+    least = near.groupBy("pivot").agg(F.min("size").alias("least"))
+    entries = near.select("pivot", "node", F.explode("diff").alias("s"))
+    counts = entries.groupBy("pivot", "s").agg(F.count("*").alias("c")).where("c > 1")
+    order = entries.join(counts, ["pivot", "s"]).groupBy("node").agg(F.sort_array(F.collect_list(F.struct("c", "s"))).alias("order"))  # a part of two documents
+    asked = F.greatest(F.lit(1), F.ceil((F.col("size") + (1 - r) * F.col("least") - r * (F.col("n") + F.col("n_p"))) / 2 - 1e-6).cast("int"))
+    kept = near.drop("diff").join(least, "pivot").join(order, "node").select(
+        "pivot", "node", "n", "size", "component", "home", F.posexplode(F.slice("order", F.lit(1), F.greatest(F.lit(0), F.size("order") - asked + 1))).alias("i", "o"), F.size("order").alias("many"))
+    kept = kept.select("pivot", F.col("o.s").alias("s"), "node", "n", "size", "component", "home", (F.col("many") - F.col("i")).alias("after"))
+    probe = kept.where("component <> home").select("pivot", "s", *[F.col(c).alias(f"{c}_a") for c in ("node", "n", "size", "component", "after")])
+    index = kept.select("pivot", "s", *[F.col(c).alias(f"{c}_b") for c in ("node", "n", "size", "component", "after")])
+    needed = (F.col("size_a") + F.col("size_b") - r * (F.col("n_a") + F.col("n_b"))) / 2 - 1e-6
+    met = probe.join(index, ["pivot", "s"]).where((F.col("component_a") != F.col("component_b")) & (F.least("after_a", "after_b") >= needed))
+    return met.select(F.greatest("node_a", "node_b").alias("a"), F.least("node_a", "node_b").alias("b")).distinct()
+
+
+def _candidates(entries: DataFrame, near: DataFrame, num: int, den: int) -> DataFrame:
+    """Pairs of different components that share as many prefix shingles as the larger node asks for.
+
+    Nodes close to one pivot are left to :func:`_near_pivots`.
+    """
+    entries = entries.join(near.select("node", "pivot"), "node", "left")
+    probe = entries.where("level <= l").select("s", F.col("node").alias("a"), F.col("n").alias("na"), F.col("most").alias("mosta"), "l", F.col("component").alias("ca"), F.col("pivot").alias("pa"))
+    index = entries.select("s", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("most").alias("mostb"), "level", F.col("component").alias("cb"), F.col("pivot").alias("pb"))
+    met = probe.join(index, "s").where("level <= l and ca <> cb and (nb < na or nb = na and b < a) and not (pa <=> pb and pa is not null)").where(_may_link("a", "b", num, den))
     return met.groupBy("a", "b", "l").agg(F.count("*").alias("c")).where("c >= l").select("a", "b")
 
 
@@ -160,18 +202,21 @@ def similar_classes(docs: DataFrame, words: int = 5, num: int = 80, den: int = 1
     drop(signed)
     kept = store(_screened(nodes), "screened")
     texts = docs.select(F.col("doc_id").cast("long"), "text")
-    wanted = texts.join(kept.select(F.col("node").alias("doc_id")), "doc_id", "left_semi").unionByName(texts.where("doc_id is null"))
+    wanted = texts.join(kept.select(F.col("node").alias("doc_id")).hint("merge"), "doc_id", "left_semi").unionByName(texts.where("doc_id is null"))
     sets = shingle_sets(wanted, words, num, den, whole=True).select("n", "hi", "lo", "shingles")
     whole = store(sets.join(kept, ["n", "hi", "lo"]).dropDuplicates(["node"]).select("node", "n", "shingles"), "sets")
     entries = store(_entries(whole, num, den), "entries")
 
     links = entries.sparkSession.createDataFrame([], "a long, b long")
     # The original of a group of copies has no shingle of its own, so it is the first pivot.
-    for order in (F.struct(F.col("n") - F.col("most"), F.xxhash64("node")), F.struct(F.xxhash64("node", F.lit(1)))):
-        pairs = _to_pivots(_labelled(entries, links), order, num, den)
-        links = store(links.unionByName(_verify(pairs, whole, num, den)), "found")
-    links = store(links.unionByName(_verify(store(_candidates(_labelled(entries, links), num, den), "pairs"), whole, num, den)), "found")
-    for used in (whole, entries, kept):
+    pairs = store(_to_pivots(_labelled(entries, links), F.struct(F.col("n") - F.col("most"), F.xxhash64("node")), num, den), "pairs")
+    near = store(_differences(pairs, whole), "differences")
+    links = store(_verify(pairs, whole, num, den), "found")
+    pairs = _to_pivots(_labelled(entries, links), F.struct(F.xxhash64("node", F.lit(1))), num, den)
+    links = store(links.unionByName(_verify(pairs, whole, num, den)), "found")
+    pairs = _near_pivots(near, links, num, den).unionByName(_candidates(_labelled(entries, links), near, num, den))
+    links = store(links.unionByName(_verify(store(pairs, "pairs"), whole, num, den)), "found")
+    for used in (whole, entries, kept, near):
         drop(used)
 
     found = components(links)
