@@ -1,8 +1,8 @@
 """Meeting tables derived from the order tables.
 
 customer -> meetings, nation -> projects, orders -> segments, topics, action
-items and decisions.  Every derived table covers its whole source table, so the
-work of the queries grows with the data.
+items and decisions.  Meetings, projects, segments, items and decisions cover their whole
+source table; one order in four opens a topic.  The work of all queries grows with the data.
 """
 
 from __future__ import annotations
