@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
+import sys
 import uuid
 from collections.abc import Iterator
 
@@ -86,8 +88,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def slices(batches: Iterator[pa.RecordBatch], text: str = "text", most: int = 2 << 20) -> Iterator[pa.RecordBatch]:
+def give_back() -> None:
+    """Return what earlier tasks of this Python worker left: encoded pieces, Arrow buffers and freed heap."""
+    if tokens := sys.modules.get("colloquy.llm.tokens"):
+        tokens.encoder.cache_clear()
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)
+
+
+def slices(batches: Iterator[pa.RecordBatch], text: str = "text", most: int = 2 << 20, encoding: bool = False) -> Iterator[pa.RecordBatch]:
     """The rows of ``batches`` in pieces of at most ``most`` text bytes (always one row at least)."""
+    if not encoding:
+        give_back()
     for batch in batches:
         if not batch.num_rows:
             continue

@@ -34,7 +34,7 @@ def pieces(docs: DataFrame, vocab: str, capacity: int, end: int = 2) -> DataFram
     """The pieces of every document; ``block`` numbers the task that made them."""
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block = TaskContext.get().partitionId()
-        for batch in slices(batches, most=4 << 20):
+        for batch in slices(batches, most=4 << 20, encoding=True):
             ids, offsets = encoder(vocab).encode(batch.column("text"), end)
             sizes = np.diff(offsets)
             counts = -(-sizes // capacity)

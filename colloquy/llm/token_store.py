@@ -172,7 +172,7 @@ def write_store(docs: DataFrame, path: str, vocab: str, end: int = 2) -> DataFra
                     at, ids = at + len(raw), ids[SEGMENT:]
                 wait, held = [ids], len(ids)
 
-            for batch in slices(batches, most=4 << 20):
+            for batch in slices(batches, most=4 << 20, encoding=True):
                 ids, offsets = encoder(vocab).encode(batch.column("text"), end)
                 column = batch.column("doc_id")
                 doc_ids.append(column.fill_null(0).to_numpy(zero_copy_only=False))
