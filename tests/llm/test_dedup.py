@@ -200,3 +200,27 @@ def test_similar_places():
     x = np.concatenate([np.arange(1000, 1020), np.arange(20, 80), np.arange(2000, 2030)]).astype("<u4")
     assert set(range(20, 80)) <= set(np.flatnonzero(passages.similar_places(x, p, 46, 0.8)))
     assert not passages.similar_places(x[:60], p, 46, 0.8).any()
+
+
+def partial_holders(seed=8, groups=40):
+    """Documents that hold the first 40 words of a passage of 55, then two that hold it whole."""
+    rng = random.Random(seed)
+    new = lambda n: [f"v{rng.randrange(10**7)}" for _ in range(n)]
+    parts, first, second, places = [], [], [], []
+    for _ in range(groups):
+        passage = new(55)
+        parts.append(" ".join([*new(60), *passage[:40], *new(60)]))
+        first.append(" ".join([*new(30), *passage, *new(30)]))
+        places.append(rng.randrange(20, 70))
+        second.append(" ".join([*new(places[-1]), *passage, *new(30)]))
+    return parts, first, second, places
+
+
+def test_verbatim_passages_behind_a_partial_holder(documents):
+    parts, first, second, places = partial_holders()
+    n, found = len(parts), {}
+    for r in passages.repeated_passages(documents(*parts, *first, *second)).collect():
+        found.setdefault((r["doc_id"], r["source_doc_id"]), set()).update(range(r["first_word"], r["last_word"] + 1))
+    for i, at in enumerate(places):
+        assert set(range(at, at + 55)) <= found.get((2 * n + i, n + i), set())
+    assert not any(d < 2 * n for d, _ in found)
