@@ -107,8 +107,9 @@ def search(ids: np.ndarray, vectors: np.ndarray, query_ids: np.ndarray, queries:
     tree = Tree(vectors @ w).ready()
     for own, q in zip(query_ids, queries):
         best: list[tuple[float, int]] = []  # the k nearest, as (-distance, -vec_id), the worst on top
+        slack = 1e-18 * float(q @ q)  # equal vectors differ by rounding in the projection
         for bound, rows in tree.nearest(q @ w):
-            if len(best) == k and (best[0][0] == 0 or bound > ratio * best[0][0] ** 2):
+            if len(best) == k and bound > ratio * best[0][0] ** 2 + slack:
                 break
             rows = rows[ids[rows] != own]
             gaps = np.sqrt(((vectors[rows] - q) ** 2).sum(1))

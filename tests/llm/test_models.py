@@ -121,3 +121,12 @@ def test_neighbour_edge_cases(spark):
     assert [r[:3] for r in got if r[0] == 0] == [(0, 1, 1), (0, 2, 2), (0, 3, 2)]
     assert [r[1:3] for r in got if r[0] == 100] == [(1, 0), (2, 1), (3, 2)] and abs(got[-1][3] - 5 ** 0.5) < 1e-15
     assert neighbours.nearest(table.limit(0), F.col("vec_id") % 100 == 0).count() == 0
+
+
+def test_equal_vectors_go_by_vec_id():
+    rng = np.random.default_rng(7)
+    ids = rng.permutation(400)
+    vectors = np.vstack([np.tile(rng.standard_normal(16), (200, 1)), rng.standard_normal((200, 16))])
+    for q in (0, 57, 199):
+        got = sorted(v for _, v, _ in neighbours.search(ids, vectors, ids[q:q + 1], vectors[q:q + 1], 10))
+        assert got == sorted(set(ids[:200].tolist()) - {int(ids[q])})[:10]
