@@ -224,3 +224,26 @@ def test_verbatim_passages_behind_a_partial_holder(documents):
     for i, at in enumerate(places):
         assert set(range(at, at + 55)) <= found.get((2 * n + i, n + i), set())
     assert not any(d < 2 * n for d, _ in found)
+
+
+def test_similar_places_with_shingles_that_stand_twice():
+    rng = np.random.default_rng(6)
+    for gap in (0, 20, 40):
+        passage = rng.integers(0, 2**32, 46, np.uint32)
+        p = np.concatenate([passage[20:21], rng.integers(0, 2**32, gap, np.uint32), passage, rng.integers(0, 2**32, 30, np.uint32)])
+        x = np.concatenate([rng.integers(0, 2**32, 40, np.uint32), passage, rng.integers(0, 2**32, 40, np.uint32)])
+        assert passages.similar_places(x, p, 46, 0.8)[40:86].all()
+    run = np.tile(rng.integers(0, 2**32, 10, np.uint32), 12)
+    assert not passages.similar_places(run, run, 46, 0.8).any()
+
+
+def test_best_stretches_equal_brute_force():
+    rng = np.random.default_rng(4)
+    for _ in range(60):
+        width, least = 12, 0.7
+        x = rng.integers(0, 40, 30).astype("<u4")
+        p = np.concatenate([rng.integers(0, 40, rng.integers(1, 12)), np.delete(x, rng.integers(0, 30, 2)), rng.integers(0, 40, 5)])[:rng.integers(8, 45)].astype("<u4")
+        starts = np.arange(len(x) - width + 1)
+        sets = [set(p[b:b + w]) for w in range(min(width, len(p)), min(int(width / least), len(p)) + 1) for b in range(len(p) - w + 1)]
+        want = [any(len(a & b) >= least * len(a | b) for b in sets) and 2 * len(a) >= width for a in (set(x[s:s + width]) for s in starts)]
+        assert passages._best_stretches(x, p, starts, width, least).tolist() == want
