@@ -2,9 +2,9 @@
 
 1. Every text becomes the sequence of its benchmark words (other words as -1), once.
 2. Word frequencies are counted over all texts.
-3. Passages are overlapping windows of 24 words.  A passage's cosine with any item is at most the
-   share of its TF-IDF length that lies on benchmark words; passages below the threshold
-   need no projection.
+3. Passages are overlapping windows of 24 words.  An item is found only where the text around
+   a passage holds a least part of the item's words; passages whose surroundings have fewer
+   benchmark words than any item asks for need no projection.
 4. The others, with the items themselves, are the rows of a TF-IDF matrix whose leading
    right singular vectors come from one distributed pass of a randomised
    (Nystrom) decomposition; only fixed-size sums leave the tasks.
@@ -22,6 +22,7 @@ doc_id take part; an empty table on either side gives no rows; other columns are
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -35,8 +36,8 @@ from .common import Words, drop, ship, slices, store
 PASSAGE, STRIDE = 24, 12
 RANK = 128
 ITEMS = 512
-#: Least share of a passage's length on benchmark words, and least cosine with an item in the latent space.
-SHARE, COSINE = 0.6, 0.4
+#: Least cosine with an item in the latent space.
+COSINE = 0.4
 #: Parts of an item in its longest common subsequence with a text: enough alone, or with the answer.
 SURE, LIKELY, ANSWER = 0.75, 0.5, 0.6
 _GROUPS = 8
@@ -97,17 +98,30 @@ def weights(codes: DataFrame, size: int) -> tuple[np.ndarray, float]:
     return np.append(idf, 0.0), float(idf.max(initial=1.0))
 
 
-def passages(words: np.ndarray, bounds: np.ndarray, idf: np.ndarray, other: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Rows, starts and full TF-IDF lengths of the passages that may reach the cosine."""
+def asked(items: Items) -> list[tuple[int, int]]:
+    """Words on either side of a passage, and the benchmark words that an item found there needs at least, for each length of item."""
+    need: dict[int, int] = {}
+    for size in {len(w) for w in items.words}:
+        about, least = size // 2, math.ceil(LIKELY * size)
+        need[about] = min(least, need.get(about, least))
+    return sorted(need.items())
+
+
+def passages(words: np.ndarray, bounds: np.ndarray, idf: np.ndarray, other: float, need: list[tuple[int, int]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rows, starts and full TF-IDF lengths of the passages around which an item may be found."""
     counts = np.diff(bounds)
     made = np.where(counts > 0, 1 + np.maximum(-(-(counts - PASSAGE) // STRIDE), 0), 0)
     rows = np.repeat(np.arange(len(counts)), made)
     starts = bounds[rows] + STRIDE * (np.arange(len(rows)) - np.repeat(np.cumsum(made) - made, made))
     ends = np.minimum(starts + PASSAGE, bounds[rows + 1])
+    known = np.concatenate([[0], np.cumsum(words >= 0)])
+    keep = np.zeros(len(rows), bool)
+    for about, least in need:
+        keep |= known[np.minimum(starts + PASSAGE + about, bounds[rows + 1])] - known[np.maximum(starts - about, bounds[rows])] >= least
+    keep &= known[ends] > known[starts]  # a passage without benchmark words has no direction
     own = np.concatenate([[0], np.cumsum(np.where(words >= 0, idf[words] ** 2, 0))])
     rest = np.concatenate([[0], np.cumsum(words < 0)]) * other ** 2
     on, off = own[ends] - own[starts], rest[ends] - rest[starts]
-    keep = on >= SHARE ** 2 * (on + off)
     return rows[keep], starts[keep], np.sqrt(on + off)[keep]
 
 
@@ -119,7 +133,7 @@ def _window(words: np.ndarray, bounds: np.ndarray, rows: np.ndarray, starts: np.
 
 def _sketch(codes: DataFrame, items: Items, idf: np.ndarray, other: float) -> np.ndarray:
     """The leading right singular vectors (word, RANK) of the passages and items."""
-    size = len(items.terms)
+    size, need = len(items.terms), asked(items)
     omega = np.vstack([np.random.default_rng(9).standard_normal((size, RANK)), np.zeros(RANK)]).astype(np.float32)
 
     def product(terms: np.ndarray, norms: np.ndarray, total: np.ndarray) -> None:
@@ -133,7 +147,7 @@ def _sketch(codes: DataFrame, items: Items, idf: np.ndarray, other: float) -> np
         total, seen = np.zeros((size + 1, RANK)), 0
         for batch in batches:
             words, bounds = _flat(batch.column("words"))
-            rows, starts, norms = passages(words, bounds, idf, other)
+            rows, starts, norms = passages(words, bounds, idf, other, need)
             for a in range(0, len(rows), 512):
                 product(_window(words, bounds, rows[a:a + 512], starts[a:a + 512]), norms[a:a + 512], total)
             seen += len(rows)
@@ -181,7 +195,7 @@ def found_in(docs: DataFrame, items: Items) -> DataFrame:
     """The best item found in each text (doc_id, text_key, text) that holds one: FOUND."""
     codes = store(coded(docs, items), "codes")
     idf, other = weights(codes, len(items.terms))
-    basis = _sketch(codes, items, idf, other)
+    basis, need = _sketch(codes, items, idf, other), asked(items)
     basis = np.vstack([basis, np.zeros((1, basis.shape[1]), np.float32)])
     latent = np.stack([(idf[w][:, None] * basis[w]).sum(0) for w in items.words])
     latent /= np.linalg.norm(latent, axis=1, keepdims=True) + 1e-12
@@ -208,7 +222,7 @@ def found_in(docs: DataFrame, items: Items) -> DataFrame:
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             words, bounds = _flat(batch.column("words"))
-            rows, starts, _ = passages(words, bounds, idf, other)
+            rows, starts, _ = passages(words, bounds, idf, other, need)
             best: dict[int, tuple] = {}
             for a in range(0, len(rows), 2048):
                 terms = _window(words, bounds, rows[a:a + 2048], starts[a:a + 2048])

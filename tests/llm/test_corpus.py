@@ -120,3 +120,17 @@ def test_pipeline_query_equals_its_stages(spark):
     assert got.columns[:3] == ["doc_id", "piece", "start"] and got.count() > 200
     room = got.groupBy("sequence_id").sum("length").collect()
     assert max(r[1] for r in room) <= 1024
+
+
+def test_short_items_with_words_changed_are_found_at_every_offset(spark):
+    rng = random.Random(11)
+    items = [sentences(rng, n) for n in (15, 18, 21, 25)]
+    texts = {}
+    for i, item in enumerate(items):
+        for offset in range(0, 24, 3):
+            # four of five words kept, among words of no item
+            held = [w if k % 5 != 2 else f"other{k}" for k, w in enumerate(item)]
+            texts[100 * i + offset] = " ".join([*(f"x{rng.randrange(10**6)}" for _ in range(48 + offset)), *held, *(f"x{rng.randrange(10**6)}" for _ in range(60))])
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    bench = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(items)], "item_id long, text string")
+    assert {r["doc_id"]: r["item_id"] for r in decontamination.contaminated(docs, bench).collect()} == {d: d // 100 for d in texts}
