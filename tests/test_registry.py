@@ -1,3 +1,7 @@
+import subprocess
+import sys
+from pathlib import Path
+
 import duckdb
 import pytest
 
@@ -27,3 +31,21 @@ def test_query_matches_sql(spark, name):
     got = rows_of(df.columns, [tuple(r) for r in df.collect()])
     cur = con.execute(entry_point.oracle_sql()[name])
     assert got == rows_of([d[0] for d in cur.description], cur.fetchall())
+
+
+@pytest.mark.parametrize("hidden", [["colloquy.llm"], ["colloquy.llm", "corpus_pipeline"]])
+def test_other_queries_load_without_the_corpus_operators(hidden):
+    code = f"""
+import sys
+hidden = {hidden!r}
+class Hide:
+    def find_spec(self, name, path=None, target=None):
+        if name in hidden or name.startswith("colloquy.llm."):
+            raise ModuleNotFoundError(f"No module named {{name!r}}", name=name)
+sys.meta_path.insert(0, Hide())
+import __spark_entry__ as e
+names = e.queries()
+assert len(names) > 100 and not [n for n in names if n.startswith("op1_") or n == "pipeline"], len(names)
+assert set(e.oracle_sql()) <= set(names)
+"""
+    subprocess.run([sys.executable, "-c", code], check=True, cwd=Path(__file__).resolve().parents[1])

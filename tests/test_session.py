@@ -8,13 +8,14 @@ from colloquy.session import cut, ensure_checkpoint_dir, stages
 
 
 def test_stages_leave_no_table_behind(spark):
+    ensure_checkpoint_dir(spark)
+    folder = Path(urlparse(spark.sparkContext.getCheckpointDir()).path)
+    before = set(folder.glob("cut-*"))
     with stages(spark):
         kept = cut(spark.range(5))
-        folder = Path(urlparse(spark.sparkContext.getCheckpointDir()).path)
-        before = set(folder.glob("cut-*"))
         assert cut(kept.where("id > 2")).count() == 2
-        assert len(set(folder.glob("cut-*")) - before) == 1
-    assert not set(folder.glob("cut-*")) & before
+        assert len(set(folder.glob("cut-*")) - before) == 2
+    assert set(folder.glob("cut-*")) == before
 
 
 def cluster(master, named=None):
