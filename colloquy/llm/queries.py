@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import preference
+from . import filter_audit, preference, url_rules
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {"op6_chat_format": preference.ORACLE}
+ORACLES: dict[str, str] = {
+    "op6_chat_format": preference.ORACLE, "op11_filter_interactions": filter_audit.ORACLE, "op12_url_filters": url_rules.ORACLE}
 
 
 def query(fn: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
@@ -77,3 +78,13 @@ def op6_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .passages import repeated_passages
     return repeated_passages(table(spark, sf_dir, "documents"), passage=50, least=0.8)
+
+
+@query
+def op11_filter_interactions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query
+def op12_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_rules.judge(table(spark, sf_dir, "pages"), url_rules.rule_table(spark, url_rules.RULES))

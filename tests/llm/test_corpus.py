@@ -14,7 +14,7 @@ PATH = "/root/testdata/sf0.001"
 
 def test_registered():
     names = entry_point.queries()
-    assert {f"op{n}" for n in range(1, 11)} == {n.split("_")[0] for n in names if n.startswith("op") and n.split("_")[0][2:].isdigit()} and "pipeline" in names
+    assert {f"op{n}" for n in range(1, 14)} == {n.split("_")[0] for n in names if n.startswith("op") and n.split("_")[0][2:].isdigit()} and "pipeline" in names
     assert set(ORACLES) <= set(QUERIES)
 
 
