@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import filter_audit, preference, url_rules
+from . import filter_audit, preference, turn_repair, url_rules
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {
-    "op6_chat_format": preference.ORACLE, "op11_filter_interactions": filter_audit.ORACLE, "op12_url_filters": url_rules.ORACLE}
+    "op6_chat_format": preference.ORACLE, "op11_filter_interactions": filter_audit.ORACLE, "op12_url_filters": url_rules.ORACLE,
+    "op13_turn_repair": turn_repair.ORACLE}
 
 
 def query(fn: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
@@ -88,3 +89,8 @@ def op11_filter_interactions(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op12_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_rules.judge(table(spark, sf_dir, "pages"), url_rules.rule_table(spark, url_rules.RULES))
+
+
+@query
+def op13_turn_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return turn_repair.audit(table(spark, sf_dir, "conversations"))
