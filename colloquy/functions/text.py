@@ -7,7 +7,9 @@ from functools import lru_cache
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import grammar as G
 from . import phrases as P
+from . import sentence_rules as R
 from . import values as V
 
 FLAGS = P.JAVA_FLAGS
@@ -193,8 +195,13 @@ def strip_terminal(col: Column) -> Column:
 
 # -- phrases ---------------------------------------------------------------------
 
-def find_due(col: Column) -> Column:
-    return F.coalesce(extract(col, P.DUE_PHRASE, 1), extract(col, P.DUE_WORD, 1))
+def find_due(text: str) -> Column:
+    """The first deadline after a word such as *by* in the text that a SQL expression names, else the first that stands alone."""
+    return F.expr(f"transform(array({G.pieces(text)}), p -> transform(array({G.signs('p')}), s -> {due_words('s', 'p')})[0])[0]")
+
+
+def due_words(signs: str, pieces: str) -> str:
+    return f"coalesce({G.found(signs, pieces, R.DUE_PHRASE)}, {G.found(signs, pieces, R.DUE_WORD)})"
 
 
 def split_rationale(col: Column) -> Column:
@@ -221,14 +228,23 @@ def addressee(col: Column, known: Column | None = None) -> Column:
     return F.coalesce(F.when(looks_like_name(first, known), first), F.when(looks_like_name(last, known), last))
 
 
-def starts_with_action_verb(col: Column) -> Column:
-    toks = tokens_basic(col)
-    helper = F.get(toks, F.lit(0)).isin("be", "being", "have", "having", "get", "getting")
-    first = F.when(helper & (F.size(toks) > 1), F.get(toks, F.lit(1))).otherwise(F.get(toks, F.lit(0)))
-    stem = F.regexp_replace(first, "(?:ing|es|s|ed)$", "")
-    forms = F.array(first, stem, F.concat(first, F.lit("e")))
-    known = F.exists(forms, lambda f: in_words(f, V.ACTION_VERBS))
-    return F.coalesce(~matches(col, P.IN_MEETING_TALK) & (F.size(toks) > 0) & known, F.lit(False))
+def sql_words(words: list[str]) -> str:
+    return ", ".join(G.quoted(w) for w in words)
+
+
+def starts_with_action_verb(text: str, signs: str) -> str:
+    """SQL: whether the first word (the second after be, have or get) is a verb of work; both arguments name columns, ``signs`` those of the text."""
+    words = f"regexp_extract_all(lower({text}), '[a-z0-9\\']+', 0)"
+    first = "CASE WHEN get(t, 0) IN ('be', 'being', 'have', 'having', 'get', 'getting') AND size(t) > 1 THEN get(t, 1) ELSE get(t, 0) END"
+    forms = f"transform(array({first}), w -> array(w, regexp_replace(w, '(?:ing|es|s|ed)$', ''), concat(w, 'e')))[0]"
+    known = f"size(t) > 0 AND exists({forms}, f -> f IN ({sql_words(V.ACTION_VERBS)}))"
+    return f"coalesce(NOT {G.starts(signs, R.IN_MEETING_TALK)} AND transform(array({words}), t -> {known})[0], false)"
+
+
+def name_like(token: str, known: str | None = None) -> str:
+    """SQL: :func:`looks_like_name` of a SQL text."""
+    shape = f"({token} RLIKE '^[A-Z][a-z]{{1,20}}$' AND {token} NOT IN ({sql_words(V.CAP_NOT_NAME)}))"
+    return f"coalesce({shape}{f' OR coalesce(array_contains(`{known}`, {token}), false)' if known else ''}, false)"
 
 
 def resolve_pronouns(desc: Column, speaker: Column, other: Column) -> Column:

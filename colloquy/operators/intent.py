@@ -1,60 +1,45 @@
 """What each sentence does, and the action items and decisions that follow from it.
 
-``analyse`` is a staged projection: flags, one candidate capture per rule, the first
+``analyse`` is a staged projection: word classes, flags, what each rule takes, the first
 accepted rule, then one result per rule family.  Stages are separate selects so that
-each pattern runs once per sentence.
+the words of a sentence are looked up once and each rule runs once, on two signs a word.
 """
 
 from __future__ import annotations
 
+import re
 from functools import lru_cache, reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions import grammar as G
 from ..functions import phrases as P
+from ..functions import sentence_rules as R
 from ..functions import text as T
 from ..functions import values as V
 from ..session import cut
 from .blocks import block_scan, index_block, with_halo
 
-RULES = P.SENTENCE_RULES
+RULES = R.SENTENCE_RULES
 ACTION_INTENTS = ["request", "assignment", "commitment", "collective"]
 ACTIONABLE = ["request", "collective", "proposal", "assignment", "open_item", "commitment"]
 ANALYSIS = ("struct<intent:string,confidence:double,description:string,owner:string,due:string,rationale:string,"
             "is_question:boolean,is_conditional:boolean,is_hedged:boolean>")
 
 
-def _open_item_heads() -> dict[str, str]:
-    """Head phrase of every verb the open-item rule can capture."""
-    verbs = next(r for r in RULES if r.intent == "open_item" and "(?P<verb>" in r.pattern).pattern
-    listed = verbs.split("(?P<verb>")[1].split(")")[0].split("|")
-    heads = {}
-    for verb in listed:
-        stems = [verb, verb.removesuffix("ed"), verb.removesuffix("d"), {"chosen": "choose"}.get(verb, verb)]
-        known = next((P.OPEN_ITEM_HEADS[s] for s in stems if s in P.OPEN_ITEM_HEADS), None)
-        heads[verb] = known or verb[:1].upper() + verb[1:]
-    return heads
+#: Heading of every verb that the rule of open questions can take.
+OPEN_HEADS = {**R.OPEN_HEADINGS, **{form: R.OPEN_HEADINGS[verb] for form, verb in R.PARTICIPLES.items()}}
 
 
-def _result(intent, confidence, description, owner=None, due=None, rationale=None, question=None, conditional=None,
-            hedged=None) -> Column:
-    def text(v):
-        return (F.lit(v) if v is None or isinstance(v, str) else v).cast("string")
-
-    def flag(v):
-        return F.lit(False) if v is None else v
-
-    conf = F.lit(confidence) if isinstance(confidence, float) else confidence
-    bounded = F.round(F.least(F.greatest(conf, F.lit(0.0)), F.lit(1.0)), 4)
-    return F.struct(text(intent).alias("intent"), bounded.alias("confidence"), text(description).alias("description"),
-                    text(owner).alias("owner"), text(due).alias("due"), text(rationale).alias("rationale"),
-                    flag(question).alias("is_question"), flag(conditional).alias("is_conditional"),
-                    flag(hedged).alias("is_hedged"))
+def _result(intent: str, confidence: str, description: str, owner="NULL", due="NULL", rationale="NULL", question="false", conditional="false", hedged="false") -> str:
+    return (f"named_struct('intent', {intent}, 'confidence', round(least(greatest({confidence}, 0.0D), 1.0D), 4), 'description', {description}, 'owner', {owner}, 'due', {due}, "
+            f"'rationale', {rationale}, 'is_question', {question}, 'is_conditional', {conditional}, 'is_hedged', {hedged})")
 
 
-def _minus(cond: Column, amount: float) -> Column:
-    return F.when(cond, F.lit(-amount)).otherwise(F.lit(0.0))
+def _less(**amounts: str) -> str:
+    """A sum that takes off each amount, in hundredths by its name, where its condition holds."""
+    return " ".join(f"- CASE WHEN {condition} THEN {int(name.split('_')[1]) / 100}D ELSE 0.0D END" for name, condition in amounts.items())
 
 
 def analyse(df: DataFrame, raw: str, out: str = "analysis", known: str | None = None, nested: bool = True) -> DataFrame:
@@ -73,7 +58,6 @@ def analyse(df: DataFrame, raw: str, out: str = "analysis", known: str | None =
 def _stages(raw: str, out: str, known: str | None, nested: bool, jvm: int) -> list[list[Column]]:
     """Projections of ``analyse`` in order.  They refer to columns by name only, so one set serves every DataFrame."""
     p = f"__{out}_"
-    known_col = F.col(known) if known else None
     stages: list[list[Column]] = []
 
     def c(name: str) -> Column:
@@ -82,149 +66,123 @@ def _stages(raw: str, out: str, known: str | None, nested: bool, jvm: int) -> li
     def stage(**cols: Column) -> None:
         stages.append([e.alias(p + n) for n, e in cols.items()])
 
+    def said(**texts: str) -> None:
+        """A stage of SQL texts, in which ``$name`` is a column of an earlier stage."""
+        stages.append([F.expr(re.sub(r"\$([a-z]\w*)", lambda m: f"`{p}{m[1]}`", t)).alias(p + n) for n, t in texts.items()])
+
     stage(text=T.clean_text(F.col(raw)))
     text = c("text")
-    stage(words=F.size(T.tokens_basic(text)), q=T.matches(text, P.QUESTION), cond=T.matches(text, P.CONDITIONAL),
-              hedge=T.matches(text, P.HEDGE), done=T.matches(text, P.DONE), prop=T.matches(text, P.PROPOSAL))
-    stage(agree=T.matches(text, P.AGREEMENT) & (c("words") <= 8),
-              disagree=T.matches(text, P.DISAGREEMENT) & (c("words") <= 10))
-    stage(open=(c("words") >= 2) & ~c("agree") & ~c("disagree"))
-
-    captures = {}
-    for r in RULES:
-        found = F.regexp_extract(text, r.java, r.group("rest"))
-        hit = F.when(text.rlike(r.java), found) if r.rest_may_be_empty else F.nullif(found, F.lit(""))
-        captures[f"rest{r.number}"] = F.when(c("open"), hit)
-    stage(**captures)
+    stage(words=F.size(T.tokens_basic(text)), q=T.matches(text, P.QUESTION))
+    said(pieces=G.pieces("$text"))
+    said(signs=G.signs("$pieces"))
+    signs = "$signs"
+    said(cond=f"{G.starts(signs, R.CONDITION_START)} OR {G.holds(signs, R.CONDITION)}", hedge=G.holds(signs, R.HEDGE), done=G.holds(signs, R.DONE), prop=G.starts(signs, R.PROPOSAL),
+         agree=f"{G.starts(signs, R.AGREEMENT)} AND $words <= 8", disagree=f"{G.starts(signs, R.DISAGREEMENT)} AND $words <= 10")
+    rules = ", ".join(G.taken(signs, r.takes, r.then) for r in RULES)
+    # what each rule takes, by its number
+    said(all=f"CASE WHEN $words >= 2 AND NOT $agree AND NOT $disagree THEN array({rules}) END")
 
     promise = next(r for r in RULES if r.intent == "commitment")
-    continued = F.substring(T.strip(c(f"rest{promise.number}")), 1, 1).isin(",", ";", "-", "–")
-    tail = T.strip(F.regexp_replace(T.strip(c(f"rest{promise.number}")), "^[ ,;\\-–]+", ""))
-    stage(tail=F.when(continued, tail))
+    took = {r.number: f"$all[{r.number - 1}]" for r in RULES}
+    said(promised=f"CASE WHEN {G.behind(signs, took[promise.number])} RLIKE '^p[,;\\\\-–]' THEN {G.after('$pieces', took[promise.number])} END")
+    stage(tail=T.strip(F.regexp_replace(c("promised"), "^[ ,;\\-–]+", "")))
     if nested:
         stage(again=F.when(T.matches(c("tail"), r"^(?:i|we|let me)\b"), c("tail")))
         stages.extend(_stages(p + "again", p + "inner", known, False, jvm))
-        inner_ok = F.coalesce(c("inner.intent").isin("commitment", "collective") & (c("inner.description") != ""), F.lit(False))
+        said(inner_ok="coalesce($inner.intent IN ('commitment', 'collective') AND $inner.description <> '', false)")
     else:
-        inner_ok = F.lit(False)
-    stage(inner_ok=inner_ok)
-
-    def prefix(r: P.SentenceRule) -> Column:
-        rest = c(f"rest{r.number}")
-        return F.substring(text, F.lit(1), F.length(text) - F.length(rest))
-
-    def decision_body(rest: Column) -> Column:
-        return T.strip_terminal(T.strip(T.replace(T.strip(rest), P.DECISION_OPENING)))
+        said(inner_ok="false")
 
-    accepted = []
-    for r in RULES:
-        rest = c(f"rest{r.number}")
-        calm = ~T.matches(prefix(r), P.NEGATION)
+    def guard(r: R.SentenceRule) -> str:
+        """When a rule that fits is accepted."""
+        mine, rest = took[r.number], G.behind(signs, took[r.number])
+        hit, calm = f"{mine} IS NOT NULL", f"NOT {G.holds(mine, R.NEGATION)}"
         if r.intent == "open_item":
-            ok = rest.isNotNull()
-        elif r.group("verdict"):
-            subj = T.strip(F.regexp_extract(text, r.java, r.group("subj")))
-            ok = rest.isNotNull() & ~c("q") & calm & (subj != "") & ~F.lower(F.split(subj, " ")[0]).isin(
-                "it", "that", "this", "what", "which")
-        elif r.intent == "decision":
-            ok = (rest.isNotNull() & ~c("q") & calm & (T.strip(rest) != "")
-                  & ~T.matches(T.strip(rest), P.DECISION_NOUN_USE) & (F.size(T.tokens_basic(decision_body(rest))) >= 2))
-        elif r.intent == "commitment":
-            ok = rest.isNotNull() & (c("inner_ok") | calm)
-        else:
-            ok = rest.isNotNull() & calm
-        accepted.append(F.when(ok, F.lit(r.number)))
-    stage(rule=F.coalesce(*accepted))
-
-    def by_rule(value) -> Column:
-        arms = [(r, value(r)) for r in RULES]
-        return F.coalesce(*[F.when(c("rule") == r.number, v) for r, v in arms if v is not None])
-
-    def capture(name: str) -> Column:
-        return by_rule(lambda r: T.extract(text, r.java.removeprefix(P.JAVA_FLAGS), r.group(name)) if r.group(name) else None)
-
-    owner2 = capture("owner2")
-    stage(rest=T.strip(by_rule(lambda r: c(f"rest{r.number}"))), prefix=by_rule(prefix),
-              intent=by_rule(lambda r: F.lit(r.intent)), base=by_rule(lambda r: F.lit(r.base)),
-              owner=F.coalesce(capture("owner"), owner2), voc=capture("voc"), verb=capture("verb"),
-              subj=T.strip(capture("subj")), verdict=capture("verdict"), prep=F.lower(capture("prep")),
-              obtain=capture("obtain"))
-    intent, base = c("intent"), c("base")
-    flags = dict(question=c("q"), conditional=c("cond"), hedged=c("hedge"))
+            return hit
+        if r.takes.group("verdict"):
+            subject = G.part_of(G.noted("$pieces", mine), r.takes, "subj")
+            return f"{hit} AND NOT $q AND {calm} AND lower(split({subject}, ' ')[0]) NOT IN ('it', 'that', 'this', 'what', 'which')"
+        if r.intent == "decision":
+            return f"{hit} AND NOT $q AND {calm} AND NOT {G.starts(rest, R.DECISION_NOUN_USE)} AND {G.starts(rest, G.whole(R.DECISION_OPENING) + R.TWO_WORDS)}"
+        return f"{hit} AND ({calm}{' OR $inner_ok' if r.intent == 'commitment' else ''})"
+
+    said(rule="CASE " + " ".join(f"WHEN {guard(r)} THEN {r.number}" for r in RULES) + " END")
+    said(took="get($all, $rule - 1)", intent="get(array(" + ", ".join(f"'{r.intent}'" for r in RULES) + "), $rule - 1)", base="get(array(" + ", ".join(f"{r.base}D" for r in RULES) + "), $rule - 1)")
+    said(noted=f"CASE WHEN $rule IN ({', '.join(str(r.number) for r in RULES if '(?P<' in r.takes.signs)}) THEN {G.noted('$pieces', '$took')} END",
+         left=G.after("$pieces", "$took"), behind=G.behind(signs, "$took"))
+
+    def capture(*names: str) -> str:
+        arms = [f"WHEN {r.number} THEN coalesce({', '.join(G.part_of('$noted', r.takes, n) for n in names if r.takes.group(n))})" for r in RULES if any(r.takes.group(n) for n in names)]
+        return f"CASE $rule {' '.join(arms)} END"
+
+    obtains = ", ".join(str(r.number) for r in RULES if r.takes.group("obtain"))
+    said(owner=capture("owner", "owner2"), voc=capture("voc"), verb=f"lower({capture('verb')})", subj=capture("subj"), verdict=capture("verdict"), prep=f"lower({capture('prep')})",
+         obtain=f"coalesce($rule IN ({obtains}), false)", opened=f"CASE WHEN $intent = 'decision' THEN {G.after(G.pieces('$left'), 'coalesce(' + G.taken('$behind', R.DECISION_OPENING) + ", '')")} END")
+    stage(rest=T.strip(c("left")))
+    intent = c("intent")
+    flags = dict(question="$q", conditional="$cond", hedged="$hedge")
 
     # still open
     subject = T.replace(T.replace(T.strip_terminal(c("rest")), P.OPEN_SUBJECT_LEAD), P.OPEN_SUBJECT_FILLER)
-    heads = F.create_map(*[F.lit(x) for kv in _open_item_heads().items() for x in kv])
-    head = F.coalesce(heads[F.coalesce(F.lower(c("verb")), F.lit("decide"))], F.lit("Decide on"))
-    # decided
-    body1 = decision_body(c("rest"))
-    stage(subject=F.when(intent == "open_item", subject), head=head,
-              dbody=F.when((intent == "decision") & c("verdict").isNull(), body1),
-              abody0=F.when(intent.isin(*ACTION_INTENTS), T.strip_terminal(
-                  F.when((intent == "commitment") & c("tail").isNotNull(), c("tail")).otherwise(c("rest")))),
-              due=T.find_due(text))
+    stage(subject=F.when(intent == "open_item", subject), dbody=F.when((intent == "decision") & c("verdict").isNull(), T.strip_terminal(T.strip(c("opened")))),
+          abody0=F.when(intent.isin(*ACTION_INTENTS), T.strip_terminal(F.when((intent == "commitment") & c("tail").isNotNull(), c("tail")).otherwise(c("rest")))))
+    heads = "map(" + ", ".join(f"{G.quoted(v)}, {G.quoted(h)}" for v, h in OPEN_HEADS.items()) + ")"
+    said(head=f"CASE WHEN $intent = 'open_item' THEN coalesce({heads}[coalesce($verb, 'decide')], 'Decide on') END",
+         due=f"CASE WHEN $rule IS NOT NULL THEN {T.due_words(signs, '$pieces')} END", bsigns=G.signs(G.pieces("coalesce($dbody, $abody0)")),
+         abody="CASE WHEN $obtain AND $abody0 <> '' THEN concat('Obtain ', lower(left($abody0, 1)), substr($abody0, 2)) ELSE $abody0 END")
+    said(is_vague=G.starts("$bsigns", R.VAGUE), flow=G.starts("$bsigns", R.MEETING_FLOW), asks=G.starts("$bsigns", R.INFORMATION_REQUEST), talk=G.starts("$bsigns", R.IN_MEETING_TALK),
+         no_task=G.starts("$bsigns", R.NOT_A_TASK), soft_prefix=G.holds("$took", R.SOFT_PREFIX), soft=G.starts(signs, R.SOFT_OPENING), third=G.starts(signs, R.THIRD_PARTY),
+         wh=G.starts(signs, R.WH_QUESTION), suggested=f"CASE WHEN $prop THEN {G.after('$pieces', G.taken(signs, R.PROPOSAL))} END",
+         verb_ok=f"$obtain OR {T.starts_with_action_verb('$abody', '$bsigns')}")
     negative = F.when(T.matches(c("dbody"), r"^not\s+\w+ing\b"), F.concat(F.lit("Not "), F.substring(c("dbody"), 5, 2 ** 30))).otherwise(
         T.replace(c("dbody"), r"^not\s+", "Do not "))
-    verdict_text = F.concat(
-        T.capitalize_first(F.concat(c("subj"), F.when(F.lower(c("subj")).endswith("s"), " are ").otherwise(" is "), F.lower(c("verdict")))),
-        F.when(T.strip_terminal(c("rest")) != "", F.concat(F.lit(" "), T.strip_terminal(c("rest")))).otherwise(""))
-    abody = F.when(c("obtain").isNotNull() & (c("abody0") != ""), F.concat(
-        F.lit("Obtain "), F.lower(F.substring(c("abody0"), 1, 1)), F.substring(c("abody0"), 2, 2 ** 30))).otherwise(c("abody0"))
-    stage(dparts=T.split_rationale(negative), vparts=T.split_rationale(verdict_text), abody=abody)
-    stage(vague=(c("abody") == "") | T.matches(c("abody"), P.VAGUE), verb_ok=T.starts_with_action_verb(c("abody")),
-              dhead=c("dparts.head"))
-    asks_who = (c("head") == "Decide on") & T.matches(c("subject"), P.OPEN_SUBJECT_QUESTION)
-    open_text = T.strip_terminal(F.concat(F.when(asks_who, F.lit("Decide")).otherwise(c("head")), F.lit(" "), c("subject")))
-    open_result = F.when(F.size(T.tokens_basic(c("subject"))) < 1, _result("general", 0.2, text)).otherwise(_result(
-        "open_item", base + _minus(c("q"), 0.35) + _minus(c("cond"), 0.4), open_text, due=c("due"), **flags))
-
-    first_word_upper = F.split(c("dhead"), " ")[0].rlike("^[^a-z]*[A-Z][^a-z]*$")
-    lowered = F.when(c("dhead").rlike("^\\p{Lu}") & ~first_word_upper, F.concat(
-        F.lower(F.substring(c("dhead"), 1, 1)), F.substring(c("dhead"), 2, 2 ** 30))).otherwise(c("dhead"))
-    on_thing = (F.coalesce(c("prep"), F.lit("")).isin("on", "upon", "with") & ~T.starts_with_action_verb(c("dhead"))
-                & ~T.matches(c("dhead"), P.TASK_LIKE_DECISION))
-    decision_text = T.capitalize_first(F.when(on_thing, F.concat(F.lit("Go with "), lowered)).otherwise(c("dhead")))
-    decision_conf = (base + _minus(c("cond"), 0.6) + _minus(c("hedge") | c("prop"), 0.35)
-                     + _minus(T.matches(c("prefix"), P.SOFT_PREFIX), 0.2) + _minus(T.matches(text, P.SOFT_OPENING), 0.3)
-                     + _minus(T.matches(text, P.THIRD_PARTY), 0.2))
-    decision_result = F.when(T.matches(c("dbody"), P.MEETING_FLOW), _result("general", 0.2, text)).otherwise(_result(
-        "decision", decision_conf, decision_text, due=c("due"), rationale=c("dparts.rationale"), **flags))
-    verdict_result = _result("decision", base, T.capitalize_first(c("vparts.head")), rationale=c("vparts.rationale"), **flags)
-
-    named = F.when(T.looks_like_name(F.split(c("owner"), " ")[0], known_col), c("owner"))
-    person = F.coalesce(named, F.when(T.looks_like_name(c("voc"), known_col), c("voc")))
-    stage(person=person)
-    action_conf = (
-        base + _minus((intent == "collective") & ~c("verb_ok") & ~c("vague"), 0.25)
-        + _minus((intent != "collective") & ~c("verb_ok") & ~c("vague"), 0.12)
-        + _minus(c("q") & (intent != "request"), 0.4) + _minus(c("cond"), 0.5) + _minus(c("hedge"), 0.2)
-        + _minus(c("done"), 0.45) + _minus(c("prop") & (intent == "collective"), 0.1)
-        + _minus(c("due").isNotNull(), -0.08) + _minus(c("person").isNotNull(), -0.05) + _minus(c("vague"), 0.1))
-    action_text = F.when(c("vague"), F.lit("")).otherwise(T.capitalize_first(T.split_rationale(c("abody"))["head"]))
-    action_result = (
-        F.when((intent == "request") & T.matches(c("abody0"), P.INFORMATION_REQUEST), _result("question", 0.5, text, question=F.lit(True)))
-        .when((intent == "commitment") & T.matches(c("abody0"), P.IN_MEETING_TALK), _result("general", 0.2, text))
-        .when((intent != "request") & T.matches(c("abody0"), P.NOT_A_TASK), _result("general", 0.25, text))
-        .otherwise(_result(intent, action_conf, action_text, owner=c("person"), due=c("due"), **flags)))
-
-    suggestion = T.replace(T.strip(T.replace(text, P.PROPOSAL)), P.PROPOSAL_SUBJECT)
-    suggestion = T.capitalize_first(T.strip_terminal(suggestion))
-    inner = c("inner") if nested else F.lit(None).cast(ANALYSIS)
-    final = (
-        F.when(text.isNull(), F.lit(None).cast(ANALYSIS))
-        .when(text == "", _result("general", 0.0, ""))
-        .when(c("agree"), _result("agreement", 0.6, text)).when(c("disagree"), _result("disagreement", 0.6, text))
-        .when(c("words") < 2, _result("general", 0.0, text, question=c("q")))
-        .when((intent == "commitment") & c("inner_ok"), inner)
-        .when(intent == "open_item", open_result)
-        .when((intent == "decision") & c("verdict").isNotNull(), verdict_result)
-        .when(intent == "decision", decision_result)
-        .when(intent.isNotNull(), action_result)
-        .when(c("prop"), _result("proposal", 0.5, F.when(suggestion == "", text).otherwise(suggestion), question=c("q"), hedged=F.lit(True)))
-        .when(c("q") | T.matches(text, P.WH_QUESTION), _result("question", 0.5, text, question=F.lit(True)))
-        .when(c("done"), _result("done", 0.5, text))
-        .otherwise(_result("general", 0.0, text, **flags)))
-    stages.append([final.cast(ANALYSIS).alias(out)])
+    after_verdict = T.strip_terminal(F.when(c("verdict").isNotNull(), c("rest")))
+    stage(negative=negative, after_verdict=after_verdict)
+    said(ruled="concat(upper(left($subj, 1)), substr($subj, 2), CASE WHEN lower($subj) LIKE '%s' THEN ' are ' ELSE ' is ' END, lower($verdict), "
+               "CASE WHEN $after_verdict <> '' THEN concat(' ', $after_verdict) ELSE '' END)")
+    stage(dparts=T.split_rationale(F.coalesce(c("negative"), c("ruled"), c("abody"))))
+    said(dhead="$dparts.head", vague="$abody = '' OR (NOT $obtain AND $is_vague)")
+    said(dsigns="CASE WHEN $prep IN ('on', 'upon', 'with') THEN " + G.signs(G.pieces("$dhead")) + " END")
+    said(on_thing=f"$prep IN ('on', 'upon', 'with') AND NOT {T.starts_with_action_verb('$dhead', '$dsigns')} AND NOT $dhead RLIKE {G.quoted(T.FLAGS + P.TASK_LIKE_DECISION)}",
+         lowered="CASE WHEN $dhead RLIKE '^\\\\p{Lu}' AND NOT split($dhead, ' ')[0] RLIKE '^[^a-z]*[A-Z][^a-z]*$' THEN concat(lower(left($dhead, 1)), substr($dhead, 2)) ELSE $dhead END",
+         named=f"CASE WHEN {T.name_like('split($owner, chr(32))[0]', known)} THEN $owner END", called=f"CASE WHEN {T.name_like('$voc', known)} THEN $voc END")
+    said(told="CASE WHEN $on_thing THEN concat('Go with ', $lowered) ELSE $dhead END", person="coalesce($named, $called)",
+         asks_who=f"$head = 'Decide on' AND $subject RLIKE {G.quoted(T.FLAGS + P.OPEN_SUBJECT_QUESTION)}")
+    suggestion = T.replace(T.strip(c("suggested")), P.PROPOSAL_SUBJECT)
+    stage(open_text=T.strip_terminal(F.concat(F.when(c("asks_who"), F.lit("Decide")).otherwise(c("head")), F.lit(" "), c("subject"))),
+          line=T.capitalize_first(c("told")), suggestion=T.capitalize_first(T.strip_terminal(suggestion)))
+
+    general = lambda conf: _result("'general'", conf, "$text")
+    opened = _result("'open_item'", "$base " + _less(by_35="$q", by_40="$cond"), "$open_text", due="$due", **flags)
+    decided = _result("'decision'", "$base " + _less(by_60="$cond", by_35="$hedge OR $prop", by_20="$soft_prefix", by_30="$soft", by_20_more="$third"), "$line",
+                      due="$due", rationale="$dparts.rationale", **flags)
+    ruled = _result("'decision'", "$base", "$line", rationale="$dparts.rationale", **flags)
+    unclear = "NOT $verb_ok AND NOT $vague"
+    sure = "$base " + _less(by_25=f"$intent = 'collective' AND {unclear}", by_12=f"$intent <> 'collective' AND {unclear}", by_40="$q AND $intent <> 'request'", by_50="$cond",
+                            by_20="$hedge", by_45="$done", by_10="$prop AND $intent = 'collective'")
+    sure += " + CASE WHEN $due IS NOT NULL THEN 0.08D ELSE 0.0D END + CASE WHEN $person IS NOT NULL THEN 0.05D ELSE 0.0D END " + _less(by_10="$vague")
+    acted = _result("$intent", sure, "CASE WHEN $vague THEN '' ELSE $line END", owner="$person", due="$due", **flags)
+    said(**{"": f"""CASE
+      WHEN $text IS NULL THEN NULL
+      WHEN $text = '' THEN {_result("'general'", "0.0D", "''")}
+      WHEN $agree THEN {_result("'agreement'", "0.6D", "$text")}
+      WHEN $disagree THEN {_result("'disagreement'", "0.6D", "$text")}
+      WHEN $words < 2 THEN {_result("'general'", "0.0D", "$text", question="$q")}
+      WHEN $intent = 'commitment' AND $inner_ok THEN {"$inner" if nested else "NULL"}
+      WHEN $intent = 'open_item' AND NOT $subject RLIKE '[A-Za-z0-9]' THEN {general("0.2D")}
+      WHEN $intent = 'open_item' THEN {opened}
+      WHEN $intent = 'decision' AND $verdict IS NOT NULL THEN {ruled}
+      WHEN $intent = 'decision' AND $flow THEN {general("0.2D")}
+      WHEN $intent = 'decision' THEN {decided}
+      WHEN $intent = 'request' AND $asks THEN {_result("'question'", "0.5D", "$text", question="true")}
+      WHEN $intent = 'commitment' AND $talk THEN {general("0.2D")}
+      WHEN $intent <> 'request' AND $no_task THEN {general("0.25D")}
+      WHEN $intent IS NOT NULL THEN {acted}
+      WHEN $prop THEN {_result("'proposal'", "0.5D", "CASE WHEN $suggestion = '' THEN $text ELSE $suggestion END", question="$q", hedged="true")}
+      WHEN $q OR $wh THEN {_result("'question'", "0.5D", "$text", question="true")}
+      WHEN $done THEN {_result("'done'", "0.5D", "$text")}
+      ELSE {_result("'general'", "0.0D", "$text", **flags)} END"""})
+    stages[-1] = [stages[-1][0].cast(ANALYSIS).alias(out)]
     return stages
 
 
@@ -240,12 +198,12 @@ def sentences(utterances: DataFrame) -> DataFrame:
 
 def infer_speaker_names(utterances: DataFrame) -> DataFrame:
     """First self-introduction of every unnamed label: meeting_id, speaker, name."""
-    java = P.JAVA_FLAGS + P.SELF_INTRO.replace("(?P<named>", "(").replace("(?P<here>", "(")
     opening = F.slice(T.split_sentences(F.col("text")), 1, 3)
     found = (utterances.filter(T.matches(F.col("speaker"), V.SPEAKER_LABEL))
              .select("meeting_id", "speaker", "segment_index", F.posexplode(opening).alias("sent_no", "s"))
-             .withColumn("name", F.coalesce(F.nullif(F.regexp_extract("s", java, 1), F.lit("")),
-                                            F.nullif(F.regexp_extract("s", java, 2), F.lit(""))))
+             .withColumn("pieces", F.expr(G.pieces("s"))).withColumn("signs", F.expr(G.signs("pieces")))
+             .filter(f"{G.holds('signs', R.INTRO)} OR {G.starts('signs', R.INTRO_HERE)}").withColumn("noted", F.expr(G.noted("pieces", "signs")))
+             .withColumn("name", F.expr(f"coalesce({G.part_inside('noted', R.INTRO, 'name')}, {G.part_inside('noted', R.INTRO_HERE, 'name', at_start=True)})"))
              .filter(T.looks_like_name(F.col("name"))))
     return found.groupBy("meeting_id", "speaker").agg(F.min_by("name", F.struct("segment_index", "sent_no")).alias("name"))
 

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import grammar as WG
 from ..functions import phrases as P
+from ..functions import sentence_rules as SR
 from ..functions import text as T
 from ..functions import values as V
 from ..operators import ranking as R
@@ -138,20 +140,31 @@ def _(spark, path):
 
 # -- phrase functions over order transcripts ---------------------------------------
 
-FLAGS = {"question": P.QUESTION, "wh_question": P.WH_QUESTION, "conditional": P.CONDITIONAL, "hedge": P.HEDGE,
-         "done": P.DONE, "proposal": P.PROPOSAL, "agreement": P.AGREEMENT, "disagreement": P.DISAGREEMENT,
-         "vague": P.VAGUE, "meeting_flow": P.MEETING_FLOW, "negated": P.NEGATION}
+#: Name of a flag: (its part, whether it must stand at the start).
+FLAGS = {"wh_question": (SR.WH_QUESTION, True), "condition_start": (SR.CONDITION_START, True), "condition": (SR.CONDITION, False), "hedge": (SR.HEDGE, False),
+         "done": (SR.DONE, False), "proposal": (SR.PROPOSAL, True), "agreement": (SR.AGREEMENT, True), "disagreement": (SR.DISAGREEMENT, True),
+         "vague": (SR.VAGUE, True), "meeting_flow": (SR.MEETING_FLOW, True), "negated": (SR.NEGATION, False)}
+PLAIN = {n: ("^" if start else "") + f"(?:{p.plain})" for n, (p, start) in FLAGS.items()}
 
 
-@query("sentence_flags", with_("ord", "SELECT k, " + ", ".join(f"{Q.matches(Q.clean('text'), p)} AS {n}" for n, p in FLAGS.items()) + " FROM ord"))
+def flagged(table: str, key: str) -> str:
+    return f"SELECT {key}, " + ", ".join(f"{Q.matches(Q.clean('text'), p)} AS {n}" for n, p in {"question": P.QUESTION, **PLAIN}.items()) + f" FROM {table}"
+
+
+def _flags(df, key):
+    clean = df.withColumn("clean", T.clean_text(F.col("text"))).withColumn("signs", F.expr(WG.signs(WG.pieces("clean"))))
+    found = [F.expr((WG.starts if start else WG.holds)("signs", p)).alias(n) for n, (p, start) in FLAGS.items()]
+    return clean.select(key, T.matches(F.col("clean"), P.QUESTION).alias("question"), *found)
+
+
+@query("sentence_flags", with_("ord", flagged("ord", "k")))
 def _(spark, path):
-    clean = order_texts(spark, path).withColumn("clean", T.clean_text(F.col("text")))
-    return clean.select(F.col("order_key").alias("k"), *[T.matches(F.col("clean"), p).alias(n) for n, p in FLAGS.items()])
+    return _flags(order_texts(spark, path).withColumn("k", F.col("order_key")), "k")
 
 
-@query("find_due", with_("ord", f"""SELECT k, coalesce(nullif(regexp_extract(text, {Q.lit('(?i)' + P.DUE_PHRASE)}, 1), ''), nullif(regexp_extract(text, {Q.lit('(?i)' + P.DUE_WORD)}, 1), '')) AS due FROM ord"""))
+@query("find_due", with_("ord", f"""SELECT k, coalesce(nullif(rtrim(regexp_extract(text, {Q.lit('(?i)' + SR.DUE_PHRASE.plain)})), ''), nullif(rtrim(regexp_extract(text, {Q.lit('(?i)' + SR.DUE_WORD.plain)})), '')) AS due FROM ord"""))
 def _(spark, path):
-    return order_texts(spark, path).select(F.col("order_key").alias("k"), T.find_due(F.col("text")).alias("due"))
+    return order_texts(spark, path).select(F.col("order_key").alias("k"), T.find_due("text").alias("due"))
 
 
 @query("split_rationale", with_("ord", """SELECT k, CASE k % 20 WHEN 6 THEN 'We decided to cancel order ' || CAST(k AS VARCHAR) ELSE text END AS head, CASE k % 20 WHEN 6 THEN 'The stock is gone' END AS rationale FROM ord"""))
@@ -168,7 +181,9 @@ def _(spark, path):
 @query("starts_with_action_verb", with_("items", "SELECT item_id, true AS verb_first FROM items"))
 def _(spark, path):
     packed = O.action_items(spark, path).withColumn("description", F.regexp_replace("description", "^Pack", "Packing, prepare"))
-    return packed.select("item_id", T.starts_with_action_verb(F.regexp_replace(F.col("description"), "^Packing, ", "")).alias("verb_first"))
+    bare = packed.withColumn("bare", F.regexp_replace(F.col("description"), "^Packing, ", ""))
+    bare = bare.withColumn("signs", F.expr(WG.signs(WG.pieces("bare"))))
+    return bare.selectExpr("item_id", f"{T.starts_with_action_verb('bare', 'signs')} AS verb_first")
 
 
 @query("resolve_pronouns", with_("items", """SELECT item_id, CASE WHEN owner IS NULL THEN 'Send me ' || description || ' for my desk and your file'

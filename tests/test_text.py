@@ -35,8 +35,9 @@ def test_names_and_due(spark):
     assert one(spark, T.addressee, "Ravi, please look") == "Ravi"
     assert one(spark, T.addressee, "Please look, Ravi?") == "Ravi"
     assert one(spark, T.addressee, "Monday, please look") is None
-    assert one(spark, T.find_due, "send it by the end of the month, not today") == "by the end of the month"
-    assert one(spark, T.find_due, "nothing here") is None
+    find_due = lambda _: T.find_due("c0")
+    assert one(spark, find_due, "send it by the end of the month, not today") == "by the end of the month"
+    assert one(spark, find_due, "nothing here") is None
 
 
 def test_pronouns_keep_labels_and_special_characters(spark):
