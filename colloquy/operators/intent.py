@@ -199,13 +199,14 @@ def sentences(utterances: DataFrame) -> DataFrame:
 def infer_speaker_names(utterances: DataFrame) -> DataFrame:
     """First self-introduction of every unnamed label: meeting_id, speaker, name."""
     opening = F.slice(T.split_sentences(F.col("text")), 1, 3)
-    found = (utterances.filter(T.matches(F.col("speaker"), V.SPEAKER_LABEL))
-             .select("meeting_id", "speaker", "segment_index", F.posexplode(opening).alias("sent_no", "s"))
-             .withColumn("pieces", F.expr(G.pieces("s"))).withColumn("signs", F.expr(G.signs("pieces")))
-             .filter(f"{G.holds('signs', R.INTRO)} OR {G.starts('signs', R.INTRO_HERE)}").withColumn("noted", F.expr(G.noted("pieces", "signs")))
-             .withColumn("name", F.expr(f"coalesce({G.part_inside('noted', R.INTRO, 'name')}, {G.part_inside('noted', R.INTRO_HERE, 'name', at_start=True)})"))
-             .filter(T.looks_like_name(F.col("name"))))
-    return found.groupBy("meeting_id", "speaker").agg(F.min_by("name", F.struct("segment_index", "sent_no")).alias("name"))
+    maybe = r"\b" + P.one_of(*R.INTRO_WORDS) + r"\b"
+    said = (utterances.filter(T.matches(F.col("speaker"), V.SPEAKER_LABEL) & T.matches(F.col("text"), maybe))
+            .select("meeting_id", "speaker", "segment_index", F.posexplode(opening).alias("sent_no", "s")).filter(T.matches(F.col("s"), maybe)))
+    name = f"coalesce({G.part_inside('n', R.INTRO, 'name')}, {G.part_inside('n', R.INTRO_HERE, 'name', at_start=True)})"
+    # one expression, so that no part of it is computed again where the name is tested
+    said = said.withColumn("name", F.expr(f"transform(array({G.pieces('s')}), p -> transform(array({G.signs('p')}), g -> transform(array({G.noted('p', 'g')}), n -> {name})[0])[0])[0]"))
+    first = F.min_by("name", F.when(T.looks_like_name(F.col("name")), F.struct("segment_index", "sent_no"))).alias("name")
+    return said.groupBy("meeting_id", "speaker").agg(first).where("name is not null")
 
 
 def speaker_names(utterances: DataFrame, user_names: DataFrame | None = None, pretty: bool = False) -> DataFrame:
@@ -235,9 +236,10 @@ def context_rows(utterances: DataFrame, names: DataFrame | None = None, min_conf
     rows = cut(sentences(utterances).join(names.select("meeting_id", "speaker", "display"), ["meeting_id", "speaker"])
                .join(facts, "meeting_id"), wide=True)
     rows = analyse(rows, "raw", "a", known="known")
-    rows = rows.withColumn("decided", F.when((F.col("a.intent") == "decision") & (F.col("a.confidence") >= min_conf), F.col("a.description")))
-    # Only an assignment inside a decision matters here, so the continuation rule is not needed.
-    rows = cut(analyse(rows, "decided", "nested", known="known", nested=False))
+    rows = cut(rows.withColumn("decided", F.when((F.col("a.intent") == "decision") & (F.col("a.confidence") >= min_conf), F.col("a.description"))))
+    # Only an assignment inside a decision matters here, so the continuation rule is not needed, nor any work on the other rows.
+    inside = analyse(rows.where("decided is not null"), "decided", "nested", known="known", nested=False)
+    rows = cut(inside.unionByName(rows.where("decided is null").withColumn("nested", F.lit(None).cast(ANALYSIS))))
     concrete = (F.col("a.description") != "") & (F.col("a.intent").isin(*ACTIONABLE) | (
         (F.col("a.intent") == "decision") & (F.col("a.confidence") < min_conf)))
     halo = with_halo(rows.withColumn("task", F.when(concrete, F.struct(
