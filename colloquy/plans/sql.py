@@ -133,7 +133,7 @@ cte("topics", f"""SELECT 't' || CAST(k AS VARCHAR) AS topic_id, meeting_id, segm
   {pick('k % 6', TOPIC_TITLES)} AS title, 'About order ' || CAST(k AS VARCHAR) AS summary, k % 3 = 0 AS is_recurring,
   CASE WHEN k % 3 = 0 THEN 't' || CAST(k - 12 AS VARCHAR) END AS previous_topic_id,
   CASE WHEN k % 50 <> 1 THEN start_time END AS start_time,
-  CASE WHEN k % 50 <> 1 THEN start_time + 20 END AS end_time FROM ord WHERE k % 4 = 1""", "ord")
+  CASE WHEN k % 50 <> 1 THEN start_time + 20 END AS end_time FROM ord""", "ord")
 cte("turn_grid", """SELECT DISTINCT meeting_id, unnest(range(CAST(floor(start_time / 7) AS BIGINT), CAST(floor(end_time / 7) AS BIGINT) + 1)) AS i
   FROM segs""", "segs")
 cte("turns", """SELECT meeting_id, CAST(i AS INTEGER) AS turn_idx, 'SPEAKER_0' || CAST(i % 3 AS VARCHAR) AS speaker,
