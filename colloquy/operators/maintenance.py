@@ -123,3 +123,14 @@ def merge_topics(payloads: DataFrame, local_topics: DataFrame) -> DataFrame:
         "meeting_id", "topic_no", "t.title", "t.summary")
     rest = local_topics.join(parsed.select("meeting_id").distinct(), "meeting_id", "left_anti")
     return external.unionByName(rest, allowMissingColumns=True)
+
+
+def merge_summaries(payloads: DataFrame, local: DataFrame) -> DataFrame:
+    """Summary lines (meeting_id, part, n, line): those of an external result where it has a summary that is not blank, local lines elsewhere.
+
+    Of several results of a meeting the smallest summary counts.
+    """
+    own = parse_extraction(payloads).select("meeting_id", F.col("result.summary").alias("summary")).where(strip(F.col("summary")) != "")
+    one = own.groupBy("meeting_id").agg(F.min("summary").alias("summary"))
+    external = one.select("meeting_id", F.lit(0).alias("part"), F.posexplode(F.split(strip(F.col("summary")), "\r?\n")).alias("n", "line"))
+    return external.unionByName(local.select("meeting_id", "part", "n", "line").join(one.select("meeting_id"), "meeting_id", "left_anti"))

@@ -718,3 +718,28 @@ UNION ALL SELECT meeting_id, description, urgency, confidence, 'local' FROM item
 def _(spark, path):
     merged, _ = M.merge_extraction_sources(payloads(spark, path), O.action_items(spark, path), O.decisions(spark, path))
     return merged.select("meeting_id", "description", "urgency", "confidence", "origin")
+
+
+@query("merge_summaries", with_(["meetings"], """, ext AS (SELECT CAST(o_custkey AS VARCHAR) AS meeting_id, count(*) AS n, max(o_orderkey) AS k FROM orders WHERE o_custkey % 4 = 0 GROUP BY 1),
+own AS (SELECT meeting_id, n, k FROM ext WHERE n % 5 <> 0)
+SELECT meeting_id, 0 AS part, 0 AS n, 'Orders: ' || CAST(n AS VARCHAR) AS line FROM own UNION ALL SELECT meeting_id, 0, 1, '- last is ' || CAST(k AS VARCHAR) FROM own
+UNION ALL SELECT meeting_id, 1, 0, title FROM meetings WHERE meeting_id NOT IN (SELECT meeting_id FROM own)"""))
+def _(spark, path):
+    held = X.table(spark, path, "orders").where("o_custkey % 4 = 0").groupBy(F.col("o_custkey").cast("string").alias("meeting_id")).agg(
+        F.count("*").alias("n"), F.max("o_orderkey").alias("k"))
+    said = F.when(F.col("n") % 5 == 0, " \n").otherwise(F.concat(F.lit("Orders: "), F.col("n").cast("string"), F.lit("\n- last is "), F.col("k").cast("string"), F.lit("\n")))
+    texts = held.select("meeting_id", F.to_json(F.struct(said.alias("summary"))).alias("payload"))
+    local = O.meetings(spark, path).select("meeting_id", F.lit(1).alias("part"), F.lit(0).alias("n"), F.col("title").alias("line"))
+    return M.merge_summaries(texts, local)
+
+
+@query("merge_topics", with_(["topics"], """, ext AS (SELECT DISTINCT CAST(o_custkey AS VARCHAR) AS meeting_id, o_orderkey AS k FROM orders WHERE o_custkey % 4 = 0 AND o_orderkey % 97 <> 0)
+SELECT meeting_id, 0 AS topic_no, 'Order ' || CAST(k AS VARCHAR) AS title, NULL::DOUBLE AS start_time FROM ext UNION ALL SELECT meeting_id, 1, 'Payment', NULL FROM ext
+UNION ALL SELECT meeting_id, topic_no, title, start_time FROM topics WHERE meeting_id NOT IN (SELECT meeting_id FROM ext)"""))
+def _(spark, path):
+    o = X.table(spark, path, "orders").where("o_custkey % 4 = 0")
+    topic = lambda title: F.struct(title.alias("title"), F.lit("s").alias("summary"))
+    named = F.concat(F.lit("Order "), F.col("o_orderkey").cast("string"))
+    text = F.to_json(F.struct(F.array(topic(named), topic(F.lit("Payment"))).alias("topics")))
+    texts = o.select(F.col("o_custkey").cast("string").alias("meeting_id"), F.when(F.col("o_orderkey") % 97 == 0, F.lit("{oops")).otherwise(text).alias("payload"))
+    return M.merge_topics(texts, O.topics(spark, path)).select("meeting_id", F.col("topic_no").cast("int").alias("topic_no"), "title", "start_time")

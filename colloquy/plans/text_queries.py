@@ -138,6 +138,39 @@ def _(spark, path):
             .groupBy("page_id", "kind").agg(F.count("*").alias("lines")))
 
 
+PAGE_LINES = r"""WITH marked AS (SELECT page_id, url, unnest(range(0, len(string_split(md, chr(10))))) AS n, unnest(string_split(md, chr(10))) AS line FROM (
+  SELECT page_id, url, replace(replace(replace(replace(html, '<p>', chr(10)), '<li>', chr(10) || '- '), '<h1>', chr(10) || '# '), '<h2>', chr(10) || '> ') AS md FROM pages)),
+kinds AS (SELECT page_id, url, n, line, CASE WHEN trim(regexp_replace(line, '^\s+|\s+$', '', 'g')) IN ('', '---') THEN NULL WHEN starts_with(line, '#') THEN 'heading'
+  WHEN regexp_matches(line, '^\s*[•\-]\s+') OR regexp_matches(line, '^\s*\d+\.\s+') THEN 'bullet' WHEN starts_with(line, '>') THEN 'quote' WHEN starts_with(line, '|') THEN NULL ELSE 'para' END AS kind FROM marked),
+plain AS (SELECT *, regexp_replace(regexp_replace(CASE kind WHEN 'heading' THEN regexp_replace(regexp_replace(line, '^[# ]+', ''), '^\s+', '')
+  WHEN 'bullet' THEN regexp_replace(line, '^\s*(?:[•\-]|\d+\.)\s+', '') WHEN 'quote' THEN regexp_replace(regexp_replace(line, '^[> ]+', ''), '^\s+', '') ELSE regexp_replace(line, '^\s+', '') END, '\s+$', ''), '\*\*([^*]+)\*\*', '\1', 'g') AS t1 FROM kinds),
+blocks AS (SELECT page_id, url, n, kind, regexp_replace(regexp_replace(t1, '\*([^*]+)\*', '\1', 'g'), '`([^`]+)`', '\1', 'g') AS text FROM plain WHERE kind IS NOT NULL)
+"""
+
+
+def page_lines(spark, path):
+    """The pages as lines of Markdown."""
+    md = F.col("html")
+    for tag, mark in (("<p>", "\n"), ("<li>", "\n- "), ("<h1>", "\n# "), ("<h2>", "\n> ")):
+        md = F.replace(md, F.lit(tag), F.lit(mark))
+    return X.text_table(spark, path, "pages").select(F.col("page_id").alias("meeting_id"), F.posexplode(F.split(md, "\n")).alias("n", "line"))
+
+
+@query("summary_block_text", PAGE_LINES + "SELECT page_id, n, kind, text FROM blocks QUALIFY NOT (kind = 'heading' AND n = min(n) OVER (PARTITION BY page_id))")
+def _(spark, path):
+    return T.summary_blocks(page_lines(spark, path)).select(F.col("meeting_id").alias("page_id"), F.col("n").cast("long").alias("n"), "kind", "text")
+
+
+@query("summary_points", PAGE_LINES + """, own AS (SELECT page_id, n, text FROM blocks WHERE kind IN ('para', 'bullet') AND length(text) > 20 AND page_id % 3 <> 0),
+points AS (SELECT * FROM own UNION ALL SELECT page_id, 1, 'See ' || url FROM pages WHERE page_id NOT IN (SELECT page_id FROM own))
+SELECT page_id, place, text AS point FROM (SELECT page_id, row_number() OVER (PARTITION BY page_id ORDER BY n, text) AS place, text FROM points) WHERE place <= 6""")
+def _(spark, path):
+    # of every third page only the short lines are a summary, so it falls back on its address
+    lines = page_lines(spark, path).withColumn("line", F.when((F.col("meeting_id") % 3 != 0) | T.summary_line_kind(F.col("line")).isin("heading", "quote"), F.col("line")).otherwise(""))
+    other = X.text_table(spark, path, "pages").select(F.col("page_id").alias("meeting_id"), F.lit(1).alias("n"), F.concat(F.lit("See "), "url").alias("point"))
+    return T.summary_points(lines, other).select(F.col("meeting_id").alias("page_id"), F.col("place").cast("long").alias("place"), "point")
+
+
 # -- phrase functions over order transcripts ---------------------------------------
 
 #: Name of a flag: (its part, whether it must stand at the start).
