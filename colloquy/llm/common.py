@@ -84,6 +84,14 @@ def delete(spark: SparkSession, path: str) -> None:
         _STORED.remove(path)
 
 
+def free(df: DataFrame, name: str) -> str:
+    """``name``, lengthened until no column of ``df`` has it, whatever the case."""
+    taken = {c.lower() for c in df.columns}
+    while name in taken:
+        name += "_"
+    return name
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
-from .common import Words, drop, ship, slices, store
+from .common import Words, drop, free, ship, slices, store
 
 PASSAGE, STRIDE = 24, 12
 RANK = 128
@@ -278,5 +278,6 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 def without_benchmark(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of ``docs``, all columns, whose text holds no benchmark item."""
-    keys = store(contaminated(docs, benchmark).select(F.col("text_key").alias("_found")).distinct(), "found")
-    return docs.join(keys, F.xxhash64(docs["text"]) == F.col("_found"), "left_anti")
+    found = free(docs, "_found")
+    keys = store(contaminated(docs, benchmark).select(F.col("text_key").alias(found)).distinct(), "found")
+    return docs.join(keys, F.xxhash64(docs["text"]) == F.col(found), "left_anti")

@@ -33,7 +33,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import Words, binary_list, drop, mix, ship, slices, store
+from .common import Words, binary_list, drop, free, mix, ship, slices, store
 from .components import components
 
 #: Shared prefix shingles that are asked for in screening: one and this part of the overlap.
@@ -235,8 +235,9 @@ def one_of_each(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100)
     classes = similar_classes(docs, words, num, den).where("n_shingles > 0")
     group = F.coalesce("component_id", "text_key")
     kept = classes.groupBy(group.alias("g")).agg(F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "text_key")).alias("k"))
-    kept = store(kept.select(F.col("k.text_key").alias("_key"), F.col("k.doc_id").alias("_id")), "kept")
-    keyed = docs.withColumn("_text_key", F.xxhash64("text"))
-    stay = keyed.join(kept, keyed["_text_key"] == kept["_key"]).where(F.col("_id").eqNullSafe(F.col("doc_id"))).dropDuplicates(["_text_key"]).select(*docs.columns)
+    key, named, own = free(docs, "_key"), free(docs, "_id"), free(docs, "_text_key")
+    kept = store(kept.select(F.col("k.text_key").alias(key), F.col("k.doc_id").alias(named)), "kept")
+    keyed = docs.withColumn(own, F.xxhash64("text"))
+    stay = keyed.join(kept, keyed[own] == kept[key]).where(F.col(named).eqNullSafe(F.col("doc_id"))).dropDuplicates([own]).select(*docs.columns)
     wordless = F.col("text").isNull() | ~F.col("text").rlike(r"[^\x20\x09-\x0D]")
     return stay.unionByName(docs.where(wordless))

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
-from .common import ship, slices, text_bytes
+from .common import free, ship, slices, text_bytes
 
 WINDOW = 64
 HIDDEN = 8
@@ -198,14 +198,19 @@ def held_out_rows(divisor: int, remainder: int) -> Column:
     return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % divisor == remainder, F.lit(True))
 
 
+def marks(docs: DataFrame) -> tuple[str, str]:
+    """Names for the prediction and its score that no column of ``docs`` has."""
+    return free(docs, "_lang_pred"), free(docs, "_lang_score")
+
+
 def tagged(docs: DataFrame, net: Network | None) -> DataFrame:
-    """All rows and columns of ``docs`` with ``_lang_pred`` and ``_lang_score``."""
-    lettered = docs.withColumn("_lettered", F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)))
-    schema = StructType([*docs.schema.fields, StructField("_lang_pred", StringType()), StructField("_lang_score", DoubleType())])
+    """All rows and columns of ``docs``, then the prediction and its score under the names of :func:`marks`."""
+    lettered = docs.withColumn(free(docs, "_lettered"), F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)))
+    schema = StructType([*docs.schema.fields, *(StructField(n, t) for n, t in zip(marks(docs), (StringType(), DoubleType())))])
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            ok = batch.column("_lettered").to_numpy(zero_copy_only=False)
+            ok = batch.column(batch.num_columns - 1).to_numpy(zero_copy_only=False)
             found = pooled(net, *text_bytes(batch.column("text"))) if net else np.zeros((batch.num_rows, 1))
             best = found.argmax(axis=1)
             names = [net.langs[k] if known and net else "und" for k, known in zip(best, ok)]
@@ -227,4 +232,5 @@ def in_a_language(docs: DataFrame, least: float = 0.3, docs_per_lang: int = 1000
     """The rows of ``docs``, all columns, whose text is in a learned language with at least this score."""
     ship(docs.sparkSession)
     net = train(docs.where(~held_out_rows(4, 2)), docs_per_lang, windows)
-    return tagged(docs, net).where((F.col("_lang_pred") != "und") & (F.col("_lang_score") >= least)).drop("_lang_pred", "_lang_score")
+    pred, score = marks(docs)
+    return tagged(docs, net).where((F.col(pred) != "und") & (F.col(score) >= least)).drop(pred, score)
