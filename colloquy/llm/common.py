@@ -186,6 +186,32 @@ def span_hashes(sums: np.ndarray, inverse: np.ndarray, starts: np.ndarray, ends:
     return mix((sums[ends] - sums[starts]) * inverse[starts])
 
 
+#: Positions of a word whose values of all bytes are kept in a table.
+_PLACES = 64
+_VALUES = mix((np.arange(_PLACES * 256, dtype=np.uint64) + np.uint64(1)) * _BASE)
+
+
+def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Hashes of the byte spans [start, end), which do not overlap: the sum of one value for each byte at each place in its span.
+
+    The values of different places have nothing to do with each other, so no pattern of
+    repeated letters makes differences cancel out, as it does with powers of one base.
+    """
+    lengths = ends - starts
+    if not len(lengths):
+        return np.zeros(0, np.uint64)
+    bounds = np.concatenate([[0], np.cumsum(lengths)])
+    place = np.arange(bounds[-1]) - np.repeat(bounds[:-1], lengths)
+    code = place * 256 + data[place + np.repeat(starts, lengths)]
+    far = code >= _PLACES * 256
+    if far.any():
+        values = _VALUES[np.where(far, 0, code)]
+        values[far] = mix((code[far].astype(np.uint64) + np.uint64(1)) * _BASE)
+    else:
+        values = _VALUES[code]
+    return mix(np.add.reduceat(values, bounds[:-1]))
+
+
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, 9, 10, 11, 12, 13]] = True
 _SIGN = np.array([33 <= b < 127 and not chr(b).isalnum() for b in range(256)])
@@ -220,8 +246,7 @@ class Words:
         ends[last] = word[last]
         self.starts, self.ends = np.flatnonzero(begins), np.flatnonzero(ends) + 1
         self.first = np.searchsorted(self.starts, self.offsets)
-        sums, inverse = prefix_sums(data)
-        self.hashes = span_hashes(sums, inverse, self.starts, self.ends)
+        self.hashes = word_hashes(data, self.starts, self.ends)
 
     def shingles(self, width: int) -> tuple[np.ndarray, np.ndarray]:
         """Hashes of the word shingles of every text, in order, and their n+1 offsets.

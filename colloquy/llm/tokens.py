@@ -17,7 +17,7 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 
-from .common import prefix_sums, span_hashes, text_bytes
+from .common import text_bytes, word_hashes
 
 #: Pieces kept at most in each of two generations.
 KEPT = 400_000
@@ -45,6 +45,25 @@ def _byte_symbols() -> dict[int, str]:
     return {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(others)}
 
 
+def distinct_spans(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """One span for each different content, and for every span the place of its content among them.
+
+    Spans are grouped by hash and every span is compared byte by byte with the one that
+    stands for it; where that fails, contents are told apart by themselves.
+    """
+    _, first, which = np.unique(word_hashes(data, starts, ends), return_index=True, return_inverse=True)
+    lengths = ends - starts
+    stand = starts[first][which]
+    if (lengths[first][which] == lengths).all() and np.array_equal(data[starts[0]:ends[-1]], data[np.repeat(stand - starts, lengths) + np.arange(starts[0], ends[-1])]):
+        return first, which
+    seen: dict[bytes, int] = {}
+    raw, named = data.tobytes(), []
+    for a, b in zip(starts.tolist(), ends.tolist()):
+        named.append(seen.setdefault(raw[a:b], len(seen)))
+    which = np.array(named)
+    return np.unique(which, return_index=True)[1], which
+
+
 class Encoder:
     """``tokenizers`` with a bounded memory of encoded pieces."""
 
@@ -75,11 +94,7 @@ class Encoder:
         cut[filled] = True
         starts = np.flatnonzero(cut)
         ends = np.append(starts[1:], len(data))
-        keys = span_hashes(*prefix_sums(data), starts, ends)
-        _, first, which = np.unique(keys, return_index=True, return_inverse=True)
-        lengths = ends - starts
-        if (lengths[first][which] != lengths).any():
-            raise ValueError("two different pieces of a batch have one hash")
+        first, which = distinct_spans(data, starts, ends)
         codes = self._codes(data.tobytes(), starts[first].tolist(), ends[first].tolist())
         flat = np.frombuffer(b"".join(codes), np.uint32)
         bounds = np.concatenate([[0], np.cumsum([len(c) >> 2 for c in codes])])

@@ -75,6 +75,15 @@ def test_classes_equal_brute_force(documents, width, num):
     assert Counter(map(tuple, got)) == classes(list(zip(ids, texts)), width, num, 100)
 
 
+def test_words_built_to_collide(documents):
+    a = "a"
+    while len(a) < 1024:
+        a += a.translate({97: 98, 98: 97})
+    b = a.translate({97: 98, 98: 97})
+    got = similar_classes(documents(a, b, a), 4, 85, 100).select("doc_id", "component_id").collect()
+    assert sorted(map(tuple, got)) == [(0, 0), (1, 1), (2, 0)]
+
+
 def test_op3_equals_brute_force(spark):
     rows = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{PATH}/documents.parquet").collect()]
     assert Counter(map(tuple, QUERIES["op3_jaccard_join"](spark, PATH).collect())) == classes(rows, 4, 85, 100)

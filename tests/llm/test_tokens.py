@@ -6,7 +6,7 @@ import pyarrow as pa
 import pytest
 from hypothesis import given, settings, strategies as st
 
-from colloquy.llm import packing
+from colloquy.llm import packing, tokens
 from colloquy.llm.queries import QUERIES
 from colloquy.llm.token_store import Codes, Shard, token_store, write_store
 from colloquy.llm.common import shared_path
@@ -117,3 +117,24 @@ def test_plan_holds_every_piece(counts):
         for length, n in pieces:
             held[length] += times * n
     assert held == Counter(counts)
+
+
+def doubled(length=1024):
+    """Two different texts of two letters whose hashes by powers of an odd base modulo 2**64 are equal."""
+    s = "a"
+    while len(s) < length:
+        s += s.translate({97: 98, 98: 97})
+    return s, s.translate({97: 98, 98: 97})
+
+
+def test_texts_built_to_collide(encode):
+    texts = [*doubled(), "plain", " ".join(doubled()), doubled()[0]]
+    ids, bounds = Encoder(vocabulary()).encode(pa.array(texts, pa.string()), 2)
+    assert [ids[a:b].tolist() for a, b in zip(bounds[:-1], bounds[1:])] == [encode(t).tolist() for t in texts]
+
+
+def test_equal_hashes_of_different_pieces(encode, monkeypatch):
+    monkeypatch.setattr(tokens, "word_hashes", lambda data, starts, ends: (ends - starts).astype(np.uint64) % 3)
+    texts = ["plain text, twice. plain text, twice.", "other words here", None, "x"]
+    ids, bounds = Encoder(vocabulary()).encode(pa.array(texts, pa.string()), 2)
+    assert [ids[a:b].tolist() for a, b in zip(bounds[:-1], bounds[1:])] == [encode(t).tolist() for t in texts]
