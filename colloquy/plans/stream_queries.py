@@ -100,12 +100,19 @@ def _(spark, path):
     return spark.read.parquet(target).select("event_type", "chunk_start", "chunk_end", "rows")
 
 
-@query("stream_bounded_chunks")
+@query("stream_bounded_chunks", """WITH RECURSIVE g AS (SELECT user_id, ts, epoch_us(ts) AS t, lag(epoch_us(ts)) OVER w AS p, ROW_NUMBER() OVER w AS n FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
+walk AS (SELECT user_id, n, ts, t, t AS start FROM g WHERE n = 1
+  UNION ALL SELECT g.user_id, g.n, g.ts, g.t, CASE WHEN g.t - w.start >= 172800000000 OR (g.t - g.p >= 21600000000 AND g.t - w.start >= 43200000000) THEN g.t ELSE w.start END
+  FROM walk w JOIN g ON g.user_id = w.user_id AND g.n = w.n + 1)
+SELECT CAST(user_id AS VARCHAR) AS key, min(ts) AS chunk_start, max(ts) AS last_row, count(*) AS rows FROM walk GROUP BY user_id, start""")
 def _(spark, path):
+    """Chunks of the log, each user's rows followed by the mark that the user has stopped."""
     checkpoint, target = places(spark)
-    e = stream_of(spark, path, "events")
-    e = e.withColumn("ts", F.col("ts").cast("timestamp"))
-    chunks = J.bounded_chunks(e, "user_id", "ts", 6 * 3600.0, 12 * 3600.0, 48 * 3600.0)
+    log = X.table(spark, path, "events").select("user_id", F.col("ts").cast("timestamp").alias("ts"), F.lit(False).alias("ended"))
+    stops = log.groupBy("user_id").agg(F.max("ts").alias("ts"), F.lit(True).alias("ended"))
+    log.unionByName(stops).write.parquet(f"{target}-log")
+    arriving = spark.readStream.schema(log.schema).parquet(f"{target}-log")
+    chunks = J.bounded_chunks(arriving, "user_id", "ts", 6 * 3600.0, 12 * 3600.0, 48 * 3600.0, ended="ended")
     finish(J.start_chunks(chunks, checkpoint, target, once=True))
     return spark.read.parquet(target).select("key", "chunk_start", "last_row", "rows")
 

@@ -115,39 +115,66 @@ def pause_windows(stream: DataFrame, key: str, ts: str, gap: str, watermark: str
 
 
 CHUNK_SCHEMA = "key string, chunk_start timestamp, last_row timestamp, rows long"
+#: The open chunk, then the rows that the watermark has not passed.
+CHUNK_STATE = "start long, last long, rows long, waiting array<long>"
+
+
+def cut_chunks(times: list[int], opened: tuple[int | None, int | None, int], gap: int, least: int, most: int) -> tuple[list[tuple], tuple]:
+    """Finished chunks (start, last, rows) of ascending times that follow an open chunk, and the chunk then open."""
+    start, last, rows = opened
+    done = []
+    for t in times:
+        if rows and (t - start >= most or (t - last >= gap and t - start >= least)):
+            done.append((start, last, rows))
+            rows = 0
+        start, last, rows = (start if rows else t), t, rows + 1
+    return done, (start, last, rows)
 
 
 def bounded_chunks(stream: DataFrame, key: str, ts: str, gap_s: float = V.PAUSE_SECONDS, min_len_s: float = V.CHUNK_MIN_SECONDS,
-                   max_len_s: float = V.CHUNK_MAX_SECONDS, watermark: str = WATERMARK) -> DataFrame:
-    """Chunks with the batch rule (pause once long enough, or maximum length), flushed by an event-time timer."""
+                   max_len_s: float = V.CHUNK_MAX_SECONDS, watermark: str = WATERMARK, ended: str | None = None) -> DataFrame:
+    """Chunks with the batch rule: a pause once long enough, or the maximum length.
+
+    Rows wait in the state until the watermark has passed them and are then taken in order
+    of time, so rows out of order within the watermark's delay are cut as if they had come
+    in order, over batches too.  The state of a key is its open chunk and the rows of one delay.
+
+    ``ended`` names a boolean column that marks the row telling that a key has stopped; it
+    is no row of a chunk.  Everything waiting is then cut at once, the last chunk is written
+    and the state goes.  A key that never stops has its last chunk written when the
+    watermark is ``max_len_s`` past its last row, when no row could lengthen it any more.
+    """
+    gap, least, most = (int(s * 1e6) for s in (gap_s, min_len_s, max_len_s))
+
     def step(group: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        out = []
-        start, last, rows = state.get if state.exists else (None, None, 0)
-        if state.hasTimedOut:
-            if rows:
-                out.append((group[0], start, last, rows))
+        start, last, rows, waiting = state.get if state.exists else (None, None, 0, [])
+        waiting, stopped = list(waiting), False
+        for frame in frames:
+            times = frame["t"].to_numpy().astype("datetime64[us]").astype("int64")
+            marks = frame["ended"].to_numpy(dtype=bool)
+            waiting += times[~marks].tolist()
+            stopped = stopped or bool(marks.any())
+        passed = state.getCurrentWatermarkMs() * 1000
+        ready = sorted(t for t in waiting if stopped or t <= passed)
+        done, (start, last, rows) = cut_chunks(ready, (start, last, rows), gap, least, most)
+        waiting = [] if stopped else [t for t in waiting if t > passed]
+        if rows and not waiting and (stopped or passed >= last + most):
+            done.append((start, last, rows))
+            rows = 0
+        if rows or waiting:
+            state.update((start, last, rows, waiting))
+            due = min(waiting) if waiting else last + most
+            state.setTimeoutTimestamp(max(-(-due // 1000), state.getCurrentWatermarkMs() + 1))
+        elif state.exists:
             state.remove()
-        else:
-            times = sorted(t.value // 1000 for f in frames for t in f["t"])
-            for t in times:
-                long_enough = start is not None and (t - start) >= max_len_s * 1e6
-                paused = start is not None and (t - last) >= gap_s * 1e6 and (t - start) >= min_len_s * 1e6
-                if start is None or long_enough or paused:
-                    if start is not None:
-                        out.append((group[0], start, last, rows))
-                    start, rows = t, 0
-                last, rows = t, rows + 1
-            state.update((start, last, rows))
-            due = max(int(last // 1000 + max_len_s * 1000), state.getCurrentWatermarkMs() + 1)
-            state.setTimeoutTimestamp(due)
-        frame = pd.DataFrame(out, columns=["key", "chunk_start", "last_row", "rows"])
+        out = pd.DataFrame([(group[0], *c) for c in done], columns=["key", "chunk_start", "last_row", "rows"])
         for c in ("chunk_start", "last_row"):
-            frame[c] = pd.to_datetime(frame[c].astype("int64"), unit="us")
-        yield frame
+            out[c] = pd.to_datetime(out[c].astype("int64"), unit="us")
+        yield out
 
-    slim = stream.withWatermark(ts, watermark).select(F.col(key).cast("string").alias("key"), F.col(ts).alias("t"))
-    return slim.groupBy("key").applyInPandasWithState(
-        step, CHUNK_SCHEMA, "start long, last long, rows long", "append", GroupStateTimeout.EventTimeTimeout)
+    mark = F.coalesce(F.col(ended), F.lit(False)) if ended else F.lit(False)
+    slim = stream.withWatermark(ts, watermark).where(F.col(ts).isNotNull()).select(F.col(key).cast("string").alias("key"), F.col(ts).alias("t"), mark.alias("ended"))
+    return slim.groupBy("key").applyInPandasWithState(step, CHUNK_SCHEMA, CHUNK_STATE, "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def start_chunks(chunks: DataFrame, checkpoint: str, target: str, once: bool = False) -> StreamingQuery:

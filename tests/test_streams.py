@@ -36,15 +36,37 @@ def test_chunks_match_the_plain_loop(spark):
             assert abs(got[i] - start) < 1e-3
 
 
-def test_stream_chunks_agree_with_batch(spark, tmp_path):
-    df = _events(spark)
-    df.repartition(1).sortWithinPartitions("ts").write.parquet(str(tmp_path / "in"))
-    stream = spark.readStream.schema(df.schema).parquet(str(tmp_path / "in"))
-    q = J.start_chunks(J.bounded_chunks(stream, "k", "ts", 10, 20, 60, watermark="1 second"), str(tmp_path / "cp"), str(tmp_path / "out"), once=True)
-    q.awaitTermination()
-    batch = {(r.k, r.chunk_start // 1000000) for r in E.pause_chunks(df, "k", "ts", "i", 10, 20, 60).select("k", "chunk_start").distinct().collect()}
-    live = {(r.key, int(r.chunk_start.timestamp())) for r in spark.read.parquet(str(tmp_path / "out")).collect()}
-    assert live <= batch and len(batch) - len(live) <= 2
+def chunk_rows(df):
+    """Chunks of the batch operator as (key, first, last, rows), times in whole seconds."""
+    rows = E.pause_chunks(df, "k", "ts", "i", 10, 20, 60).groupBy("k", "chunk_start").agg(F.max("ts").alias("last"), F.count("*").alias("rows"))
+    return sorted((r.k, r.chunk_start // 1000000, int(r.last.timestamp()), r.rows) for r in rows.collect())
+
+
+def streamed(spark, schema, base):
+    stream = spark.readStream.schema(schema).parquet(f"{base}/in")
+    chunks = J.bounded_chunks(stream, "k", "ts", 10, 20, 60, watermark="90 seconds", ended="ended")
+    J.start_chunks(chunks, f"{base}/cp", f"{base}/out", once=True).awaitTermination()
+    return sorted((r.key, int(r.chunk_start.timestamp()), int(r.last_row.timestamp()), r.rows) for r in spark.read.parquet(f"{base}/out").collect())
+
+
+def test_streamed_chunks_equal_the_batch_over_batches_out_of_order(spark, tmp_path):
+    rows = sorted(_events(spark).collect(), key=lambda r: (r.ts + dt.timedelta(seconds=r.i * 37 % 60), r.i))  # up to a minute late
+    want, schema = chunk_rows(_events(spark)), "k string, i long, ts timestamp, ended boolean"
+    stops = [(k, None, max(r.ts for r in rows if r.k == k), True) for k in "ab"]
+    for part in ([(*r, False) for r in rows[:110]], [(*r, None) for r in rows[110:210]], [(*r, False) for r in rows[210:]] + stops):
+        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+        got = streamed(spark, schema, tmp_path)
+        assert set(got) <= set(want)
+    assert got == want
+
+
+def test_a_key_that_never_stops_waits_for_the_longest_chunk(spark, tmp_path):
+    schema, t = "k string, i long, ts timestamp, ended boolean", dt.datetime(2024, 1, 1)
+    at = lambda *s: [("a", i, t + dt.timedelta(seconds=x), False) for i, x in enumerate(s)]
+    spark.createDataFrame(at(0, 5, 9), schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+    assert streamed(spark, schema, tmp_path) == []
+    spark.createDataFrame([("b", 0, t + dt.timedelta(seconds=300), False)], schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+    assert [(k, rows) for k, _, _, rows in streamed(spark, schema, tmp_path)] == [("a", 3)]
 
 
 def test_relabel_uses_turns_of_all_batches(spark, tmp_path):
