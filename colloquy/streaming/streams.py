@@ -74,12 +74,68 @@ def latest_status(events: DataFrame) -> DataFrame:
                          F.col("status").isin("done", "error").alias("finished"))
 
 
-def start_status(stream: DataFrame, checkpoint: str, target: str, once: bool = False) -> StreamingQuery:
+FINISHED = ("done", "error")
+STATUS_SCHEMA = "meeting_id string, status string, event_time timestamp, progress double, finished boolean"
+#: For every stage, in the order of STAGES: the last event, and the last one that told a progress.
+STATUS_STATE = "seen_at array<long>, seen_id array<long>, told_at array<long>, told_id array<long>, told array<double>"
+#: Before every event.
+NEVER = (-(1 << 62), -1)
+
+
+def newest_of_stages(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Of each batch the rows that can matter to a status: the last of a meeting and stage, and the last with a progress."""
+    for frame in frames:
+        rows = frame.sort_values(["event_time", "event_id"], kind="stable")
+        last = rows.groupby(["meeting_id", "status"], dropna=False).tail(1)
+        told = rows[rows["progress"].notna()].groupby(["meeting_id", "status"], dropna=False).tail(1)
+        yield pd.concat([last, told.loc[told.index.difference(last.index)]]) if len(told) else last
+
+
+def open_status(stream: DataFrame, watermark: str = WATERMARK) -> DataFrame:
+    """The rows of :func:`latest_status` as they change, with state for meetings that can still change only.
+
+    Batches are reduced before the shuffle.  The state of a meeting is two events for each
+    stage; it goes once its stage is a final one and the watermark has passed its last event:
+    rows before the watermark are left out from then on, and what a later row begins depends
+    on nothing before a final stage.  Rows without a time or of an unknown status are left out.
+    """
+    def step(group: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        seen, told = dict.fromkeys(STAGES, NEVER), dict.fromkeys(STAGES, (*NEVER, None))
+        if state.exists:
+            seen_at, seen_id, told_at, told_id, values = state.get
+            seen = dict(zip(STAGES, zip(seen_at, seen_id)))
+            told = dict(zip(STAGES, zip(told_at, told_id, values)))
+        for frame in frames:
+            times = frame["event_time"].to_numpy().astype("datetime64[us]").astype("int64").tolist()
+            for at, number, status, progress in zip(times, frame["event_id"].tolist(), frame["status"], frame["progress"].tolist()):
+                seen[status] = max(seen[status], (at, number))
+                if progress == progress and progress is not None:
+                    told[status] = max(told[status], (at, number, progress))
+        status = max(STAGES, key=seen.get)
+        began = max(seen[s] for s in STAGES if s != status)
+        at, progress = seen[status][0], told[status][2] if told[status][:2] > began else None
+        state.update((*map(list, zip(*seen.values())), *map(list, zip(*told.values()))))
+        if status in FINISHED:
+            state.setTimeoutTimestamp(max(at // 1000 + 1, state.getCurrentWatermarkMs() + 1))
+        yield pd.DataFrame({"meeting_id": [group[0]], "status": [status], "event_time": pd.to_datetime([at], unit="us"),
+                            "progress": pd.Series([progress], dtype="float64"), "finished": [status in FINISHED]})
+
+    rows = stream.select(F.col("meeting_id").cast("string").alias("meeting_id"), F.col("event_id").cast("long").alias("event_id"),
+                         F.col("event_time").cast("timestamp").alias("event_time"), "status", F.col("progress").cast("double").alias("progress"))
+    rows = rows.where(F.col("event_time").isNotNull() & F.col("event_id").isNotNull() & F.col("status").isin(*STAGES))
+    reduced = rows.mapInPandas(newest_of_stages, rows.schema).withWatermark("event_time", watermark)
+    return reduced.groupBy("meeting_id").applyInPandasWithState(step, STATUS_SCHEMA, STATUS_STATE, "update", GroupStateTimeout.EventTimeTimeout)
+
+
+def start_status(stream: DataFrame, checkpoint: str, target: str, once: bool = False, watermark: str = WATERMARK) -> StreamingQuery:
     """Upsert log of changed statuses; ``version`` is the micro-batch that wrote the row."""
     def write(batch: DataFrame, version: int) -> None:
         batch.withColumn("version", F.lit(version)).write.mode("overwrite").parquet(f"{target}/version={version}")
 
-    writer = latest_status(stream).writeStream.outputMode("update").foreachBatch(
+    writer = open_status(stream, watermark).writeStream.outputMode("update").foreachBatch(
         lambda b, v: write(b, v)).option("checkpointLocation", checkpoint)
     return _start(writer, once)
 

@@ -100,3 +100,36 @@ def test_tail_shows_every_row_once_over_two_deliveries(spark, tmp_path):
         J.start_tail(stored, stream, str(tmp_path / "check"), str(tmp_path / "out"), once=True).awaitTermination()
     got = sorted((r.segment_id, r.live) for r in spark.read.parquet(str(tmp_path / "out")).collect())
     assert got == [("s0", False), ("s1", True), ("s2", True), ("s3", True)]
+
+
+def test_status_state_holds_open_meetings_only(spark, tmp_path):
+    schema, t = "meeting_id string, event_id long, event_time timestamp, status string, progress double", dt.datetime(2024, 1, 1)
+    batches = [
+        [("m", 1, 0, "queued", 0.1), ("n", 2, 1, "queued", None), ("o", 3, 2, "transcribing", 0.2), ("n", 4, 3, "done", 1.0)],
+        [("o", 5, 200, "transcribing", None), ("m", 6, 190, "structuring", 0.6), ("m", 7, 195, "structuring", None), ("x", 8, 201, "unheard", 0.5), ("p", 9, None, "queued", 0.5)],
+        [("o", 10, 400, "error", None), ("n", 11, 401, "queued", None)],  # n begins again after its state has gone
+        [("z", 12, 900, "queued", None), ("o", 13, 3, "queued", 0.9)],  # the second is too late
+    ]
+    open_after, kept = [], {}
+    for rows in batches:
+        told = [(m, i, None if s is None else t + dt.timedelta(seconds=s), st, p) for m, i, s, st, p in rows]
+        spark.createDataFrame(told, schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+        q = J.start_status(spark.readStream.schema(schema).parquet(f"{tmp_path}/in"), f"{tmp_path}/cp", f"{tmp_path}/out", once=True)
+        q.awaitTermination()
+        open_after.append(q.lastProgress["stateOperators"][0]["numRowsTotal"])
+    got = J.newest_versions(spark.read.parquet(f"{tmp_path}/out"))
+    kept = {r.meeting_id: (r.status, r.progress, r.finished) for r in got.collect()}
+    assert kept == {"m": ("structuring", 0.6, False), "n": ("queued", None, False), "o": ("error", None, True), "z": ("queued", None, False)}
+    assert open_after[-1] == 3  # m, n, z
+
+
+def test_status_over_batches_equals_the_batch_form(spark, tmp_path):
+    rng, t = random.Random(2), dt.datetime(2024, 1, 1)
+    schema = "meeting_id string, event_id long, event_time timestamp, status string, progress double"
+    rows = [(rng.choice("abcdef"), i, t + dt.timedelta(seconds=i // 3), rng.choice(J.STAGES), rng.choice([None, i / 100])) for i in range(120)]
+    for part in (rows[:50], rows[50:80], rows[80:]):
+        rng.shuffle(part)
+        spark.createDataFrame(part, schema).coalesce(2).write.mode("append").parquet(f"{tmp_path}/in")
+        J.start_status(spark.readStream.schema(schema).parquet(f"{tmp_path}/in"), f"{tmp_path}/cp", f"{tmp_path}/out", once=True).awaitTermination()
+    pick = lambda df: sorted((r.meeting_id, r.status, r.progress, r.finished) for r in df.collect())
+    assert pick(J.newest_versions(spark.read.parquet(f"{tmp_path}/out"))) == pick(J.latest_status(spark.createDataFrame(rows, schema)))
