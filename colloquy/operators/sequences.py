@@ -90,22 +90,67 @@ def pause_chunks(df: DataFrame, key: str, ts: str, tie: str, gap_s: float = V.PA
             .select(key, "n", F.least("full", "quiet").alias("next")))
     # A pause row may share its time with the start itself; the successor must lie ahead.
     step = cut(step.filter(F.col("next") > F.col("n")))
-    reached = cut(numbered.filter("n = 0").select(key, "n"))
+    starts = reachable(numbered.filter("n = 0").select(key, "n"), step, key).withColumn("__opens", F.lit(True))
+    tagged = numbered.join(starts, [key, "n"], "left")
+    filled = block_scan(tagged, [key], index_block("n"), ["n"],
+                        lasts={"chunk_start": F.when(F.col("__opens"), F.col("t"))})
+    return filled.select(key, ts, tie, "n", "chunk_start")
+
+
+def reachable(first: DataFrame, step: DataFrame, key: str) -> DataFrame:
+    """(key, n) of all rows that steps (key, n, next > n) lead to from ``first``, those included; step lengths double."""
+    reached = cut(first)
     size = reached.count()
     while True:
         hop = reached.join(step, [key, "n"]).select(key, F.col("next").alias("n"))
         grown = cut(reached.unionByName(hop).distinct())
         grown_size = grown.count()
         if grown_size == size:
-            break
+            return reached
         reached, size = grown, grown_size
         onward = step.select(key, F.col("n").alias("next"), F.col("next").alias("after"))
         step = cut(step.join(onward, [key, "next"]).select(key, "n", F.col("after").alias("next")))
-    starts = reached.withColumn("__opens", F.lit(True))
-    tagged = numbered.join(starts, [key, "n"], "left")
-    filled = block_scan(tagged, [key], index_block("n"), ["n"],
-                        lasts={"chunk_start": F.when(F.col("__opens"), F.col("t"))})
-    return filled.select(key, ts, tie, "n", "chunk_start")
+
+
+def quiet_chunks(df: DataFrame, key: str, ts: str, tie: str, value: str, quiet_below: float = V.PAUSE_RMS,
+                 window: int = 4, least: int = 6, most: int = 20) -> DataFrame:
+    """Chunks of a measured signal, cut in quiet places: key, first, rows, chunk_start, chunk_end, ended_by.
+
+    Lengths are in rows.  A window of ``window`` rows is quiet when the root mean square of
+    ``value`` in it is below ``quiet_below``.  A chunk ends in the middle of the latest quiet
+    window that begins ``least`` rows or more after the chunk's first row and lies within
+    ``most`` rows of it (``quiet``); without one it ends after ``most`` rows (``full``) or with
+    the signal (``end``: the flushed tail).  ``first`` is the chunk's first row, counted from 0.
+
+    Squares are rounded to millionths and summed as whole numbers, so running energies give
+    the exact energy of a window; a null value is silence.  Windows and the latest quiet one
+    are two ordered scans, chunks are followed by doubling steps (:func:`reachable`), and a
+    key is never in one task.  Rows are in order of ``ts`` and ``tie``, which together are unique.
+    """
+    if not 1 <= least or not 1 <= window <= most - least:
+        raise ValueError("a quiet window must fit between the least and the longest chunk")
+    energy = F.coalesce(F.round(F.col(value) * F.col(value) * 1e6).cast("long"), F.lit(0).cast("long"))
+    rows = df.select(key, ts, tie, energy.alias("energy"))
+    rows = cut(row_index(rows, [key], day_block(ts), [ts, tie], "n"))
+    summed = cut(block_scan(rows, [key], index_block("n"), ["n"], sums={"upto": F.col("energy")}))
+    closes = summed.select(key, (F.col("n") - (window - 1)).alias("n"), F.col("upto").alias("through"))
+    held = F.col("through") - F.col("upto") + F.col("energy")
+    quiet = F.when(held < F.lit(quiet_below * quiet_below * 1e6 * window), F.col("n"))
+    marked = summed.join(closes, [key, "n"], "left").select(key, "n", quiet.alias("quiet"))
+    latest = block_scan(marked, [key], index_block("n"), ["n"], lasts={"latest": F.col("quiet")}).select(key, "n", "latest")
+    sizes = rows.groupBy(key).agg(F.count("*").alias("size"))
+    reach = rows.select(key, "n").join(sizes, key).withColumn("at", F.least(F.col("n") + (most - window), F.col("size") - 1))
+    known = reach.join(latest.withColumnRenamed("n", "at"), [key, "at"])
+    in_quiet = F.col("latest") >= F.col("n") + least
+    ahead = F.when(in_quiet, F.col("latest") + window // 2).when(F.col("n") + most < F.col("size"), F.col("n") + most)
+    ends = cut(known.select(key, "n", F.coalesce(in_quiet, F.lit(False)).alias("in_quiet"), ahead.alias("next"), "size"))
+    starts = reachable(rows.filter("n = 0").select(key, "n"), ends.filter("next < size").select(key, "n", "next"), key)
+    chunks = starts.join(ends, [key, "n"]).withColumn("final", F.coalesce("next", "size") - 1)
+    times = rows.select(key, "n", ts)
+    chunks = chunks.join(times.withColumnRenamed(ts, "chunk_start"), [key, "n"]).join(
+        times.select(key, F.col("n").alias("final"), F.col(ts).alias("chunk_end")), [key, "final"])
+    return chunks.select(key, F.col("n").alias("first"), (F.col("final") - F.col("n") + 1).alias("rows"), "chunk_start", "chunk_end",
+                         F.when(F.col("in_quiet"), "quiet").when(F.col("next").isNotNull(), "full").otherwise("end").alias("ended_by"))
 
 
 def level_windows(df: DataFrame, keys: Sequence[str], ts: str, value: str, size: str, hop: str,

@@ -564,6 +564,18 @@ def _(spark, path):
         "event_id", "chunk_start")
 
 
+@query("quiet_chunks", """WITH RECURSIVE g AS (SELECT user_id, ts, coalesce(CAST(round(value * value * 1e6) AS BIGINT), 0) AS e, ROW_NUMBER() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS n, count(*) OVER (PARTITION BY user_id) AS size FROM events),
+q AS (SELECT *, CASE WHEN n + 4 <= size AND sum(e) OVER (PARTITION BY user_id ORDER BY n ROWS BETWEEN CURRENT ROW AND 3 FOLLOWING) < 40.0 * 40.0 * 1e6 * 4 THEN n END AS quiet FROM g),
+l AS (SELECT *, max(quiet) OVER (PARTITION BY user_id ORDER BY n ROWS BETWEEN 6 FOLLOWING AND 16 FOLLOWING) AS latest FROM q),
+s AS (SELECT *, CASE WHEN latest IS NOT NULL THEN latest + 2 WHEN n + 20 < size THEN n + 20 END AS next FROM l),
+walk AS (SELECT user_id, n, next FROM s WHERE n = 0 UNION ALL SELECT s.user_id, s.n, s.next FROM walk w JOIN s ON s.user_id = w.user_id AND s.n = w.next)
+SELECT user_id, s.n AS first, coalesce(s.next, s.size) - s.n AS rows, s.ts AS chunk_start, z.ts AS chunk_end, CASE WHEN s.latest IS NOT NULL THEN 'quiet' WHEN s.next IS NOT NULL THEN 'full' ELSE 'end' END AS ended_by
+FROM walk JOIN s USING (user_id, n) JOIN (SELECT user_id, n AS final, ts FROM g) z USING (user_id) WHERE z.final = coalesce(s.next, s.size) - 1""")
+def _(spark, path):
+    e = X.table(spark, path, "events").select("user_id", "event_id", "ts", "value")
+    return E.quiet_chunks(e, "user_id", "ts", "event_id", "value", 40.0, 4, 6, 20)
+
+
 @query("level_windows", """WITH w AS (SELECT event_type, value, unnest([time_bucket(INTERVAL 30 MINUTE, ts), time_bucket(INTERVAL 30 MINUTE, ts) - INTERVAL 30 MINUTE]) AS window_start FROM events)
 SELECT event_type, window_start, round(sqrt(avg(value * value)), 6) AS rms, count(*) AS samples, sqrt(avg(value * value)) < 5 AS quiet FROM w GROUP BY 1, 2""")
 def _(spark, path):

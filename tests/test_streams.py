@@ -133,3 +133,29 @@ def test_status_over_batches_equals_the_batch_form(spark, tmp_path):
         J.start_status(spark.readStream.schema(schema).parquet(f"{tmp_path}/in"), f"{tmp_path}/cp", f"{tmp_path}/out", once=True).awaitTermination()
     pick = lambda df: sorted((r.meeting_id, r.status, r.progress, r.finished) for r in df.collect())
     assert pick(J.newest_versions(spark.read.parquet(f"{tmp_path}/out"))) == pick(J.latest_status(spark.createDataFrame(rows, schema)))
+
+
+def plain_quiet_chunks(values, below, window, least, most):
+    out, s, n = [], 0, len(values)
+    while s < n:
+        fits = [w for w in range(s + least, min(s + most, n) - window + 1) if sum(v * v for v in values[w:w + window]) / window < below * below]
+        stop, why = (fits[-1] + window // 2, "quiet") if fits else (s + most, "full") if s + most < n else (n, "end")
+        out.append((s, stop - s, why))
+        s = stop
+    return out
+
+
+def test_quiet_chunks_match_the_plain_loop(spark):
+    rng, t, rows = random.Random(9), dt.datetime(2024, 1, 1), []
+    signals = {"a": [rng.choice([0.0, 0.1, 0.5]) for _ in range(400)], "b": [1.0] * 47, "c": [0.0] * 21, "d": [0.3], "e": [1.0] * 20}
+    for k, values in signals.items():
+        rows += [(k, i, t + dt.timedelta(hours=i // 2), v if v else None) for i, v in enumerate(values)]
+    rng.shuffle(rows)
+    df = spark.createDataFrame(rows, "k string, i long, ts timestamp, v double")
+    got = E.quiet_chunks(df, "k", "ts", "i", "v", 0.2, 4, 6, 20).collect()
+    for k, values in signals.items():
+        want = plain_quiet_chunks(values, 0.2, 4, 6, 20)
+        mine = sorted((r for r in got if r.k == k), key=lambda r: r["first"])
+        assert [(r["first"], r["rows"], r["ended_by"]) for r in mine] == want
+        assert [r.chunk_end for r in mine] == [t + dt.timedelta(hours=(a + n - 1) // 2) for a, n, _ in want]
+    assert E.quiet_chunks(df.limit(0), "k", "ts", "i", "v").count() == 0
