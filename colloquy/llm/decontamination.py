@@ -3,12 +3,12 @@
 1. Every text becomes the sequence of its benchmark words (other words as -1), once.
 2. Word frequencies are counted over all texts.
 3. Passages are overlapping windows of 24 words.  An item is found only where the text around
-   a passage holds a least part of the item's words; passages whose surroundings have fewer
-   benchmark words than any item asks for need no projection.
+   a passage holds a least part of the item's words, and so some of its rarer words; passages
+   whose surroundings have too few of those of every item need no projection.
 4. The others, with the items themselves, are the rows of a TF-IDF matrix whose leading
    right singular vectors come from one distributed pass of a randomised
    (Nystrom) decomposition; only fixed-size sums leave the tasks.
-5. Items whose latent cosine with a passage reaches the threshold are compared with the
+5. Items that share enough rarer words and whose latent cosine with a passage reaches the threshold are compared with the
    text around it: the longest common subsequence must hold most of the item, or a good
    part of it with most of the item's answer (its ``answer`` column, or its last quarter).
 
@@ -16,7 +16,8 @@ The items are the query set; they are taken in blocks of at most ``ITEMS``, and
 meet all blocks.
 
 Edge cases: null or empty texts and items match nothing; texts or items of a few words are
-one passage; repeated items are one; repeated rows get equal results; rows with a null
+one passage; repeated items are one; of items held alike the
+smaller item_id is given, at its first place; repeated rows get equal results; rows with a null
 doc_id take part; an empty table on either side gives no rows; other columns are ignored.
 """
 
@@ -40,6 +41,8 @@ ITEMS = 512
 COSINE = 0.4
 #: Parts of an item in its longest common subsequence with a text: enough alone, or with the answer.
 SURE, LIKELY, ANSWER = 0.75, 0.5, 0.6
+#: Part of the words of a match that must be among the rarer words of the item, and passages taken at a time.
+SHARED, MANY = 0.35, 8192
 _GROUPS = 8
 FOUND = "doc_id long, text_key long, item_id long, cosine double, lcs double, place long"
 
@@ -98,31 +101,81 @@ def weights(codes: DataFrame, size: int) -> tuple[np.ndarray, float]:
     return np.append(idf, 0.0), float(idf.max(initial=1.0))
 
 
-def asked(items: Items) -> list[tuple[int, int]]:
-    """Words on either side of a passage, and the benchmark words that an item found there needs at least, for each length of item."""
-    need: dict[int, int] = {}
-    for size in {len(w) for w in items.words}:
-        about, least = size // 2, math.ceil(LIKELY * size)
-        need[about] = min(least, need.get(about, least))
-    return sorted(need.items())
+@dataclass
+class Bound:
+    """What the text around a passage must share with an item before the two are compared; no match is lost by it.
+
+    A match of ``least`` words holds that many of the item's words, repeats counted.  With the
+    item's words in order of rarity, all but the last ``least - shared`` of them hold at least
+    ``shared`` of these, so only occurrences of those rarer words are looked at.
+    """
 
+    first: np.ndarray   # for each word, where its items begin in ``item``; one more for words of no item
+    item: np.ndarray
+    about: np.ndarray   # for each item, the words on either side of a passage that it is compared with
+    shared: np.ndarray
 
-def passages(words: np.ndarray, bounds: np.ndarray, idf: np.ndarray, other: float, need: list[tuple[int, int]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Rows, starts and full TF-IDF lengths of the passages around which an item may be found."""
+    @staticmethod
+    def of(items: Items, idf: np.ndarray) -> Bound:
+        terms, about, shared = [], [], []
+        for words in items.words:
+            least = math.ceil(LIKELY * len(words))
+            about.append(len(words) // 2)
+            shared.append(max(1, round(SHARED * least)))
+            rarest = words[np.argsort(-idf[words], kind="stable")]
+            terms.append(np.unique(rarest[:len(words) - least + shared[-1]]))
+        term, item = np.concatenate(terms), np.repeat(np.arange(len(terms)), [len(t) for t in terms])
+        order = np.argsort(term, kind="stable")
+        first = np.concatenate([[0], np.cumsum(np.bincount(term, minlength=len(items.terms) + 1))])
+        return Bound(first, item[order], np.array(about), np.array(shared))
+
+    def near(self, words: np.ndarray, bounds: np.ndarray) -> Iterator[tuple[np.ndarray, ...]]:
+        """Rows and starts of passages, and the (passage, item) pairs that may match, for some thousand passages at a time."""
+        made = _made(bounds)
+        windows = np.concatenate([[0], np.cumsum(made)])
+        start_of = lambda g, row: bounds[row] + STRIDE * (g - windows[row])
+        reach, kinds = int(self.about.max()) + PASSAGE, len(self.about)
+        for a in range(0, int(windows[-1]), MANY):
+            b = min(a + MANY, int(windows[-1]))
+            ends = np.searchsorted(windows, [a, b - 1], side="right") - 1
+            low, high = start_of(np.array([a, b - 1]), ends) + np.array([-reach, reach])
+            low, high = max(int(low), 0), min(int(high), len(words))
+            at = low + np.flatnonzero(self.first[words[low:high] + 1] > self.first[words[low:high]]) if high > low else np.zeros(0, np.int64)
+            term = words[at]
+            at, item = _spread(self.first[term], self.first[term + 1] - self.first[term], at)
+            item, row = self.item[item], np.searchsorted(bounds, at, side="right") - 1
+            place, about = at - bounds[row], self.about[item]
+            least = windows[row] + np.maximum(-(-(place - PASSAGE - about + 1) // STRIDE), 0)
+            most = windows[row] + np.minimum((place + about) // STRIDE, made[row] - 1)
+            least, most = np.maximum(least, a), np.minimum(most, b - 1)
+            item, passage = _spread(least, np.maximum(most - least + 1, 0), item)
+            key, count = np.unique(passage * kinds + item, return_counts=True)
+            key = key[count >= self.shared[key % kinds]]
+            passage, pair = np.unique(key // kinds, return_inverse=True)
+            row = np.searchsorted(windows, passage, side="right") - 1
+            yield row, start_of(passage, row), pair, key % kinds
+
+
+def _spread(first: np.ndarray, n: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """``values`` repeated n times each, and the numbers first, first + 1, ... beside them."""
+    return np.repeat(values, n), np.repeat(first - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+
+
+def _made(bounds: np.ndarray) -> np.ndarray:
+    """The number of passages of each text."""
     counts = np.diff(bounds)
-    made = np.where(counts > 0, 1 + np.maximum(-(-(counts - PASSAGE) // STRIDE), 0), 0)
-    rows = np.repeat(np.arange(len(counts)), made)
-    starts = bounds[rows] + STRIDE * (np.arange(len(rows)) - np.repeat(np.cumsum(made) - made, made))
-    ends = np.minimum(starts + PASSAGE, bounds[rows + 1])
-    known = np.concatenate([[0], np.cumsum(words >= 0)])
-    keep = np.zeros(len(rows), bool)
-    for about, least in need:
-        keep |= known[np.minimum(starts + PASSAGE + about, bounds[rows + 1])] - known[np.maximum(starts - about, bounds[rows])] >= least
-    keep &= known[ends] > known[starts]  # a passage without benchmark words has no direction
-    own = np.concatenate([[0], np.cumsum(np.where(words >= 0, idf[words] ** 2, 0))])
-    rest = np.concatenate([[0], np.cumsum(words < 0)]) * other ** 2
-    on, off = own[ends] - own[starts], rest[ends] - rest[starts]
-    return rows[keep], starts[keep], np.sqrt(on + off)[keep]
+    return np.where(counts > 0, 1 + np.maximum(-(-(counts - PASSAGE) // STRIDE), 0), 0)
+
+
+class Lengths:
+    """Full TF-IDF lengths of passages, from running sums over a batch."""
+
+    def __init__(self, words: np.ndarray, bounds: np.ndarray, idf: np.ndarray, other: float):
+        self.bounds = bounds
+        self.squares = np.concatenate([[0], np.cumsum(np.where(words >= 0, idf[words] ** 2, other ** 2))])
+
+    def of(self, rows: np.ndarray, starts: np.ndarray) -> np.ndarray:
+        return np.sqrt(self.squares[np.minimum(starts + PASSAGE, self.bounds[rows + 1])] - self.squares[starts])
 
 
 def _window(words: np.ndarray, bounds: np.ndarray, rows: np.ndarray, starts: np.ndarray) -> np.ndarray:
@@ -133,7 +186,7 @@ def _window(words: np.ndarray, bounds: np.ndarray, rows: np.ndarray, starts: np.
 
 def _sketch(codes: DataFrame, items: Items, idf: np.ndarray, other: float) -> np.ndarray:
     """The leading right singular vectors (word, RANK) of the passages and items."""
-    size, need = len(items.terms), asked(items)
+    size, bound = len(items.terms), Bound.of(items, idf)
     omega = np.vstack([np.random.default_rng(9).standard_normal((size, RANK)), np.zeros(RANK)]).astype(np.float32)
 
     def product(terms: np.ndarray, norms: np.ndarray, total: np.ndarray) -> None:
@@ -147,10 +200,12 @@ def _sketch(codes: DataFrame, items: Items, idf: np.ndarray, other: float) -> np
         total, seen = np.zeros((size + 1, RANK)), 0
         for batch in batches:
             words, bounds = _flat(batch.column("words"))
-            rows, starts, norms = passages(words, bounds, idf, other, need)
-            for a in range(0, len(rows), 512):
-                product(_window(words, bounds, rows[a:a + 512], starts[a:a + 512]), norms[a:a + 512], total)
-            seen += len(rows)
+            lengths = Lengths(words, bounds, idf, other)
+            for rows, starts, _, _ in bound.near(words, bounds):
+                norms = lengths.of(rows, starts)
+                for a in range(0, len(rows), 512):
+                    product(_window(words, bounds, rows[a:a + 512], starts[a:a + 512]), norms[a:a + 512], total)
+                seen += len(rows)
         if seen:
             yield pa.RecordBatch.from_pydict({"part": pa.array([TaskContext.get().partitionId() % _GROUPS], pa.int64()), "n": pa.array([seen], pa.int64()),
                                               "sums": [total[:-1].astype(np.float32).tobytes()]})
@@ -195,10 +250,10 @@ def found_in(docs: DataFrame, items: Items) -> DataFrame:
     """The best item found in each text (doc_id, text_key, text) that holds one: FOUND."""
     codes = store(coded(docs, items), "codes")
     idf, other = weights(codes, len(items.terms))
-    basis, need = _sketch(codes, items, idf, other), asked(items)
+    basis, bound = _sketch(codes, items, idf, other), Bound.of(items, idf)
     basis = np.vstack([basis, np.zeros((1, basis.shape[1]), np.float32)])
     latent = np.stack([(idf[w][:, None] * basis[w]).sum(0) for w in items.words])
-    latent /= np.linalg.norm(latent, axis=1, keepdims=True) + 1e-12
+    latent = (latent / (np.linalg.norm(latent, axis=1, keepdims=True) + 1e-12)).astype(np.float32)
     masks = []
     for w in items.words:
         mask: dict[int, int] = {}
@@ -222,25 +277,27 @@ def found_in(docs: DataFrame, items: Items) -> DataFrame:
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             words, bounds = _flat(batch.column("words"))
-            rows, starts, _ = passages(words, bounds, idf, other, need)
             best: dict[int, tuple] = {}
-            for a in range(0, len(rows), 2048):
-                terms = _window(words, bounds, rows[a:a + 2048], starts[a:a + 2048])
-                y = np.zeros((len(terms), basis.shape[1]), np.float32)
+            for rows, starts, passage, item in bound.near(words, bounds):
+                y = np.zeros((len(rows), basis.shape[1]), np.float32)
+                terms = _window(words, bounds, rows, starts)
                 for j in range(PASSAGE):
                     y += idf[terms[:, j]].astype(np.float32)[:, None] * basis[terms[:, j]]
                 y /= np.linalg.norm(y, axis=1, keepdims=True) + 1e-12
-                cosine = y @ latent.T.astype(np.float32)
-                for p, k in zip(*np.nonzero(cosine >= COSINE)):
-                    row, start = int(rows[a + p]), int(starts[a + p])
-                    if row in best and best[row][2] >= 1:
-                        continue
-                    share = check(words, bounds, row, start, int(k))
-                    if share and share > best.get(row, (0, 0, 0))[2]:
-                        best[row] = (items.ids[k], float(cosine[p, k]), share, start - int(bounds[row]))
+                for a in range(0, len(passage), MANY):
+                    p, k = passage[a:a + MANY], item[a:a + MANY]
+                    cosine = np.einsum("nr,nr->n", y[p], latent[k])
+                    for i in np.flatnonzero(cosine >= COSINE).tolist():
+                        row, start, one = int(rows[p[i]]), int(starts[p[i]]), items.ids[k[i]]
+                        if row in best and best[row][:2] >= (1.0, -one):
+                            continue
+                        share = check(words, bounds, row, start, int(k[i]))
+                        place = start - int(bounds[row])
+                        if share and (share, -one, -place) > best.get(row, (0.0, 0, 0))[:3]:
+                            best[row] = (share, -one, -place, float(cosine[i]))
             if best:
                 at = sorted(best)
-                columns = zip(*(best[i] for i in at))
+                columns = zip(*((-one, cosine, share, -place) for share, one, place, cosine in (best[i] for i in at)))
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(at)), batch.column("text_key").take(pa.array(at)),
                                                   *(pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.float64(), pa.float64(), pa.int64())))],
                                                  ["doc_id", "text_key", "item_id", "cosine", "lcs", "place"])

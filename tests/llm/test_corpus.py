@@ -90,6 +90,59 @@ def test_lcs_against_plain_recursion():
         assert decontamination.lcs(a, masks, b).bit_count() == table[-1, -1]
 
 
+def plain_matches(items, idf, words, start, known):
+    """Items that the text around the passage at ``start`` of one text holds: all of them compared."""
+    import numpy as np
+    for k, (item, answer) in enumerate(zip(items.words, items.answers)):
+        about = len(item) // 2
+        text = words[max(0, start - about):start + decontamination.PASSAGE + about]
+        masks = {word: sum(1 << i for i in np.flatnonzero(item == word).tolist()) for word in item.tolist()} if k not in known else known[k]
+        known[k] = masks
+        share = decontamination.lcs(item, masks, text).bit_count() / len(item)
+        there = np.isin(answer, text)
+        if share >= decontamination.LIKELY:
+            sure = share >= decontamination.SURE or (there.mean() >= decontamination.ANSWER and idf[answer[there]].max(initial=0) > np.median(idf[item]))
+            yield k, bool(sure)
+
+
+def test_bound_loses_no_match_and_op9_finds_what_all_comparisons_find(spark):
+    import numpy as np
+    import pyarrow as pa
+    docs = spark.read.parquet(f"{PATH}/documents.parquet").orderBy("doc_id").collect()
+    bench = [r for r in spark.read.parquet(f"{PATH}/benchmark.parquet").orderBy("item_id").collect() if r["text"]]
+    items = decontamination.Items.of([(r["item_id"], r["text"], None) for r in bench])
+    own = decontamination.Words(pa.array([r["text"] for r in docs], pa.string()), plain=True)
+    at = np.minimum(np.searchsorted(items.terms, own.hashes), len(items.terms) - 1)
+    words, bounds = np.where(items.terms[at] == own.hashes, at, -1), own.first.astype(np.int64)
+    idf = np.append(np.log1p(len(words) / (np.bincount(words + 1, minlength=len(items.terms) + 1)[1:] + 1)), 0.0)
+    near, known = set(), {}
+    for rows, starts, passage, item in decontamination.Bound.of(items, idf).near(words, bounds):
+        near |= {(int(rows[p]), int(starts[p]), int(k)) for p, k in zip(passage, item)}
+    sure = set()
+    for i, row in enumerate(docs):
+        for start in range(bounds[i], max(bounds[i] + 1, bounds[i + 1] - decontamination.PASSAGE + decontamination.STRIDE) if bounds[i + 1] > bounds[i] else bounds[i], decontamination.STRIDE):
+            for k, certain in plain_matches(items, idf, words[bounds[i]:bounds[i + 1]], start - bounds[i], known):
+                assert (i, start, k) in near
+                if certain:
+                    sure.add(row["doc_id"])
+    got = {r["doc_id"] for r in QUERIES["op9_decontamination"](spark, PATH).collect()}
+    assert sure and got <= sure and len(got) >= 0.9 * len(sure)
+
+
+def test_passages_in_pieces_agree(monkeypatch):
+    import numpy as np
+    monkeypatch.setattr(decontamination, "MANY", 3)
+    rng = np.random.default_rng(2)
+    words = np.concatenate([rng.integers(-1, 12, n) for n in (0, 100, 1, 0, 37, 24, 25, 0)])
+    bounds = np.cumsum([0, 0, 100, 1, 0, 37, 24, 25, 0])
+    items = decontamination.Items([5, 6], [np.array([1, 2, 3, 4, 5, 6]), np.array([7, 8, 9, 10])], [np.array([1]), np.array([7])], np.arange(12))
+    bound = decontamination.Bound.of(items, np.append(np.ones(12), 0.0))
+    pairs = lambda: [(int(r[p]), int(s[p]), int(k)) for r, s, pp, kk in bound.near(words, bounds) for p, k in zip(pp, kk)]
+    small = pairs()
+    monkeypatch.setattr(decontamination, "MANY", 10_000)
+    assert small == pairs() and len(small) == len(set(small)) > 0
+
+
 def test_op9_finds_every_exact_holder(spark):
     bench = [" ".join(r["text"].split()) for r in spark.read.parquet(f"{PATH}/benchmark.parquet").collect()]
     docs = {r["doc_id"]: " ".join(r["text"].split()) for r in spark.read.parquet(f"{PATH}/documents.parquet").collect()}
