@@ -72,7 +72,7 @@ def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op6_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return preference.preference_rows(preference.consecutive_pairs(table(spark, sf_dir, "conversations")))
+    return preference.preference_rows(preference.stale_pairs(table(spark, sf_dir, "conversations")))
 
 
 @query

@@ -22,15 +22,32 @@ def test_preference_edge_cases(spark):
     turns = [(0, 0, "user", "hi"), (0, 1, "assistant", "a"), (1, 0, "user", "hi"), (1, 1, "assistant", "b"), (1, 2, None, None),
              (2, 0, "user", "same"), (3, 0, "user", "same"), (3, 0, "user", "same"), (4, 0, "user", "alone"), (6, 0, "user", "x"), (6, 0, "user", "y"), (7, 0, "user", "x"),
              (8, 0, "user", "q"), (8, 2, "assistant", "r"), (9, 0, "user", "q"), (9, 1, "assistant", "r"), (None, 0, "user", "z"), (10, None, "user", "z")]
-    table = spark.createDataFrame([(*t, "x") for t in turns], "conv_id long, turn long, role string, text string, part string")
-    got = preference.preference_rows(preference.consecutive_pairs(table))
+    turns += [(20, 0, "user", "q"), (20, 1, "assistant", "old"), (20, 2, "user", "q2"), (20, 3, "assistant", "new"), (20, 3, "assistant", "another"), (20, 3, "user", "too"),
+              (20, 4, "user", "bye"), (22, 0, "assistant", "a" * 200_000), (22, 1, "assistant", "a" * 200_000), (24, 0, "assistant", None), (26, 0, "assistant", "only"), (28, 0, "user", "")]
+    table = spark.createDataFrame([(*t, "x", 1, "y") for t in turns], "conv_id long, turn long, role string, text string, part string, salt int, last string")
     con = duckdb.connect()
     con.register("conversations", table.toPandas().astype({"conv_id": "Int64", "turn": "Int64"}))
-    want = con.execute(preference.ORACLE)
-    assert rows_of(got.columns, [tuple(r) for r in got.collect()]) == rows_of([d[0] for d in want.description], want.fetchall())
+    for pairs, sql in ((preference.stale_pairs, preference.ORACLE), (preference.consecutive_pairs, preference.CONSECUTIVE_SQL)):
+        got = preference.preference_rows(pairs(table))
+        want = con.execute(sql)
+        assert rows_of(got.columns, [tuple(r) for r in got.collect()]) == rows_of([d[0] for d in want.description], want.fetchall())
+        assert preference.preference_rows(pairs(table.limit(0))).count() == 0
     first = [r for r in got.collect() if r["pair_id"] == 0]
     assert sorted((r["part"], r["turn"], r["train"]) for r in first) == [("chosen", 1, True), ("prompt", 0, False), ("rejected", 1, True), ("rejected", 2, False)]
-    assert preference.preference_rows(preference.consecutive_pairs(table.limit(0))).count() == 0
+
+
+def test_stale_answers(spark):
+    turns = [(0, "user", "q"), (1, "assistant", "old"), (2, "user", "q2"), (3, "assistant", "new"), (4, "user", "bye")]
+    table = spark.createDataFrame([(5, *t) for t in turns], "conv_id long, turn long, role string, text string")
+    got = preference.preference_rows(preference.stale_pairs(table)).orderBy("part", "turn").collect()
+    assert [(r["part"], r["turn"], r["rendered"][r["train_from"]:]) for r in got] == [
+        ("chosen", 3, "new\n"), ("chosen", 4, ""), ("prompt", 0, ""), ("prompt", 1, ""), ("prompt", 2, ""), ("rejected", 3, "old\n")]
+
+
+def test_prompts_on_the_given_table(spark):
+    rows = QUERIES["op6_chat_format"](spark, PATH)
+    parts = {r["part"]: r["count"] for r in rows.groupBy("part").count().collect()}
+    assert set(parts) == {"prompt", "chosen", "rejected"} and parts["prompt"] > parts["rejected"] > 0
 
 
 def sentences(rng, n):
