@@ -43,6 +43,8 @@ COSINE = 0.4
 SURE, LIKELY, ANSWER = 0.75, 0.5, 0.6
 #: Part of the words of a match that must be among the rarer words of the item, and passages taken at a time.
 SHARED, MANY = 0.35, 8192
+#: Passages that are multiplied as one dense matrix over the words they hold.
+DENSE = 128
 _GROUPS = 8
 FOUND = "doc_id long, text_key long, item_id long, cosine double, lcs double, place long"
 
@@ -184,6 +186,14 @@ def _window(words: np.ndarray, bounds: np.ndarray, rows: np.ndarray, starts: np.
     return np.where(at < bounds[rows + 1][:, None], np.append(words, -1)[np.minimum(at, len(words))], -1)
 
 
+def _project(terms: np.ndarray, scale: np.ndarray, basis: np.ndarray) -> np.ndarray:
+    """The weighted sums of the words' rows of ``basis``, one a passage."""
+    y = np.zeros((len(terms), basis.shape[1]), np.float32)
+    for j in range(terms.shape[1]):
+        y += scale[:, j, None] * basis[terms[:, j]]
+    return y
+
+
 def _sketch(codes: DataFrame, items: Items, idf: np.ndarray, other: float) -> np.ndarray:
     """The leading right singular vectors (word, RANK) of the passages and items."""
     size, bound = len(items.terms), Bound.of(items, idf)
@@ -191,10 +201,13 @@ def _sketch(codes: DataFrame, items: Items, idf: np.ndarray, other: float) -> np
 
     def product(terms: np.ndarray, norms: np.ndarray, total: np.ndarray) -> None:
         scale = (idf[terms] / norms[:, None]).astype(np.float32)
-        y = np.einsum("nw,nwr->nr", scale, omega[terms])
-        order = np.argsort(terms.ravel(), kind="stable")
-        first = np.flatnonzero(np.diff(terms.ravel()[order], prepend=-2))
-        total[terms.ravel()[order][first]] += np.add.reduceat((scale[:, :, None] * y[:, None, :]).reshape(-1, RANK)[order], first)
+        y = _project(terms, scale, omega)
+        for a in range(0, len(terms), DENSE):
+            part, own = terms[a:a + DENSE], scale[a:a + DENSE]
+            kinds, column = np.unique(part, return_inverse=True)
+            cell = np.arange(len(part))[:, None] * len(kinds) + column.reshape(part.shape)
+            matrix = np.bincount(cell.ravel(), weights=own.ravel(), minlength=len(part) * len(kinds)).astype(np.float32)
+            total[kinds] += matrix.reshape(len(part), len(kinds)).T @ y[a:a + DENSE]
 
     def accumulate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total, seen = np.zeros((size + 1, RANK)), 0
@@ -202,9 +215,7 @@ def _sketch(codes: DataFrame, items: Items, idf: np.ndarray, other: float) -> np
             words, bounds = _flat(batch.column("words"))
             lengths = Lengths(words, bounds, idf, other)
             for rows, starts, _, _ in bound.near(words, bounds):
-                norms = lengths.of(rows, starts)
-                for a in range(0, len(rows), 512):
-                    product(_window(words, bounds, rows[a:a + 512], starts[a:a + 512]), norms[a:a + 512], total)
+                product(_window(words, bounds, rows, starts), lengths.of(rows, starts), total)
                 seen += len(rows)
         if seen:
             yield pa.RecordBatch.from_pydict({"part": pa.array([TaskContext.get().partitionId() % _GROUPS], pa.int64()), "n": pa.array([seen], pa.int64()),
@@ -279,10 +290,8 @@ def found_in(docs: DataFrame, items: Items) -> DataFrame:
             words, bounds = _flat(batch.column("words"))
             best: dict[int, tuple] = {}
             for rows, starts, passage, item in bound.near(words, bounds):
-                y = np.zeros((len(rows), basis.shape[1]), np.float32)
                 terms = _window(words, bounds, rows, starts)
-                for j in range(PASSAGE):
-                    y += idf[terms[:, j]].astype(np.float32)[:, None] * basis[terms[:, j]]
+                y = _project(terms, idf[terms].astype(np.float32), basis)
                 y /= np.linalg.norm(y, axis=1, keepdims=True) + 1e-12
                 for a in range(0, len(passage), MANY):
                     p, k = passage[a:a + MANY], item[a:a + MANY]
