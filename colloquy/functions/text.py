@@ -134,9 +134,10 @@ def fold_accents(col: Column) -> Column:
     """Text in compatibility decomposition without combining marks."""
     source, target, many = _decompositions()
     table = F.create_map(*[F.lit(x) for pair in many.items() for x in pair])
-    letters = F.transform(F.split(col, "(?!^)"), lambda c: F.coalesce(F.element_at(table, c), c))
-    wide = F.when(col.rlike("[" + "".join(f"\\x{{{ord(c):x}}}" for c in many) + "]"), F.array_join(letters, "")).otherwise(col)
-    return F.when(col.rlike("[^\\x00-\\x7f]"), F.translate(wide, source, target)).otherwise(col)
+    # Each different letter is looked up once a text; what replaces it is itself no letter of the table.
+    letters = F.array_distinct(F.regexp_extract_all(col, F.lit(r"[^\x00-\x7f]"), F.lit(0)))
+    wide = F.aggregate(F.filter(letters, lambda c: in_words(c, list(many))), col, lambda t, c: F.replace(t, c, F.element_at(table, c)))
+    return F.when(col.rlike(r"[^\x00-\x7f]"), F.translate(wide, source, target)).otherwise(col)
 
 
 def normalize_text(col: Column) -> Column:

@@ -79,3 +79,11 @@ def test_summary_blocks_and_points(spark):
     assert [tuple(r)[2:] for r in T.summary_blocks(lines).where("meeting_id = 'm'").orderBy("n").collect()] == [
         ("bullet", long), ("para", "short"), ("quote", "quoted words, not a point at all"), ("heading", "Part"), ("bullet", f"{long} too")]
     assert sorted(map(tuple, T.summary_points(lines, more).collect())) == [("m", 1, long), ("m", 2, f"{long} too"), ("x", 1, "decided"), ("x", 2, "to do")]
+
+
+def test_rare_letters_in_a_long_text_are_folded_in_seconds(spark):
+    import time
+    df = spark.createDataFrame([("plain words of some length " * 40_000 + "½ ﬁn… é́\U0001d400",)], "t string")
+    begun = time.time()
+    got = df.select(T.fold_accents(F.col("t")).alias("x")).first().x
+    assert got == "plain words of some length " * 40_000 + "1⁄2 fin... eA" and time.time() - begun < 12
