@@ -2,8 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
 
 from ..functions import text as T
 from ..session import cut
@@ -65,22 +71,79 @@ def _scored(sentences: DataFrame, keys: list[str], term_weight: DataFrame, weigh
     return sentences.join(score, own, "left").withColumn("score", F.coalesce("score", F.lit(0.0)))
 
 
-def tfidf_scores(sentences: DataFrame, keys: tuple[str, ...] = ("meeting_id",)) -> DataFrame:
-    """Score of a sentence: sum over token occurrences of tf/max_tf * idf, divided by its length."""
+#: Segments whose sentences are scored in one row.
+SCORE_BLOCK = 256
+
+
+def _block_scores(blocks: DataFrame) -> DataFrame:
+    """``blocks`` (rows, each with its words, and dfs) with ``scores``, one for each of the rows."""
+    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = []
+            for held, known in zip(batch.column("rows"), batch.column("dfs")):
+                held, known = held.values, known.values
+                n = len(held)
+                lists = pc.split_pattern(held.field("words"), " ")
+                words = lists.flatten()
+                some = pc.not_equal(words, "")  # what a sentence without words is split into
+                row = np.repeat(np.arange(n), pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False))[some.to_numpy(zero_copy_only=False)]
+                coded = words.filter(some).dictionary_encode()
+                many = max(len(coded.dictionary), 1)
+                pairs, tf = np.unique(row * many + coded.indices.to_numpy(zero_copy_only=False), return_counts=True)
+                row, term = pairs // many, pairs % many
+                if len(known):
+                    at = pc.index_in(coded.dictionary, known.field("term"))
+                    df, n_all = (known.field(c).take(at).to_numpy(zero_copy_only=False) for c in ("df", "n"))
+                else:
+                    df, n_all = np.bincount(term, minlength=many), n
+                idf = np.log((1 + n_all) / (1 + df))
+                most, length = np.ones(n), np.bincount(row, tf, n)
+                np.maximum.at(most, row, tf)
+                sums = np.bincount(row, tf * (tf / most[row] * idf[term]), n)
+                found.append(np.where(length > 0, sums / np.maximum(length, 1), 0.0))
+            scores = pa.ListArray.from_arrays(np.cumsum([0, *map(len, found)]).astype(np.int32), pa.array(np.concatenate([np.zeros(0), *found])))
+            yield pa.RecordBatch.from_arrays([*batch.columns, scores], [*batch.schema.names, "scores"])
+
+    return blocks.mapInArrow(make, StructType([*blocks.schema.fields, StructField("scores", ArrayType(DoubleType()))]))
+
+
+def tfidf_scores(sentences: DataFrame, keys: tuple[str, ...] = ("meeting_id",), size: int = SCORE_BLOCK) -> DataFrame:
+    """Score of a sentence: sum over token occurrences of tf/max_tf * idf, divided by its length.
+
+    Sentences are grouped by key and block of ``size`` segments and shuffled once.  The
+    sentences that hold a term are counted inside the block where that is the whole key;
+    terms of longer keys are counted over their blocks and sent to each block that holds them.
+    """
     keys = list(keys)
-    own = [*keys, "segment_index", "piece_no"]
-    n = sentences.groupBy(*keys).agg(F.count("*").alias("n"))
-    df = (sentences.select(*own, F.explode(F.array_distinct(T.tokens_summary(F.col("sentence")))).alias("term"))
-          .groupBy(*keys, "term").agg(F.count("*").alias("df")))
-    idf = df.join(n, keys).select(*keys, "term", F.log((1 + F.col("n")) / (1 + F.col("df"))).alias("idf"))
-    return _scored(sentences, keys, idf, F.col("tf") / F.col("max_tf") * F.col("idf"))
+    own = [c for c in sentences.columns if c not in keys]
+    at = index_block("segment_index", size)
+    words = T.tokens_summary(F.col("sentence"))
+    spans = cut(sentences.groupBy(*keys).agg(F.min(at).alias("__low"), F.max(at).alias("__high"), F.count("*").alias("__n")).filter("__low < __high").drop("__low", "__high"))
+    held = (sentences.join(spans, keys).select(*keys, "__n", at.alias("__block"), F.explode(F.array_distinct(words)).alias("term"))
+            .groupBy(*keys, "__n", "term", "__block").agg(F.count("*").alias("own")))
+    df = held.groupBy(*keys, "term").agg(F.sum("own").alias("df"))
+    row = F.struct(*own, F.array_join(words, " ").alias("words"))
+    placed = sentences.select(*keys, at.alias("__block"), row.alias("row"))
+    no_row = F.lit(None).cast(placed.schema["row"].dataType)
+    parts = placed.withColumn("df", F.lit(None).cast("struct<term:string,df:bigint,n:bigint>")).unionByName(
+        held.join(df, [*keys, "term"]).select(*keys, "__block", no_row.alias("row"), F.struct("term", "df", F.col("__n").alias("n")).alias("df")))
+    blocks = parts.groupBy(*keys, "__block").agg(F.collect_list("row").alias("rows"), F.collect_list("df").alias("dfs"))
+    scored = _block_scores(blocks.select(*keys, "rows", "dfs")).select(*keys, F.explode(F.arrays_zip("rows", "scores")).alias("x"))
+    columns = {c: F.col(f"x.rows.{c}") for c in own}
+    return scored.select(*[(columns[c] if c in columns else F.col(c)).alias(c) for c in sentences.columns], F.round("x.scores", 9).alias("score"))
 
 
 def best_texts(scored: DataFrame, k: int, keys: tuple[str, ...] = ("meeting_id",)) -> DataFrame:
-    """Top ``k`` sentences, earlier ones first on ties; repeats of a winner's text come along."""
+    """Top ``k`` sentences, earlier ones first on ties; repeats of a winner's text come along.
+
+    Equal texts of a key have equal scores, so repeats lie among the rows whose score is one
+    of the best ``k``; only those are stored and compared.
+    """
     order = [F.col("score").desc(), F.col("segment_index"), F.col("piece_no")]
-    winners = top_k(scored, keys, order, k).select(*keys, "sentence").distinct()
-    return scored.join(winners, [*keys, "sentence"], "left_semi")
+    place = F.rank().over(Window.partitionBy(*keys).orderBy(F.col("score").desc()))
+    near = cut(scored.withColumn("__place", place).filter(F.col("__place") <= k).drop("__place"))
+    winners = top_k(near, keys, order, k).select(*keys, "sentence").distinct()
+    return near.join(winners, [*keys, "sentence"], "left_semi")
 
 
 def tfidf_rank(sentences: DataFrame, k: int = 5, keys: tuple[str, ...] = ("meeting_id",)) -> DataFrame:
