@@ -49,3 +49,14 @@ assert len(names) > 100 and not [n for n in names if n.startswith("op1_") or n =
 assert set(e.oracle_sql()) <= set(names)
 """
     subprocess.run([sys.executable, "-c", code], check=True, cwd=Path(__file__).resolve().parents[1])
+
+
+def test_casing_equals_its_sql_on_wide_letters_and_spaces(spark, tmp_path):
+    import duckdb
+    import __spark_entry__ as entry
+    texts = ["ßachzu beschie", "ﬁne", "ŉ x", "ǆ", "é", " nb　", "\x0bvt\x85", "", " ", None, "ΐ", "ᾳ x", "plain text "]
+    spark.createDataFrame([(i, t, t) for i, t in enumerate(texts)], "doc_id long, text string, source string").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    got = {tuple(r) for r in entry.queries()["casing"](spark, str(tmp_path)).collect()}
+    db = duckdb.connect()
+    db.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{tmp_path}/documents.parquet/*.parquet')")
+    assert got == set(db.execute(entry.oracle_sql()["casing"]).fetchall()) and (0, "SSachzu beschie", "SSachzu Beschie") in got
