@@ -194,8 +194,11 @@ def _repeated(facts: DataFrame, key: str, occurrence: Column) -> DataFrame:
     return facts.groupBy(key).agg(F.min(occurrence).alias("lo"), F.max(occurrence).alias("hi")).where("lo <> hi")
 
 
-def remove_repeats(docs: DataFrame, length: int = 200, batches: int = 2) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256, starts, ends (the removed byte spans; null: the whole text)."""
+def remove_repeats(docs: DataFrame, length: int = 200, batches: int = 3) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256, starts, ends (the removed byte spans; null: the whole text).
+
+    Of three batches the first two are merged into one level, which the third is scanned against.
+    """
     ship(docs.sparkSession)
     texts = docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text")).withColumn("text_key", F.xxhash64("text"))
     known = store(texts.select("doc_id", "text_key", F.octet_length("text").cast("long").alias("n_bytes"), F.sha2("text", 256).alias("sha")), "texts")

@@ -256,3 +256,17 @@ def test_best_stretches_equal_brute_force():
         sets = [set(p[b:b + w]) for w in range(min(width, len(p)), min(int(width / least), len(p)) + 1) for b in range(len(p) - w + 1)]
         want = [any(len(a & b) >= least * len(a | b) for b in sets) and 2 * len(a) >= width for a in (set(x[s:s + width]) for s in starts)]
         assert passages._best_stretches(x, p, starts, width, least).tolist() == want
+
+
+def test_the_last_batch_meets_a_merged_level(documents, monkeypatch):
+    ranks, add = [], SuffixIndex.add
+
+    def told(self, batch):
+        out = add(self, batch)
+        ranks.append([rank for rank, _ in self.levels])
+        return out
+
+    monkeypatch.setattr(SuffixIndex, "add", told)
+    same = "".join(chr(97 + i * i % 23) for i in range(230))
+    got = remove_repeats(documents(*(f"{i}" * 7 + same + f"{i}" * 9 for i in range(12)))).select("n_bytes", "n_removed").collect()
+    assert ranks == [[0], [0, 0], [1, 0]] and all(r.n_removed >= 230 for r in got)
