@@ -270,3 +270,14 @@ def test_the_last_batch_meets_a_merged_level(documents, monkeypatch):
     same = "".join(chr(97 + i * i % 23) for i in range(230))
     got = remove_repeats(documents(*(f"{i}" * 7 + same + f"{i}" * 9 for i in range(12)))).select("n_bytes", "n_removed").collect()
     assert ranks == [[0], [0, 0], [1, 0]] and all(r.n_removed >= 230 for r in got)
+
+
+def test_matches_of_other_places_of_the_pivot_are_verified():
+    def rows(c, pc):
+        return [(k, 7, c - 45, c, c + 45, pc - 45, pc, pc + 45) for k in range(2)]
+
+    found = np.array(sorted(rows(100, 100) + rows(110, 900) + rows(105, 106) + rows(139, 139), key=lambda r: (r[1], r[3])))
+    taken = {(int(found[i, 3]), int(found[i, 6])) for i in passages.agreed(found, 46)}
+    assert taken == {(100, 100), (110, 900), (139, 139)}  # 105 is covered by the texts around 100
+    crowd = np.array([(0, 7, 55, 100, 145, 55, 100, 145)] + [(0, 7, 100 + i, 100 + i, 101 + i, 0, 0, 1) for i in range(1, 30)] + [(1, 7, 60, 131, 150, 60, 131, 150)])
+    assert 0 in passages.agreed(crowd, 46)
