@@ -1,6 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from colloquy.functions import labels as L
 from colloquy.operators import dedupe as DD
 from colloquy.operators import intent as I
 
@@ -97,3 +98,22 @@ def test_user_rules(spark):
     df = spark.createDataFrame([("the gate is red",), ("nothing",)], "t string")
     rule = I.match_first_rule(F.col("t"), [("gate", r"\bgate\b"), ("red", r"\bred\b")])
     assert [r.r for r in df.select(rule.alias("r")).collect()] == ["gate", None]
+
+
+def test_each_form_of_a_text_is_analysed_once(spark):
+    texts = ["I will send order 12345 to Ana by Friday.", "I will send order 67890 to Ana by Friday.", "I will send order 123 to Ana by Friday.", "Sounds good.", "Sounds good.",
+             "I will pack 12345 and 12399 by Friday.", "I will pack 12345 and 12300 by Friday.", "I will send 1234 by 12 May.", None, ""]
+    df = spark.createDataFrame(list(enumerate(texts)), "n int, t string")
+    met = []
+
+    def work(forms):
+        met.extend(r["__form"] for r in forms.collect())
+        return forms.withColumn("__seen", F.col("__form"))
+
+    I.by_form(df, F.col("t"), work)
+    assert sorted(met) == sorted(["", "I will send order 00000 to Ana by Friday.", "I will send order 000 to Ana by Friday.", "Sounds good.", *texts[5:8]])
+    found = {r["n"]: r["a"] for r in I.analyse(df, "t", "a").collect()}
+    assert [found[n]["description"] for n in (0, 1, 2, 5, 7)] == [
+        "Send order 12345 to Ana by Friday", "Send order 67890 to Ana by Friday", "Send order 123 to Ana by Friday", "Pack 12345 and 12399 by Friday", "Send 1234 by 12 May"]
+    assert found[8] is None and found[9]["intent"] == "general"
+    assert {r["n"]: r["urgency"] for r in I.urgency(df, F.col("t")).collect()} == {r["n"]: r["u"] for r in df.select("n", L.score_urgency(F.col("t")).alias("u")).collect()}
