@@ -204,6 +204,25 @@ def test_passages_are_cut(documents):
     assert passages.without_repeats(docs.limit(0)).count() == 0 and passages.without_repeats(docs).columns == docs.columns
 
 
+def test_similar_places_of_many_pairs_are_those_of_each():
+    rng = np.random.default_rng(3)
+    xs, ps = [], []
+    for _ in range(60):
+        p = rng.integers(0, 60 if rng.random() < 0.3 else 10**6, rng.integers(0, 160)).astype("<u4")
+        x = np.concatenate([rng.integers(10**6, 10**7, rng.integers(0, 40)), p[rng.integers(0, 30):], rng.integers(10**6, 10**7, rng.integers(0, 9))]).astype("<u4")
+        x[rng.random(len(x)) < 0.03] = 5
+        xs.append(x)
+        ps.append(p)
+    covered, starts = passages.similar_places_of(xs, ps, 46, 0.8)
+    assert covered.any() and all(covered[a:a + len(x)].tolist() == passages.similar_places(x, p, 46, 0.8).tolist() for a, x, p in zip(starts, xs, ps))
+    assert len(covered) == sum(len(x) + 1 for x in xs) and not covered[starts + [len(x) for x in xs]].any()
+
+
+def test_a_span_inside_one_of_an_earlier_source_is_left_out(spark):
+    spans = spark.createDataFrame([(1, 0, 5, 70), (1, 3, 5, 60), (1, 3, 8, 71), (2, 3, 5, 60), (1, 4, 8, 71)], "text_key long, p long, first long, last long")
+    assert sorted(map(tuple, passages._first_sources(spans).collect())) == [(1, 0, 5, 70), (1, 3, 8, 71), (2, 3, 5, 60)]
+
+
 def test_similar_places():
     p = np.arange(100, dtype="<u4")
     x = np.concatenate([np.arange(1000, 1020), np.arange(20, 80), np.arange(2000, 2030)]).astype("<u4")
