@@ -26,3 +26,21 @@ def test_texts_are_cut_into_words_once_and_counted_without_sorting(said):
 def test_tokens_of_blank_edges(spark):
     row = spark.sql("select ' the  Crane\\u00a0beam. ' as t").select(T.tokens_summary(F.col("t")).alias("x")).first()
     assert row.x == ["crane", "beam"]
+
+
+def test_frequency_scores_are_means_over_words(spark, said):
+    sentences = spark.createDataFrame([("m", 0, 0, "the crane crane beam"), ("m", 1, 0, "of it"), ("n", 2, 0, "unheard mango")],
+                                      "meeting_id string, segment_index int, piece_no int, sentence string")
+    scored = R.freq_scores(sentences, R.term_frequencies(said))
+    assert {(r.meeting_id, r.segment_index): r.score for r in scored.collect()} == {("m", 0): round((2 / 3 + 2 / 3 + 1) / 3, 9), ("m", 1): 0.0, ("n", 2): 0.25}
+    plan = scored._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Aggregate") <= 2 and plan.count("Join") == 3  # of these one each tells the most frequent count
+
+
+def test_best_lines_of_topics_need_no_shuffle(spark):
+    from colloquy.plans import summaries as SU
+    rows = [("m", 0, "We talked about lunch today. The budget covers the budget review. Lunch was served late."), ("m", 1, None), ("n", 0, "Hi.")]
+    best = SU.topic_best_lines(spark.createDataFrame(rows, "meeting_id string, topic_no int, summary string"))
+    assert [tuple(r) for r in best.select("meeting_id", "topic_no", "best_line").orderBy("meeting_id", "topic_no").collect()] == [
+        ("m", 0, "The budget covers the budget review."), ("m", 1, ""), ("n", 0, "Hi.")]
+    assert "Exchange" not in best._jdf.queryExecution().executedPlan().toString()
