@@ -11,6 +11,9 @@ from ..functions import labels as L
 from ..functions import values as V
 
 
+NOTHING_NEXT = "Review progress on the items above."
+
+
 def with_project_owner(meetings: DataFrame, projects: DataFrame) -> DataFrame:
     owners = projects.select("project_id", F.col("user_id").alias("project_owner"))
     return meetings.join(owners, "project_id", "left")
@@ -70,21 +73,26 @@ def top_k(df: DataFrame, keys: Sequence[str], order: Sequence[Column], k: int, o
     return df.withColumn(out, F.row_number().over(w)).filter(F.col(out) <= k)
 
 
+def agenda_texts() -> tuple[Column, Column, Column]:
+    """Line of an open question, of an open task and of a decision."""
+    owner = F.when(F.coalesce(F.col("owner"), F.lit("")) != "", F.concat(F.lit(" ("), F.col("owner"), F.lit(")"))).otherwise("")
+    return (F.concat(F.lit("Settle: "), F.col("description")), F.concat(F.lit("Status of: "), F.col("description"), owner),
+            F.concat(F.lit("Review decision: "), F.col("description")))
+
+
 def next_agenda(items: DataFrame, decisions: DataFrame, meetings: DataFrame, cap: int = 8) -> DataFrame:
     """Open questions, then up to six open tasks, then two decisions; at most ``cap`` lines per meeting."""
     flagged = split_items(items)
     order = [F.col("segment_index"), F.col("item_id")]
+    question, task, decision = agenda_texts()
     settle = top_k(flagged.filter("is_question"), ["meeting_id"], order, cap, "n").select(
-        "meeting_id", F.lit(0).alias("part"), "n", F.concat(F.lit("Settle: "), F.col("description")).alias("line"))
-    owner = F.when(F.coalesce(F.col("owner"), F.lit("")) != "", F.concat(F.lit(" ("), F.col("owner"), F.lit(")"))).otherwise("")
+        "meeting_id", F.lit(0).alias("part"), "n", question.alias("line"))
     status = top_k(flagged.filter("is_open and not is_question"), ["meeting_id"], order, 6, "n").select(
-        "meeting_id", F.lit(1).alias("part"), "n",
-        F.concat(F.lit("Status of: "), F.col("description"), owner).alias("line"))
+        "meeting_id", F.lit(1).alias("part"), "n", task.alias("line"))
     review = top_k(decisions, ["meeting_id"], [F.col("segment_index"), F.col("decision_id")], 2, "n").select(
-        "meeting_id", F.lit(2).alias("part"), "n",
-        F.concat(F.lit("Review decision: "), F.col("description")).alias("line"))
+        "meeting_id", F.lit(2).alias("part"), "n", decision.alias("line"))
     lines = top_k(settle.unionByName(status).unionByName(review), ["meeting_id"],
                   [F.col("part"), F.col("n")], cap, "line_no").select("meeting_id", "line_no", "line")
     return meetings.select("meeting_id").join(lines, "meeting_id", "left").select(
         "meeting_id", F.coalesce("line_no", F.lit(1)).alias("line_no"),
-        F.coalesce("line", F.lit("Review progress on the items above.")).alias("line"))
+        F.coalesce("line", F.lit(NOTHING_NEXT)).alias("line"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import values as V
@@ -84,10 +84,14 @@ def item_source_lookup(items: DataFrame, segments: DataFrame) -> DataFrame:
     return items.join(src, ["meeting_id", "segment_index"], "left")
 
 
-def topic_spans(topics: DataFrame, segments: DataFrame) -> DataFrame:
-    """Stored times where every topic of a meeting has both, else equal shares of the duration."""
-    duration = segments.groupBy("meeting_id").agg(
-        F.greatest(F.max("end_time") - F.min("start_time"), F.lit(0.0)).alias("duration"))
+def topic_spans(topics: DataFrame, segments: DataFrame, duration: DataFrame | None = None) -> DataFrame:
+    """Stored times where every topic of a meeting has both, else equal shares of the duration.
+
+    ``duration`` (meeting_id, duration) saves reading ``segments`` where it is known.
+    """
+    if duration is None:
+        duration = segments.groupBy("meeting_id").agg(
+            F.greatest(F.max("end_time") - F.min("start_time"), F.lit(0.0)).alias("duration"))
     per_meeting = topics.groupBy("meeting_id").agg(
         F.count("*").alias("n_topics"),
         F.bool_and(F.col("start_time").isNotNull() & F.col("end_time").isNotNull()).alias("timed"))
@@ -100,44 +104,43 @@ def topic_spans(topics: DataFrame, segments: DataFrame) -> DataFrame:
             .drop("timed"))
 
 
-def attach_items_to_topics(items: DataFrame, spans: DataFrame, segments: DataFrame, key: str = "item_id",
-                           bucket_s: float = 60.0) -> DataFrame:
-    """Topic an item was raised in: first span containing its time, else the span starting nearest.
+def attach_points(points: DataFrame, spans: DataFrame, key: str, value: Column, bucket_s: float = 60.0) -> DataFrame:
+    """``points`` (meeting_id, at, ``key``, ...) with ``found``: least ``value`` of the spans holding ``at``, else that of the span starting nearest.
 
-    Containment is an equi-join on time buckets.  The fallback merges items and
-    span starts into one ordered scan per direction, so it never pairs all items
-    of a meeting with all its spans.  The two slim inputs are cut first because
-    every scan reads them twice.
+    ``value`` is an expression over ``spans`` that begins with the span's number; rows of ``points`` are distinct.
+    Containment is an equi-join on time buckets, reduced where the join left it.  Only points outside all
+    spans go on to the fallback, which merges them with the span starts of their meetings into one ordered
+    scan, so it never pairs all points of a meeting with all its spans.
     """
-    timed = cut(item_source_lookup(items, segments).select("meeting_id", key, F.col("source_time").alias("at")))
-    point = timed.filter(F.col("at").isNotNull()).withColumn("bucket", F.floor(F.col("at") / bucket_s))
-    slim = cut(spans.select("meeting_id", "topic_id", "span_no", "span_start", "span_end"))
-    spread = slim.filter(F.col("span_start") <= F.col("span_end")).withColumn("bucket", F.explode(F.sequence(
+    slim = cut(spans.select("meeting_id", value.alias("__value"), "span_start", "span_end"))
+    spread = slim.filter(F.col("span_start") <= F.col("span_end")).withColumn("__bucket", F.explode(F.sequence(
         F.floor(F.col("span_start") / bucket_s), F.floor(F.col("span_end") / bucket_s))))
-    inside = (point.join(spread, ["meeting_id", "bucket"])
-              .filter((F.col("span_start") <= F.col("at")) & (F.col("at") <= F.col("span_end")))
-              .groupBy("meeting_id", key).agg(F.min_by("topic_id", "span_no").alias("inside_topic")))
-
-    starts = (slim.groupBy("meeting_id", "span_start")
-              .agg(F.min(F.struct("span_no", "topic_id")).alias("first"))
-              .select("meeting_id", F.col("span_start").alias("at"), F.lit(None).cast("string").alias(key),
-                      F.struct(F.col("span_start").alias("start"), F.col("first.span_no").alias("no"),
-                               F.col("first.topic_id").alias("topic")).alias("span")))
-    merged = (timed.filter(F.col("at").isNotNull()).withColumn("span", F.lit(None).cast(starts.schema["span"].dataType))
-              .select("meeting_id", "at", key, "span").unionByName(starts)
-              .withColumn("is_item", F.col(key).isNotNull().cast("int")))
-    block = F.floor(F.col("at") / 600).cast("long")
-    ahead = block_scan(merged, ["meeting_id"], block, ["at", "is_item", key], lasts={"before": F.col("span")})
-    both = block_scan(ahead, ["meeting_id"], block, ["at", "is_item", key], lasts={"after": F.col("span")},
-                      descending=True)
+    p, s = points.withColumn("__bucket", F.floor(F.col("at") / bucket_s)).alias("p"), spread.alias("s")
+    holds = ((F.col("p.meeting_id") == F.col("s.meeting_id")) & (F.col("p.__bucket") == F.col("s.__bucket"))
+             & (F.col("s.span_start") <= F.col("p.at")) & (F.col("p.at") <= F.col("s.span_end")))
+    held = cut(p.join(s, holds, "left").groupBy("p.__bucket", *[F.col(f"p.{c}") for c in points.columns])
+               .agg(F.min("s.__value").alias("found")).drop("__bucket"))
+    settled = F.col("found").isNotNull() | F.col("at").isNull()
+    outside = held.filter(~settled).drop("found")
+
+    starts = (slim.join(outside.select("meeting_id").distinct(), "meeting_id", "left_semi").groupBy("meeting_id", "span_start")
+              .agg(F.min("__value").alias("v")).select("meeting_id", F.col("span_start").alias("at"), F.struct(
+                  F.col("span_start").alias("start"), "v").alias("__span"), F.lit(0).alias("__is_point")))
+    merged = (outside.withColumn("__span", F.lit(None).cast(starts.schema["__span"].dataType)).withColumn("__is_point", F.lit(1))
+              .unionByName(starts, allowMissingColumns=True))
+    both = block_scan(merged, ["meeting_id"], F.floor(F.col("at") / 600).cast("long"), ["at", "__is_point", key],
+                      lasts={"__before": F.col("__span")}, nexts={"__after": F.col("__span")})
 
     def distance(c: str):
-        return F.when(F.col(c).isNotNull(), F.struct(
-            F.abs(F.col(f"{c}.start") - F.col("at")).alias("d"), F.col(f"{c}.no").alias("no"),
-            F.col(f"{c}.topic").alias("topic")))
-
-    nearest = both.filter("is_item = 1").select(
-        "meeting_id", key, F.least(distance("before"), distance("after")).alias("near"))
-    return (items.join(inside, ["meeting_id", key], "left").join(nearest, ["meeting_id", key], "left")
-            .withColumn("topic_id", F.coalesce("inside_topic", F.col("near.topic")))
-            .drop("inside_topic", "near"))
+        return F.when(F.col(c).isNotNull(), F.struct(F.abs(F.col(f"{c}.start") - F.col("at")).alias("d"), F.col(f"{c}.v").alias("v")))
+
+    nearest = both.filter("__is_point = 1").withColumn("found", F.least(distance("__before"), distance("__after"))["v"])
+    return held.filter(settled).unionByName(nearest.select(*held.columns))
+
+
+def attach_items_to_topics(items: DataFrame, spans: DataFrame, segments: DataFrame, key: str = "item_id",
+                           bucket_s: float = 60.0) -> DataFrame:
+    """Topic an item was raised in: first span containing its time, else the span starting nearest."""
+    timed = item_source_lookup(items, segments).select("meeting_id", key, F.col("source_time").alias("at"))
+    found = attach_points(timed, spans, key, F.struct("span_no", "topic_id"), bucket_s)
+    return items.join(found.select("meeting_id", key, F.col("found.topic_id").alias("topic_id")), ["meeting_id", key], "left")

@@ -250,8 +250,9 @@ def _(spark, path):
 def _(spark, path):
     m = O.meetings(spark, path)
     summary = m.select("meeting_id", F.lit(0).alias("part"), F.lit(0).cast("long").alias("n"), F.concat(F.lit("About "), F.col("title")).alias("line"))
-    return MI.minutes_lines(m, O.segments(spark, path), O.speakers(spark, path), O.topics(spark, path), O.action_items(spark, path),
-                            O.decisions(spark, path), summary, "01 Jan 2026, 00:00", include_transcript=True)
+    rows = cut(O.order_rows(spark, path, only=m.filter("status = 'done'")))
+    return MI.minutes_lines(m, O.segments(spark, path, rows), O.speakers(spark, path), O.topics(spark, path, rows), O.action_items(spark, path, rows),
+                            O.decisions(spark, path, rows), summary, "01 Jan 2026, 00:00", include_transcript=True)
 
 
 def _structured(spark, path):

@@ -7,6 +7,8 @@ lines as rows lets one very long meeting be produced and written by many tasks;
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -15,10 +17,12 @@ from ..functions import text as T
 from ..operators import filters as B
 from ..operators import joins as C
 from ..operators import rollups as D
-from ..operators.blocks import index_block, row_index
+from ..operators.blocks import block_scan, index_block
+from ..session import cut
 
 PAGE_LINES = 500
 PREPARED_BY = "colloquy"
+AGENDA_CAP = 8
 
 
 def render_transcript(named: DataFrame, appendix: bool = False) -> DataFrame:
@@ -35,10 +39,36 @@ def pages(lines: DataFrame, index: str = "segment_index", page_lines: int = PAGE
             .agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct(index, "line"))), lambda x: x["line"]), "\n").alias("body")))
 
 
-def _part(df: DataFrame, part: int, lines: list[Column], a: Column | None = None) -> DataFrame:
-    position = F.lit(0) if a is None else a
-    return df.select("meeting_id", F.lit(part).alias("part"), position.cast("long").alias("a"),
-                     F.posexplode(F.array(*lines)).alias("b", "line")).filter(F.col("line").isNotNull())
+Entry = tuple[int, Column | int, Column | int, Column | str, Column | None]
+LAST = 2 ** 40
+
+
+def _lines(df: DataFrame, entries: list[Entry]) -> DataFrame:
+    """Rows of lines that every row of ``df`` gives: (part, a, b, line, condition), None standing for "not null".
+
+    What is computed becomes a column first, so that it is computed once and the rows are only dealt out here.
+    """
+    columns: list[Column] = []
+
+    def held(x: Column) -> Column:
+        columns.append(x.alias(f"__{len(columns)}"))
+        return F.col(f"__{len(columns) - 1}")
+
+    def number(x: Column | int) -> Column:
+        return F.lit(x).cast("long") if isinstance(x, int) else held(x.cast("long"))
+
+    made = []
+    for part, a, b, line, keep in entries:
+        line = F.lit(line) if isinstance(line, str) else held(line)
+        entry = F.struct(F.lit(part).alias("part"), number(a).alias("a"), number(b).alias("b"), line.alias("line"))
+        made.append(F.when(line.isNotNull() if keep is None else held(keep), entry))
+    return (df.select("meeting_id", *columns).select("meeting_id", F.explode(F.array(*made)).alias("e"))
+            .filter(F.col("e").isNotNull()).select("meeting_id", "e.*"))
+
+
+def _part(part: int, lines: list[Column | str], a: Column | int = 0, keep: Column | None = None) -> list[Entry]:
+    """Consecutive lines at one position; a null line is left out but keeps its number."""
+    return [(part, a, b, x, keep if keep is None or isinstance(x, str) else keep & x.isNotNull()) for b, x in enumerate(lines)]
 
 
 def _cells(*cells: Column) -> Column:
@@ -56,7 +86,8 @@ def minutes_lines(meetings: DataFrame, segments: DataFrame, speakers: DataFrame,
                   decisions: DataFrame, summary_lines: DataFrame, generated_at: str, include_transcript: bool = False) -> DataFrame:
     """Minutes of every finished meeting.
 
-    ``summary_lines``: meeting_id, part, n, line (see ``summaries.summarise``).
+    ``summary_lines``: meeting_id, part, n, line (see ``summaries.summarise``).  Segments, topics and the items and
+    decisions (together) are each prepared once and stored; a stored row then gives all its lines at one reading.
     """
     done = meetings.filter(F.col("status") == "done")
     mine = done.select("meeting_id")
@@ -64,106 +95,146 @@ def minutes_lines(meetings: DataFrame, segments: DataFrame, speakers: DataFrame,
     def only(df: DataFrame) -> DataFrame:
         return df.join(mine, "meeting_id", "left_semi")
 
-    segments, topics = only(segments), only(topics)
-    items = B.split_items(only(items))
-    decisions = only(decisions)
-    named = D.named_segments(segments, speakers)
-    talk = D.talk_time(named)
-    ranked = B.top_k(talk, ["meeting_id"], [F.round("seconds", 6).desc(), F.col("display_name")], 2 ** 31 - 1)
-    people = talk.groupBy("meeting_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct(
-        (-F.round("seconds", 6)).alias("s"), "display_name"))), lambda x: x["display_name"]), ", ").alias("people"))
-    spans = C.topic_spans(topics, segments)
-    length = D.meeting_duration(segments)
-    glance = D.meeting_glance(done, topics, items, decisions, named)
+    named = cut(D.named_segments(only(segments), speakers).select("meeting_id", "segment_index", "display_name", "text", "start_time", "end_time"))
+    heard = cut(_heard(named))
+    spans = cut(C.topic_spans(only(topics), named, heard.select("meeting_id", "duration")))
+    raised = _raised(items, decisions, only, named, spans)
     stamp = F.lit(f"{PREPARED_BY}, {generated_at} UTC")
+    own_summary = only(summary_lines)
+
+    told = (done.select("meeting_id", "title", "date", "source").join(heard, "meeting_id", "left").join(spans.groupBy("meeting_id").agg(F.count("*").alias("topics")), "meeting_id", "left")
+            .join(_raised_counts(raised), "meeting_id", "left")
+            .join(own_summary.select("meeting_id").distinct().withColumn("summarised", F.lit(True)), "meeting_id", "left")
+            .withColumn("spoken", F.col("people").isNotNull())
+            .fillna(0, ["topics", "decisions", "tasks", "open_tasks", "completed", "open_questions", "participants"])
+            .fillna(False, ["summarised"]))
+    with_topics = F.col("topics") > 0
+
+    def framed(part: int, title: str, table: list[str], none: str, rows: str) -> list[Entry]:
+        """Title, then the heading of a table of the meeting's rows or a line saying there are none."""
+        return (_part(part, [title, ""], -2) + _part(part, table, -1, F.col(rows) > 0) + _part(part, [none], -1, F.col(rows) == 0)
+                + _part(part, [""], LAST))
+
+    whole = (
+        _part(0, [
+            F.concat(F.lit("# Minutes of Meeting — "), F.col("title")), "", "| | |", "|---|---|",
+            _cells(F.lit("**Date**"), L.format_datetime(F.col("date"))),
+            _cells(F.lit("**Duration**"), L.format_duration(F.round(F.coalesce("duration", F.lit(0.0)), 6))),
+            _cells(F.lit("**Participants**"), F.coalesce(F.array_join("people.display_name", ", "), F.lit("—"))),
+            _cells(F.lit("**Source**"), L.source_label(F.col("source"))),
+            _cells(F.lit("**Prepared by**"), stamp), ""])
+        + _part(1, [
+            "## Meeting at a glance", "",
+            "| Topics | Decisions | Action items | Open | Completed | Open questions | Participants |", "|---|---|---|---|---|---|---|",
+            _cells(*[F.col(c) for c in ("topics", "decisions", "tasks", "open_tasks", "completed", "open_questions", "participants")]), ""])
+        + _part(2, ["## Agenda / topics covered", ""], -1, with_topics) + _part(2, [""], LAST, with_topics)
+        + _part(3, ["## Executive summary", ""], -1, F.col("summarised")) + _part(3, [""], LAST, F.col("summarised"))
+        + _part(4, ["## Discussion by topic", ""], -1, with_topics)
+        + framed(5, "## Decisions", ["| # | Decision | Rationale | Raised at | By |", "|---|---|---|---|---|"],
+                 "_No decisions were recorded._", "decisions")
+        + framed(6, "## Action items", ["| # | Task | Owner | Due | Priority | Status |", "|---|---|---|---|---|---|"],
+                 "_No action items were recorded._", "tasks")
+        + framed(7, "## Open questions & follow-ups", [], "_Nothing left open._", "open_questions")
+        + _part(8, ["**Proposed agenda for the next meeting**", ""], -1) + _part(8, [""], LAST)
+        + [entry for i in range(AGENDA_CAP) for entry in _next_line(i)]
+        + _part(9, ["## Participation", "", "| Participant | Speaking time | Share |", "|---|---|---|"], -1, F.col("spoken"))
+        + _part(9, [""], LAST, F.col("spoken"))
+        + _part(11, [f"_Generated by {PREPARED_BY} on {generated_at} UTC. Automatically extracted items should be verified by the meeting owner._"], -1))
+    if include_transcript:
+        whole += _part(10, ["## Appendix — Transcript", ""], -1, F.col("spoken")) + _part(10, [""], LAST, F.col("spoken"))
+
+    ranked = heard.select("meeting_id", "total", F.posexplode("people").alias("rank", "who")).select("meeting_id", "total", "rank", "who.*")
+    share = F.col("seconds") / F.when(F.col("total") == 0, F.lit(1.0)).otherwise(F.col("total"))
+    participation = _lines(ranked, _part(9, [_cells(F.col("display_name"), L.format_clock(F.round("seconds", 6)), F.concat(
+        F.bround(F.round(share * 100, 6), 0).cast("int").cast("string"), F.lit("%")))], F.col("rank") + 1))
+    summary = own_summary.select("meeting_id", F.lit(3).alias("part"), F.col("part").cast("long").alias("a"), F.col("n").cast("long").alias("b"), "line")
+    parts = [_lines(told, whole), participation, summary, _lines(spans, _topic_entries()), _lines(raised, _raised_entries())]
+    if include_transcript:
+        parts.append(render_transcript(named, appendix=True).select(
+            "meeting_id", F.lit(10).alias("part"), F.col("segment_index").cast("long").alias("a"), F.lit(0).cast("long").alias("b"), "line"))
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+def _heard(named: DataFrame) -> DataFrame:
+    """Per meeting with segments: duration, seconds in all, number of names, and the speakers by speaking time."""
+    spoken = named.groupBy("meeting_id", "display_name").agg(
+        F.sum(F.greatest(F.col("end_time") - F.col("start_time"), F.lit(0.0))).alias("seconds"),
+        F.min("start_time").alias("first"), F.max("end_time").alias("last"))
+    return spoken.groupBy("meeting_id").agg(
+        F.greatest(F.max("last") - F.min("first"), F.lit(0.0)).alias("duration"), F.sum("seconds").alias("total"),
+        F.count("display_name").alias("participants"),
+        F.sort_array(F.collect_list(F.struct((-F.round("seconds", 6)).alias("s"), "display_name", "seconds"))).alias("people"))
 
-    head = _part(done.join(length, "meeting_id", "left").join(people, "meeting_id", "left"), 0, [
-        F.concat(F.lit("# Minutes of Meeting — "), F.col("title")), F.lit(""), F.lit("| | |"), F.lit("|---|---|"),
-        _cells(F.lit("**Date**"), L.format_datetime(F.col("date"))),
-        _cells(F.lit("**Duration**"), L.format_duration(F.round(F.coalesce("duration", F.lit(0.0)), 6))),
-        _cells(F.lit("**Participants**"), F.coalesce("people", F.lit("—"))),
-        _cells(F.lit("**Source**"), L.source_label(F.col("source"))),
-        _cells(F.lit("**Prepared by**"), stamp), F.lit("")])
-    counted = _part(glance, 1, [
-        F.lit("## Meeting at a glance"), F.lit(""),
-        F.lit("| Topics | Decisions | Action items | Open | Completed | Open questions | Participants |"),
-        F.lit("|---|---|---|---|---|---|---|"),
-        _cells(*[F.col(c) for c in ("topics", "decisions", "tasks", "open_tasks", "completed", "open_questions", "participants")]),
-        F.lit("")])
-
-    def heading(df: DataFrame, part: int, lines: list[str], a: int = -1) -> DataFrame:
-        return _part(df, part, [F.lit(x) for x in lines], F.lit(a))
-
-    def framed(rows: DataFrame, part: int, title: str, table: list[str], none: str, per_row: list[Column], key: list[str]) -> DataFrame:
-        """Title, then a table of the meeting's rows or a line saying there are none."""
-        numbered = row_index(rows, ["meeting_id"], index_block(key[0]), key, "k", start=1)
-        have = rows.select("meeting_id").distinct()
-        return (heading(mine, part, [title, ""], -2)
-                .unionByName(heading(have, part, table)) if table else heading(mine, part, [title, ""], -2)).unionByName(
-            heading(mine.join(have, "meeting_id", "left_anti"), part, [none])).unionByName(
-            _part(numbered, part, per_row, F.col("k"))).unionByName(heading(mine, part, [""], 2 ** 40))
-
-    with_topics = spans.select("meeting_id").distinct()
-    number = (F.col("span_no") + 1).cast("string")
+
+def _raised(items: DataFrame, decisions: DataFrame, only: Callable[[DataFrame], DataFrame], named: DataFrame, spans: DataFrame) -> DataFrame:
+    """Items and decisions in one table with their number among their kind, the segment they came from and ``found``, their topic's number."""
+    null = F.lit(None).cast("string")
+    rows = items.select("meeting_id", "segment_index", F.col("item_id").alias("id"), "description", "owner", "due", "urgency", "resolved",
+                        null.alias("rationale"), F.lit(False).alias("is_decision")).unionByName(decisions.select(
+                            "meeting_id", "segment_index", F.col("decision_id").alias("id"), "description", null.alias("owner"), null.alias("due"),
+                            null.alias("urgency"), F.lit(None).cast("boolean").alias("resolved"), "rationale", F.lit(True).alias("is_decision")))
+    flagged = B.split_items(only(rows)).withColumn("is_question", F.col("is_question") & ~F.col("is_decision")).withColumn(
+        "is_task", F.col("is_task") & ~F.col("is_decision"))
+
+    def count(flag: Column) -> Column:
+        return F.coalesce(flag, F.lit(False)).cast("long")
+
+    numbered = block_scan(flagged, ["meeting_id"], index_block("segment_index"), ["segment_index", "is_decision", "id"], sums={
+        "decision_no": count(F.col("is_decision")), "task_no": count(F.col("is_task")), "question_no": count(F.col("is_question")),
+        "open_no": count(F.col("is_task") & F.col("is_open"))})
+    sourced = C.item_source_lookup(numbered, named.withColumnRenamed("display_name", "speaker")).withColumnRenamed("source_time", "at")
+    return cut(C.attach_points(sourced, spans, "id", F.col("span_no")))
+
+
+def _raised_counts(raised: DataFrame) -> DataFrame:
+    """Counts per meeting and the lines of the next agenda: the first questions, open tasks and decisions."""
+    question, task, decision = B.agenda_texts()
+
+    def first(part: int, flag: Column, no: str, k: int, line: Column) -> Column:
+        return F.when(flag & (F.col(no) <= k), F.struct(F.lit(part).alias("part"), F.col(no).alias("n"), line.alias("line")))
+
+    proposed = F.coalesce(
+        first(0, F.col("is_question"), "question_no", AGENDA_CAP, question),
+        first(1, F.col("is_task") & F.col("is_open"), "open_no", 6, task), first(2, F.col("is_decision"), "decision_no", 2, decision))
+    return raised.groupBy("meeting_id").agg(
+        F.count_if("is_decision").alias("decisions"), F.count_if("is_task").alias("tasks"),
+        F.count_if(F.col("is_task") & F.col("is_open")).alias("open_tasks"), F.count_if("is_done").alias("completed"),
+        F.count_if("is_question").alias("open_questions"), F.sort_array(F.collect_list(proposed)).alias("proposed"))
+
+
+def _next_line(i: int) -> list[Entry]:
+    """Line ``i`` of the next agenda, if there is one; a meeting without any has one that says so."""
+    line = F.concat(F.lit("- "), F.coalesce(F.get("proposed", F.lit(i))["line"], F.lit(B.NOTHING_NEXT)))
+    return [(8, i + 1, 0, line, F.lit(True) if i == 0 else F.coalesce(F.size("proposed"), F.lit(0)) > i)]
+
+
+def _topic_entries() -> list[Entry]:
+    number, base = (F.col("span_no") + 1).cast("string"), F.col("span_no") * 4
     clock = F.concat(L.format_clock(F.round("span_start", 6)), F.lit("–"), L.format_clock(F.round("span_end", 6)))
-    agenda = heading(with_topics, 2, ["## Agenda / topics covered", ""]).unionByName(_part(spans, 2, [F.concat(
+    has_summary = F.coalesce("summary", F.lit("")) != ""
+    return (_part(2, [F.concat(
         number, F.lit(". **"), F.col("title"), F.lit("**"), F.when(F.coalesce("is_recurring", F.lit(False)), " *(recurring)*").otherwise(""),
-        F.lit(" — "), clock)], F.col("span_no"))).unionByName(heading(with_topics, 2, [""], 2 ** 40))
+        F.lit(" — "), clock)], F.col("span_no"))
+        + _part(4, [F.concat(F.lit("### "), number, F.lit(". "), F.col("title"), F.lit("  ")), F.concat(F.lit("*"), clock, F.lit("*")), "",
+                    F.when(has_summary, F.col("summary")), F.when(has_summary, F.lit(""))], base)
+        + _part(4, [""], base + 3))
 
-    own_summary = only(summary_lines)
-    summary = heading(own_summary.select("meeting_id").distinct(), 3, ["## Executive summary", ""]).unionByName(
-        own_summary.select("meeting_id", F.lit(3).alias("part"), F.col("part").cast("long").alias("a"), F.col("n").alias("b"), "line")
-    ).unionByName(heading(own_summary.select("meeting_id").distinct(), 3, [""], 2 ** 40))
 
+def _raised_entries() -> list[Entry]:
+    """Under its topic, decisions before actions, and in the table of its kind."""
     def suffix(col: str, lead: str) -> Column:
         return F.when(F.coalesce(F.col(col), F.lit("")) != "", F.concat(F.lit(lead), F.col(col))).otherwise("")
 
-    # Discussion: topic head lines, then its decisions, then its actions, then a blank line.
-    position = spans.select("topic_id", "span_no")
-    on_decisions = C.attach_items_to_topics(decisions, spans, segments, "decision_id").join(position, "topic_id")
-    on_items = C.attach_items_to_topics(items, spans, segments, "item_id").join(position, "topic_id")
-    base = F.col("span_no") * 4
-    has_summary = F.coalesce("summary", F.lit("")) != ""
-
-    def placed(df: DataFrame, offset: int, key: str, line: Column) -> DataFrame:
-        return df.select("meeting_id", F.lit(4).alias("part"), (base + offset).cast("long").alias("a"),
-                         F.struct("segment_index", key), line.alias("line"), "segment_index").select(
-            "meeting_id", "part", "a", F.col("segment_index").cast("long").alias("b"), "line")
-
-    discussion = (heading(with_topics, 4, ["## Discussion by topic", ""]).unionByName(_part(spans, 4, [
-        F.concat(F.lit("### "), number, F.lit(". "), F.col("title"), F.lit("  ")), F.concat(F.lit("*"), clock, F.lit("*")), F.lit(""),
-        F.when(has_summary, F.col("summary")), F.when(has_summary, F.lit(""))], base))
-        .unionByName(placed(on_decisions, 1, "decision_id", F.concat(F.lit("- **Decision:** "), F.col("description"), suffix("rationale", " — "))))
-        .unionByName(placed(on_items, 2, "item_id", F.concat(F.lit("- **Action:** "), F.col("description"), suffix("owner", " — "), suffix("due", ", "))))
-        .unionByName(_part(spans, 4, [F.lit("")], base + 3)))
-
-    sourced = C.item_source_lookup(decisions, named.drop("speaker").withColumnRenamed("display_name", "speaker"))
-    decided = framed(sourced, 5, "## Decisions", ["| # | Decision | Rationale | Raised at | By |", "|---|---|---|---|---|"],
-                     "_No decisions were recorded._",
-                     [_cells(F.col("k"), F.col("description"), _or("rationale", "—"), L.format_clock(F.round("source_time", 6)), _or("source_speaker", "—"))],
-                     ["segment_index", "decision_id"])
-    register = framed(items.filter("is_task"), 6, "## Action items", ["| # | Task | Owner | Due | Priority | Status |", "|---|---|---|---|---|---|"],
-                      "_No action items were recorded._",
-                      [_cells(F.col("k"), F.col("description"), _or("owner", "Unassigned"), _or("due", "—"),
-                              F.initcap(F.coalesce(F.nullif("urgency", F.lit("")), F.lit("low"))), F.when(F.col("resolved"), "Done").otherwise("Open"))],
-                      ["segment_index", "item_id"])
-    questions = framed(items.filter("is_question"), 7, "## Open questions & follow-ups", [], "_Nothing left open._",
-                       [F.concat(F.lit("- "), F.col("description"))], ["segment_index", "item_id"])
-    agenda_next = B.next_agenda(items.drop("is_open", "is_done", "is_question", "is_task"), decisions, done)
-    following = heading(mine, 8, ["**Proposed agenda for the next meeting**", ""]).unionByName(_part(
-        agenda_next, 8, [F.concat(F.lit("- "), F.col("line"))], F.col("line_no"))).unionByName(heading(mine, 8, [""], 2 ** 40))
-    heard = talk.select("meeting_id").distinct()
-    participation = heading(heard, 9, ["## Participation", "", "| Participant | Speaking time | Share |", "|---|---|---|"]).unionByName(_part(
-        ranked, 9, [_cells(F.col("display_name"), L.format_clock(F.round("seconds", 6)), F.concat(
-            F.bround(F.col("share") * 100, 0).cast("int").cast("string"), F.lit("%")))], F.col("rank"))).unionByName(heading(heard, 9, [""], 2 ** 40))
-    foot = heading(mine, 11, [f"_Generated by {PREPARED_BY} on {generated_at} UTC. Automatically extracted items should be verified by the meeting owner._"])
-    parts = [head, counted, agenda, summary, discussion, decided, register, questions, following, participation, foot]
-    if include_transcript:
-        parts.append(heading(heard, 10, ["## Appendix — Transcript", ""]).unionByName(
-            render_transcript(named, appendix=True).select("meeting_id", F.lit(10).alias("part"), F.col("segment_index").cast("long").alias("a"),
-                                                           F.lit(0).alias("b"), "line")).unionByName(heading(heard, 10, [""], 2 ** 40)))
-    out = None
-    for p in parts:
-        p = p.select("meeting_id", "part", F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b"), "line")
-        out = p if out is None else out.unionByName(p)
-    return out
+    decided = F.concat(F.lit("- **Decision:** "), F.col("description"), suffix("rationale", " — "))
+    acted = F.concat(F.lit("- **Action:** "), F.col("description"), suffix("owner", " — "), suffix("due", ", "))
+    at = F.col("found") * 4 + F.when(F.col("is_decision"), 1).otherwise(2)
+    return ([(4, at, F.col("segment_index"), F.when(F.col("is_decision"), decided).otherwise(acted), F.col("found").isNotNull())]
+            + _part(5, [_cells(F.col("decision_no"), F.col("description"), _or("rationale", "—"), L.format_clock(F.round("at", 6)),
+                               _or("source_speaker", "—"))], F.col("decision_no"), F.col("is_decision"))
+            + _part(6, [_cells(F.col("task_no"), F.col("description"), _or("owner", "Unassigned"), _or("due", "—"),
+                               F.initcap(F.coalesce(F.nullif("urgency", F.lit("")), F.lit("low"))),
+                               F.when(F.col("resolved"), "Done").otherwise("Open"))], F.col("task_no"), F.col("is_task"))
+            + _part(7, [F.concat(F.lit("- "), F.col("description"))], F.col("question_no"), F.col("is_question")))

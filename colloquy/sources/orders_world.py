@@ -46,9 +46,10 @@ def meetings(spark: SparkSession, path: str) -> DataFrame:
         pick(key % 2, ["upload", "live"]).alias("source"))
 
 
-def segments(spark: SparkSession, path: str) -> DataFrame:
-    return orders_as_utterances(table(spark, path, "orders")).select(
-        "meeting_id", "segment_index", "speaker", "text", "start_time", "end_time")
+def segments(spark: SparkSession, path: str, rows: DataFrame | None = None) -> DataFrame:
+    """``rows``, here and below: the table of ``order_rows`` where several readers share one."""
+    rows = orders_as_utterances(table(spark, path, "orders")) if rows is None else rows
+    return rows.select("meeting_id", "segment_index", "speaker", "text", "start_time", "end_time")
 
 
 def speakers(spark: SparkSession, path: str) -> DataFrame:
@@ -61,9 +62,13 @@ def speakers(spark: SparkSession, path: str) -> DataFrame:
                     F.when(F.col("label") == "SPEAKER_02", F.lit("Omar")).alias("inferred")))
 
 
-def _rows(spark: SparkSession, path: str) -> DataFrame:
-    return orders_as_utterances(table(spark, path, "orders"),
-                                keep=("o_orderstatus", "o_orderpriority", "o_totalprice"))
+def order_rows(spark: SparkSession, path: str, only: DataFrame | None = None) -> DataFrame:
+    """Utterances with the order columns that items, decisions and topics are made of; ``only`` names the meetings wanted."""
+    o = table(spark, path, "orders")
+    if only is not None:
+        wanted = only.select("meeting_id")
+        o = o.join(wanted, F.col("o_custkey").cast("string") == wanted["meeting_id"], "left_semi")
+    return orders_as_utterances(o, keep=("o_orderstatus", "o_orderpriority", "o_totalprice"))
 
 
 def urgency_from_priority() -> Column:
@@ -71,10 +76,10 @@ def urgency_from_priority() -> Column:
     return (F.when(p == "1", "critical").when(p == "2", "high").when(p == "3", "medium").when(p == "4", "low"))
 
 
-def action_items(spark: SparkSession, path: str) -> DataFrame:
+def action_items(spark: SparkSession, path: str, rows: DataFrame | None = None) -> DataFrame:
     """An item per order whose key is not a multiple of five; some have no owner, some no urgency."""
     k = F.col("order_key")
-    return _rows(spark, path).filter(k % 5 != 0).select(
+    return (order_rows(spark, path) if rows is None else rows).filter(k % 5 != 0).select(
         F.concat(F.lit("a"), k.cast("string")).alias("item_id"), "meeting_id",
         F.when(k % 4 == 0, F.concat(F.lit("Decide on order "), k.cast("string")))
         .otherwise(F.concat(F.lit("Pack order "), k.cast("string"))).alias("description"),
@@ -86,9 +91,9 @@ def action_items(spark: SparkSession, path: str) -> DataFrame:
         ((k % 10) / 10.0).alias("confidence"), "segment_index")
 
 
-def decisions(spark: SparkSession, path: str) -> DataFrame:
+def decisions(spark: SparkSession, path: str, rows: DataFrame | None = None) -> DataFrame:
     k = F.col("order_key")
-    return _rows(spark, path).filter(k % 5 == 0).select(
+    return (order_rows(spark, path) if rows is None else rows).filter(k % 5 == 0).select(
         F.concat(F.lit("d"), k.cast("string")).alias("decision_id"), "meeting_id",
         F.concat(F.lit("Ship order "), k.cast("string")).alias("description"),
         F.when(k % 2 == 0, "Stock is low").alias("rationale"),
@@ -96,10 +101,10 @@ def decisions(spark: SparkSession, path: str) -> DataFrame:
         F.col("order_date").alias("decided_on"))
 
 
-def topics(spark: SparkSession, path: str) -> DataFrame:
+def topics(spark: SparkSession, path: str, rows: DataFrame | None = None) -> DataFrame:
     """A topic per order; a few lack times, which switches their meeting to equal spans."""
     k = F.col("order_key")
-    return _rows(spark, path).select(
+    return (order_rows(spark, path) if rows is None else rows).select(
         F.concat(F.lit("t"), k.cast("string")).alias("topic_id"), "meeting_id",
         F.col("segment_index").alias("topic_no"), pick(k % 6, TOPIC_TITLES).alias("title"),
         F.concat(F.lit("About order "), k.cast("string")).alias("summary"),

@@ -1,3 +1,4 @@
+import pytest
 from pyspark.sql import functions as F
 
 from colloquy.plans import minutes as MI
@@ -75,3 +76,52 @@ def test_equal_titles_are_different_documents(spark, tmp_path):
     lines = spark.createDataFrame([("x", "Plan", 0, "one"), ("y/1", "Plan", 0, "two")], "meeting_id string, doc_stem string, n int, line string")
     S.write_minutes_text(lines, str(tmp_path / "out"), ["n"])
     assert sorted(p.name for p in (tmp_path / "out").glob("doc_stem=*")) == ["doc_stem=Plan-x", "doc_stem=Plan-y_1"]
+
+
+def finished_talk(spark, step=0.7):
+    """Two meetings with the same topic ids, with items inside, outside and beyond the topics; one finished without any, one unfinished."""
+    seg = [(m, i, "A" if i < 3 else "B", f"line {i}", round(i * step, 10), round(i * step + step, 10)) for m in "xy" for i in range(24)]
+    segments = spark.createDataFrame(seg, "meeting_id string, segment_index int, speaker string, text string, start_time double, end_time double")
+    meetings = spark.createDataFrame([(m, f"Talk {m}", "done" if m in "xyz" else "queued", "live") for m in "xyzq"], "meeting_id string, title string, status string, source string"
+                                     ).withColumn("date", F.lit("2024-02-01 09:30:00").cast("timestamp"))
+    topics = spark.createDataFrame([(f"t{n}", m, n, f"Part {n}", None, None, 5.0 * n, 5.0 * n + 3) for m in "xyq" for n in range(2)],
+                                   "topic_id string, meeting_id string, topic_no int, title string, summary string, is_recurring boolean, start_time double, end_time double")
+    items = spark.createDataFrame([(f"a{n}", m, d, o, "low", n == 1, None, s) for m in "xyq" for n, (d, o, s) in enumerate(
+        [("Pack", "Ana", 2), ("Ship", None, 9), ("Decide on price", None, 20), ("Late", "Ana", 99), (None, "Ana", 3)])],
+        "item_id string, meeting_id string, description string, owner string, urgency string, resolved boolean, due string, segment_index int")
+    decisions = spark.createDataFrame([("d0", "x", "Stop", "Rain", 8)], "decision_id string, meeting_id string, description string, rationale string, segment_index int")
+    summary = spark.createDataFrame([("x", 0, 0, "Short."), ("q", 0, 0, "None.")], "meeting_id string, part int, n long, line string")
+    who = spark.createDataFrame([("x", "A", "Ines")], "meeting_id string, label string, name string")
+    return meetings, segments, who, topics, items, decisions, summary
+
+
+@pytest.fixture(scope="module")
+def finished(spark):
+    return MI.minutes_lines(*finished_talk(spark), "01 Feb 2024, 10:00", True)
+
+
+def test_minutes_prepare_each_table_once(finished):
+    assert finished._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") <= 15
+
+
+def test_minutes_keep_meetings_with_equal_topic_ids_apart(finished):
+    rows = finished.orderBy("meeting_id", "part", "a", "b").collect()
+    assert {r.meeting_id for r in rows} == set("xyz")
+    text = {m: [r.line for r in rows if r.meeting_id == m] for m in "xyz"}
+    section = {m: [r.line for r in rows if r.meeting_id == m and r.part == 4 and (r.line or "").startswith(("###", "- "))] for m in "xy"}
+    assert section["y"] == ["### 1. Part 0  ", "- **Action:** Pack — Ana", "### 2. Part 1  ", "- **Action:** Ship", "- **Action:** Decide on price"]
+    assert section["x"] == [*section["y"][:3], "- **Decision:** Stop — Rain", *section["y"][3:]]
+    assert "| 1 | Stop | Rain | 00:05 | B |" in text["x"] and "_No decisions were recorded._" in text["y"]
+    assert [r.line for r in rows if r.meeting_id == "y" and r.part == 6 and r.a > 0 and r.line] == [
+        "| 1 | Pack | Ana | — | Low | Open |", "| 3 | Ship | Unassigned | — | Low | Done |", "| 4 | Late | Ana | — | Low | Open |"]
+    assert [r.line for r in rows if r.meeting_id == "x" and r.part == 8] == [
+        "**Proposed agenda for the next meeting**", "", "- Settle: Decide on price", "- Status of: Pack (Ana)", "- Review progress on the items above.",
+        "- Status of: Late (Ana)", "- Review decision: Stop", ""]
+    assert [r.line for r in rows if r.meeting_id == "z" and r.part == 8][2] == "- Review progress on the items above."
+    assert "| **Participants** | B, Ines |" in text["x"] and "| **Participants** | — |" in text["z"] and "## Participation" not in text["z"]
+
+
+def test_shares_at_a_half_do_not_follow_the_order_of_the_sums(spark):
+    lines = MI.minutes_lines(*finished_talk(spark, 0.1), "01 Feb 2024, 10:00")
+    assert [r.line for r in lines.filter("meeting_id = 'x' and part = 9 and a > 0 and line <> ''").orderBy("a").collect()] == [
+        "| B | 00:02 | 88% |", "| Ines | 00:00 | 12% |"]
