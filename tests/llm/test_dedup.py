@@ -300,3 +300,89 @@ def test_matches_of_other_places_of_the_pivot_are_verified():
     assert taken == {(100, 100), (110, 900), (139, 139)}  # 105 is covered by the texts around 100
     crowd = np.array([(0, 7, 55, 100, 145, 55, 100, 145)] + [(0, 7, 100 + i, 100 + i, 101 + i, 0, 0, 1) for i in range(1, 30)] + [(1, 7, 60, 131, 150, 60, 131, 150)])
     assert 0 in passages.agreed(crowd, 46)
+
+
+def similar_words(rows, passage, least):
+    """Words of every text that lie between the first and last shared shingle of a stretch similar to one of an earlier text, by comparing all stretches."""
+    width, kept = passage - 4, {}
+    sets = {d: shingles_of(t) for d, t in rows}
+    for d, x in sets.items():
+        kept[d] = set()
+        for s in range(len(x) - width + 1):
+            a = set(x[s:s + width])
+            for e, p in sets.items():
+                if e >= d or 2 * len(a) < width:
+                    continue
+                for w in range(width, min(int(width / least), len(p)) + 1):
+                    for b in (set(p[k:k + w]) for k in range(len(p) - w + 1)):
+                        if len(a & b) >= least * len(a | b):
+                            held = [i for i in range(s, s + width) if x[i] in b]
+                            kept[d].update(range(held[0], held[-1] + 5))
+    return kept
+
+
+def shingles_of(text):
+    w = words_of(text)
+    return [tuple(w[i:i + 5]) for i in range(len(w) - 4)]
+
+
+def mixed_texts(seed, n=26):
+    """Short texts of shared passages, changed here and there, and of words that come again."""
+    rng = random.Random(seed)
+    new = lambda k: [f"v{rng.randrange(10**6)}" for _ in range(k)]
+    shared, texts = [new(22), new(30), [*new(3), *(["again", "and"] * 6), *new(8)]], []
+    for _ in range(n):
+        words = new(rng.randrange(6))
+        for part in rng.sample(shared, rng.randrange(1, 3)):
+            part = list(part)
+            for _ in range(rng.choice([0, 0, 1, 1, 2])):
+                part[rng.randrange(len(part))] = rng.choice(["x", "y", f"c{rng.randrange(99)}"])
+            words += part[rng.randrange(4):] + new(rng.randrange(5))
+        texts.append(" ".join(words))
+    return texts
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_no_similar_passage_is_lost(documents, seed):
+    texts = mixed_texts(seed)
+    found = {}
+    for r in passages.repeated_passages(documents(*texts), passage=20, least=0.8).collect():
+        found.setdefault(r["doc_id"], set()).update(range(r["first_word"], r["last_word"] + 1))
+    want = similar_words(list(enumerate(texts)), 20, 0.8)
+    assert sum(map(len, want.values())) > 200
+    assert {d: sorted(w - found.get(d, set())) for d, w in want.items() if w - found.get(d, set())} == {}
+
+
+def near_partial_holders(seed=9, groups=30):
+    """As :func:`partial_holders`, but the later copy of each passage has a word changed."""
+    parts, first, second, places = partial_holders(seed, groups)
+    for i, at in enumerate(places):
+        words = second[i].split()
+        words[at + 28] = "changed"
+        second[i] = " ".join(words)
+    return parts, first, second, places
+
+
+def test_near_copies_behind_a_partial_holder(documents):
+    parts, first, second, places = near_partial_holders()
+    n, found = len(parts), {}
+    for r in passages.repeated_passages(documents(*parts, *first, *second)).collect():
+        found.setdefault((r["doc_id"], r["source_doc_id"]), set()).update(range(r["first_word"], r["last_word"] + 1))
+    for i, at in enumerate(places):
+        assert set(range(at, at + 55)) <= found.get((2 * n + i, n + i), set())
+    assert not any(d < 2 * n for d, _ in found)
+
+
+def test_different_shingles_of_every_stretch():
+    rng = np.random.default_rng(7)
+    sizes = [0, 30, 3, 25, 1]
+    bounds = np.concatenate([[0], np.cumsum(sizes)])
+    values = rng.integers(0, 12, bounds[-1]).astype(np.uint64)
+    count = np.where(values % 3 == 0, 0, 2 + values).astype(np.int64)
+    held = passages._Held(values, bounds, count, passages._apart(values, bounds, 12))
+    for w in (1, 5, 11):
+        different, shared = held.sets(w)
+        for s in range(bounds[-1] - w + 1):
+            one = held.row[s] == held.row[s + w - 1]
+            own = set(values[s:s + w].tolist())
+            assert (different[s], shared[s]) == ((len(own), len([v for v in own if v % 3])) if one else (0, 0))
