@@ -25,3 +25,21 @@ def test_repeats_of_a_winner_come_along(spark):
     scored = spark.createDataFrame([("m", i, 0, t, s) for i, (t, s) in enumerate([("a", 3.0), ("b", 2.0), ("c", 2.0), ("a", 3.0), ("b", 2.0), ("d", 1.0)])],
                                    "meeting_id string, segment_index int, piece_no int, sentence string, score double")
     assert sorted(r.segment_index for r in R.best_texts(scored, 3).collect()) == [0, 1, 3, 4]
+
+
+def test_texts_are_stored_once_and_rows_that_come_twice_stay_apart(spark, talk, monkeypatch):
+    u = talk(("a", "We moved the whole plan to Friday. It is ready now for all of us."), ("b", "we agreed on the smaller budget yesterday. And so on"), ("a", "Hm ?"))
+    stored, store = [], R.cut
+
+    def kept(df, wide=False):
+        out = store(df, wide)
+        if "clean" in out.columns:
+            stored.extend(out.select("clean").collect())
+        return out
+
+    monkeypatch.setattr(R, "cut", kept)
+    once = sorted(r.sentence for r in R.summary_sentences(u).collect())
+    assert stored and all(r.clean is None for r in stored)
+    first = u.filter("segment_index = 0")
+    twice = sorted(r.sentence for r in R.summary_sentences(first.unionByName(first)).collect())
+    assert len(once) >= 2 and len(twice) in (2, 4) and all("Friday" in s or "ready" in s for s in twice)
