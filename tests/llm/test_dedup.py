@@ -386,3 +386,11 @@ def test_different_shingles_of_every_stretch():
             one = held.row[s] == held.row[s + w - 1]
             own = set(values[s:s + w].tolist())
             assert (different[s], shared[s]) == ((len(own), len([v for v in own if v % 3])) if one else (0, 0))
+
+
+def test_near_copies_behind_a_partial_holder_are_cut(documents):
+    parts, first, second, places = near_partial_holders(12, 12)
+    n, got = len(parts), {r["doc_id"]: r["text"].split() for r in passages.without_repeats(documents(*parts, *first, *second)).collect()}
+    for i, at in enumerate(places):
+        words = second[i].split()
+        assert got[2 * n + i] == words[:at] + words[at + 55:] and got[n + i] == first[i].split()
